@@ -55,6 +55,21 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_counted(big: DataFrame, small: DataFrame, left: str, right: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has one row per key and in ``n`` the number of rows that ``big`` has of it.
+
+    Keys with a thousandth of the ``total`` rows or more, a thousand at most,
+    are broadcast; the others, none of which is hot, are joined by shuffle.
+    Keys compare null-safely; ``right`` is dropped.
+    """
+    heavy = F.col(n) >= max(total, 1) / 1000
+    hot = small.filter(heavy)
+    same = F.col(left).eqNullSafe(F.col(right))
+    a = big.join(F.broadcast(hot), same)
+    b = big.join(F.broadcast(hot.select(right)), same, "left_anti").join(small.filter(~heavy), same, how)
+    return a.unionByName(b).drop(right)
+
+
 def packed(docs: DataFrame, name: str = "row") -> DataFrame:
     """All columns as one struct, so that no helper column can clash with a given one."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))

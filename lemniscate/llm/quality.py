@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import WORD, packed, stored, unpacked
+from lemniscate.llm.common import WORD, join_counted, packed, stored, unpacked
 
 
 @dataclass(frozen=True)
@@ -140,8 +140,10 @@ def _with_verdict(df: DataFrame, keep: list[Column], text: Column, host: Column,
     ).withColumn("failed", F.col("base_failed") | _own_failure(r, 1.0))
     # Read by the host rates and by the verdicts: measured once, kept without the texts.
     m = stored(m, name)
-    hosts = host_rates(m).select(F.col("host").alias("_host"), (F.col("rate") > r.max_host_rate).alias("host_rejected"), F.col("rate").alias("host_rate"))
-    return m.join(hosts, m["host"].eqNullSafe(hosts["_host"]), "left").withColumn(
+    hosts = host_rates(m).select(
+        F.col("host").alias("_host"), "n_docs", F.col("rate").alias("host_rate"), (F.col("rate") > r.max_host_rate).alias("host_rejected")
+    )
+    return join_counted(m, hosts, "host", "_host", "n_docs", m.count()).withColumn(
         "kept",
         ~F.col("failed") & ~(F.col("host_rejected") & _own_failure(r, r.strict_share)),
     )

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemniscate.llm.common import table
-from lemniscate.llm.line_dedup import LineRules, line_report
+from lemniscate.llm.html_extract import extract
+from lemniscate.llm.line_dedup import line_report
 from lemniscate.llm.packing import pack
+from lemniscate.llm.pieces import digest
 from lemniscate.llm.pii import find_pii
 from lemniscate.llm.quality import quality_rules
+from lemniscate.llm.sharding import shard
 from lemniscate.llm.simhash import near_duplicates
+from lemniscate.llm.topk import every_twentieth
+from lemniscate.llm.url_filter import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +29,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return every_twentieth(table(spark, sf_dir, "embeddings"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +61,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_pii, op9_packing, op10_quality_rules)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_simhash,
+        op3_html_extraction,
+        op4_pii,
+        op5_exact_top_k,
+        op6_url_filter,
+        op7_sentencepiece,
+        op8_sharding,
+        op9_packing,
+        op10_quality_rules,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

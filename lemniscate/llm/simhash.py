@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import packed, stored, unpacked
+from lemniscate.llm.common import join_counted, packed, stored, unpacked
 from lemniscate.llm.components import components
 
 TAU = 3
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, rules: SearchRules = SearchRules()) -> Data
 
 def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
     """``marked`` (doc_id, fp, ...) with ``root`` (a fingerprint of the component) and ``component_id``."""
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), rules))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
@@ -289,8 +289,9 @@ def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
         F.col("fp").alias("_fp"),
         F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_id")).alias("component_id"),
+        "n",
     )
-    return marked.join(ids, F.col("fp") == F.col("_fp"), "left").drop("_fp")
+    return join_counted(marked, stored(ids, "ids"), "fp", "_fp", "n", marked.count()).drop("n")
 
 
 def keep_one(docs: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
