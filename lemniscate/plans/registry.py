@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lemniscate.plans import data_queries, search_queries, text_queries
+from lemniscate.plans.catalog import Catalog, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "bm25_match"
+CATALOGS: tuple[Catalog, ...] = (search_queries.C, text_queries.C, data_queries.C)
+QUERIES: dict[str, Query] = {k: f for c in CATALOGS for k, f in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for c in CATALOGS for k, s in c.sql.items()}
+FLAGSHIP = "fusion_max"
