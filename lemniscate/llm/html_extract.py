@@ -52,12 +52,14 @@ _OUT = frozenset(
 )
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note status".split())
 _OUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsors sponsored promo promotion promotions sidebar"
+    "ad ads adslot adunit adbanner adsense adbox banner sponsor sponsors sponsored promo promotion promotions sidebar"
     " sidebars menu menus nav navs navbar navigation breadcrumb breadcrumbs footer footers header headers masthead topbar cookie cookies"
     " consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment"
     " comments commentlist discussion disqus respond replies related recommended recommendations widget widgets toolbar pagination pager"
-    " copyright legal disclaimer search form skip hidden".split()
+    " copyright legal disclaimer search form skip hidden announcement reviews responses".split()
 )
+#: The same wherever they stand in a name.
+_OUT_STEMS = ("advert", "banner", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor", "topnav", "subnav", "sidenav")
 #: Never left out by name: they hold the page or the article.
 _KEPT = frozenset("html body main article".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -97,7 +99,9 @@ def _left_out(tag: str, raw: str) -> bool:
         return True
     for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
         parts = re.split(r"[-_:]+", name)
-        if parts[0] not in ("has", "no", "with", "is", "not") and not _OUT_NAMES.isdisjoint(parts):
+        if parts[0] in ("has", "no", "with", "is", "not"):
+            continue
+        if not _OUT_NAMES.isdisjoint(parts) or any(x in name for x in _OUT_STEMS):
             return True
     return False
 

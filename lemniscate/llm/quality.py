@@ -30,7 +30,7 @@ class QualityRules:
     max_repeat_percent: int = 50
     #: Symbols per hundred words, repeated lines per hundred lines, characters per word.
     max_symbol_percent: int = 30
-    max_dup_line_percent: int = 30
+    max_dup_line_percent: int = 60
     min_word_chars: int = 2
     max_word_chars: int = 20
     #: A host is rejected when its shrunk failure rate is above this.
