@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lemniscate.functions.text import stripped
+
 Step = tuple[str, str, str]
 
 # What each named step replaces, in the order of application.
@@ -89,7 +91,7 @@ def applied(x: Column, steps: list[Step]) -> Column:
 def cleaned_formula(x: Column) -> Column:
     """A formula span through all steps."""
     for name, steps in STEPS.items():
-        x = applied(F.trim(x) if name == "underset" else x, steps)
+        x = applied(stripped(x) if name == "underset" else x, steps)
     return x
 
 
@@ -108,5 +110,5 @@ INSIDE = r"(?s)^(?:\$\$(.*)\$\$|\$(.*)\$|\\\[(.*)\\\]|\\begin\{.*?\}(.*)\\end\{.
 def formulas(text: Column) -> Column:
     """Insides of the formula spans that have more than five characters, each as ``$…$``."""
     spans = F.regexp_extract_all(text, F.lit(SPAN), F.lit(0))
-    bare = F.transform(spans, lambda x: F.trim(F.regexp_replace(x, INSIDE, "$1$2$3$4")))
+    bare = F.transform(spans, lambda x: stripped(F.regexp_replace(x, INSIDE, "$1$2$3$4")))
     return F.transform(F.filter(bare, lambda x: F.length(x) >= MIN_FORMULA), lambda x: F.concat(F.lit("$"), x, F.lit("$")))

@@ -21,6 +21,11 @@ FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinoooooouuuuyy"
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemniscate.functions.html import formulas_count, html_text, html_text_with_latex, html_text_without_formulas, title_and_body
-from lemniscate.functions.text import ascii_id
+from lemniscate.functions.text import ascii_id, stripped
 
 #: Posts taken by one ingest.
 INGEST_CAP = 15_000
@@ -107,8 +107,8 @@ def latex_collection(spark: SparkSession, path: str) -> DataFrame:
     """formula_id, formula, ord of a LaTeX collection."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(latex_lines(F.col("value"))).alias("ord", "record"))
     return rows.select(
-        F.trim(F.element_at(F.split("record", r"\$\$"), -1)).alias("formula_id"),
-        F.trim(F.regexp_replace(F.element_at(F.split("record", r"\$\$"), 1), r"\n", " ")).alias("formula"),
+        stripped(F.element_at(F.split("record", r"\$\$"), -1)).alias("formula_id"),
+        stripped(F.regexp_replace(F.element_at(F.split("record", r"\$\$"), 1), r"\n", " ")).alias("formula"),
         "ord",
     )
 
