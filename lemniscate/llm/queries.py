@@ -77,4 +77,42 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Near-duplicate links, trained models, tokenisers, markup and sequential packing can't be
+# expressed in SQL; those queries are held against plain Python in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM lines),
+pages AS (SELECT source, count(DISTINCT text) + count(DISTINCT CASE WHEN text IS NULL THEN 1 END) AS n_pages FROM documents GROUP BY source),
+bad AS (SELECT c.source, k FROM (SELECT source, k, count(DISTINCT text) AS n FROM keyed WHERE k <> '' GROUP BY source, k) c
+  JOIN pages p ON c.source IS NOT DISTINCT FROM p.source WHERE n >= 5 AND n > 0.1 * n_pages),
+marked AS (SELECT doc_id, line, i, EXISTS (SELECT 1 FROM bad b WHERE b.source IS NOT DISTINCT FROM x.source AND b.k = x.k) AS gone FROM keyed x)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(m.text, '') END AS text, coalesce(m.n_dropped, 0)::BIGINT AS n_dropped FROM documents d LEFT JOIN
+(SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS text, count_if(gone) AS n_dropped FROM marked GROUP BY doc_id) m USING (doc_id)""",
+    "op5_exact_top_k": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM p),
+twice AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM g JOIN twice USING (doc_id, gram)) GROUP BY doc_id),
+m AS (SELECT d.doc_id, source, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines) AS n_lines,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 60 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS own,
+  100 * n_symbols > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS strict FROM m),
+h AS (SELECT source, count(*) AS n, count_if(base_failed OR own) AS k FROM f GROUP BY source),
+b AS (SELECT sum(k) / sum(n) AS mean, var_pop(k / n) - avg(k / n * (1 - k / n) / greatest(n - 1, 1)) AS var FROM h),
+prior AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 2.0), 10000.0) ELSE 10000.0 END AS weight FROM b),
+rates AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM h CROSS JOIN prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR own) AND NOT (rate > 0.9 AND strict) AS kept, round(rate, 6) AS host_rate, rate > 0.9 AS host_rejected
+FROM f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source""",
+}
