@@ -47,16 +47,18 @@ def concatenated(*vectors: Column) -> Column:
     return F.concat(*[doubles(v) for v in vectors])
 
 
-def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key`` and the element-wise mean of its vectors; null vectors are skipped.
+def mean_vectors(df: DataFrame, key: str, vector: str, weights: str | None = None) -> DataFrame:
+    """``key`` and the (weighted) mean of its vectors; null vectors are skipped.
 
-    Averages by position, so a key's vectors are combined on the map side and
-    never gathered.
+    Vectors are added up where they are read and only the sums are shuffled;
+    a key's vectors are never gathered.
     """
-    parts = df.filter(F.col(vector).isNotNull()).select(key, F.posexplode(doubles(F.col(vector))).alias("pos", "x"))
-    means = parts.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda s: s["x"]).alias(vector))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(doubles(F.col(vector))))
+    mean = Summarizer.mean(F.col("_v"), F.col(weights)) if weights else Summarizer.mean(F.col("_v"))
+    return rows.groupBy(key).agg(mean.alias("_m")).select(key, vector_to_array("_m").alias(vector))
 
 
 def weight(v: Column) -> Column:

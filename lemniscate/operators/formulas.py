@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemniscate.functions import mathml
+from lemniscate.functions.vectors import mean_vectors
 from lemniscate.operators.search import small
 
 WINDOW = 2
@@ -193,19 +194,17 @@ def hashed_vectors(words: DataFrame, key: str, dims: int = 300, least: int = 3,
     """key, vector: the mean over a formula's words of the mean of their n-grams' hash vectors.
 
     An n-gram's component d is the md5 of "d:gram" mapped to -1..1, so vectors
-    need no training and are the same everywhere.  Components are averaged by
-    position and never gathered by formula before they are few.
+    need no training and are the same everywhere.  They are made once for each
+    distinct n-gram; a word's n-grams share the weight 1, which makes the
+    formula's vector a weighted mean.
     """
     component = lambda d, g: F.conv(F.substring(F.md5(F.concat_ws(":", d.cast("string"), g)), 1, 6), 16, 10).cast("double") / 8388608.0 - 1
-    per_word = words.select(key, "pos", F.explode(grams(F.col("word"), least, most)).alias("g"))
-    share = per_word.groupBy(key, "pos", "g").agg(F.count(F.lit(1)).alias("n"))
-    sizes = share.groupBy(key, "pos").agg(F.sum("n").alias("total"))
-    weights = share.join(sizes, [key, "pos"]).groupBy(key, "g").agg(F.sum(F.col("n") / F.col("total")).alias("w"))
-    n_words = words.groupBy(key).agg(F.count(F.lit(1)).alias("n_words"))
-    rows = weights.select(key, "w", "g", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("d"))
-    summed = rows.groupBy(key, "d").agg(F.sum(F.col("w") * component(F.col("d"), F.col("g"))).alias("x"))
-    vectors = summed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-    return vectors.join(n_words, key).select(key, F.transform("v", lambda s: s["x"] / F.col("n_words")).alias("vector"))
+    listed = words.select(key, grams(F.col("word"), least, most).alias("gs"))
+    share = listed.select(key, (1.0 / F.size("gs")).alias("w"), F.explode("gs").alias("g"))
+    weights = share.groupBy(key, "g").agg(F.sum("w").alias("w"))
+    known = weights.select("g").distinct()
+    made = known.select(F.col("g").alias("_g"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: component(d, F.col("g"))).alias("vector"))
+    return mean_vectors(weights.join(made, F.col("g") == F.col("_g")), key, "vector", "w")
 
 
 def trained_vectors(words: DataFrame, key: str, dims: int = 300, window: int = 5, rounds: int = 1, seed: int = 1) -> tuple[object, DataFrame]:
