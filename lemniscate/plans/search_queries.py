@@ -207,7 +207,7 @@ def _fusion_sql(total: str) -> str:
     return (
         f"WITH {BM25_SQL}, {MEANS_SQL}, {FORMULA_ARM_SQL}, {TEXT_ARM_SQL}, "
         f"formula_arm AS (SELECT query_id, doc_id, {total} AS score FROM fhits GROUP BY query_id, doc_id), "
-        "s AS (SELECT query_id, doc_id, round(0.5 * coalesce(t.score, 0) + 0.5 * coalesce(f.score, 0), 6) AS score "
+        "s AS (SELECT query_id, doc_id, round(0.5 * coalesce(t.score, 0) + 0.5 * coalesce(f.score, 0), 9) AS score "
         f"FROM text_arm t FULL JOIN formula_arm f USING (query_id, doc_id)) {RANKED_SQL}"
     )
 
@@ -232,8 +232,8 @@ def arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _fused(spark: SparkSession, sf: str, how: str, weighted: bool) -> DataFrame:
     text, hits = arms(spark, sf)
-    both = fusion.fused(text, fusion.by_document(hits, how, weighted)).select("query_id", "doc_id", "score")
-    return search.top_k(_rounded(both), K, per="query_id")
+    both = fusion.fused(text, fusion.by_document(hits, how, weighted)).select("query_id", "doc_id", F.round("score", 9).alias("score"))
+    return search.top_k(both, K, per="query_id")
 
 
 @C.add(_fusion_sql("greatest(max(score), 0)"))
