@@ -66,6 +66,21 @@ def usable_formulas(formulas: DataFrame, posts: DataFrame) -> DataFrame:
     return kept.join(posts.select(F.col("post_id").cast("string").alias("post_id")), "post_id", "left_semi")
 
 
+def tokenised_collection(spark: SparkSession, path: str) -> DataFrame:
+    """Formulas already cut into tuples, one tuple a line and one formula a file: formula_id, tuples."""
+    files = _whole_files(spark, path)
+    lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != "")
+    return files.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("formula_id"), lines.alias("tuples"))
+
+
+def holding(docs: DataFrame, *parts: str, column: str = "content") -> DataFrame:
+    """Documents whose text has any of the given parts."""
+    out = F.lit(False)
+    for p in parts:
+        out = out | F.contains(column, F.lit(p))
+    return docs.filter(out)
+
+
 # Fixed value: a math element, with or without a namespace prefix.
 MATH = r"(?s)<(?:\w+:)?math\b.*?</(?:\w+:)?math>"
 

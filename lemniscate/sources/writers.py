@@ -31,6 +31,16 @@ def write_tuples(tuples: DataFrame, path: str) -> None:
     tuples.select("dir", line).write.mode("overwrite").partitionBy("dir").text(path)
 
 
+def composite_lines(places: DataFrame) -> DataFrame:
+    """Ranked places (query_id, place, doc_id, positions, keywords) of multi-formula queries as lines.
+
+    Formula positions stand between ``*M*`` marks, keywords between ``*W*`` marks.
+    """
+    marked = lambda mark, c: F.concat(F.lit(mark), F.array_join(c, ","), F.lit(mark))
+    parts = ["query_id", "place", "doc_id", marked("*M*", F.col("positions").cast("array<string>")), marked("*W*", F.col("keywords"))]
+    return places.select(F.concat_ws("\t", *parts).alias("line"))
+
+
 def write_map(pairs: DataFrame, path: str) -> None:
     """An encoder map (kind, symbol, id) as tab-separated text."""
     pairs.select("kind", "symbol", "id").coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "").csv(path)

@@ -66,6 +66,16 @@ def test_file_collections(spark, tmp_path):
     assert [tuple(t) for t in triples] == [("f1", "i1"), ("f2", "i2")]
 
 
+def test_tokenised_files_and_probes(spark, tmp_path):
+    put(f"{tmp_path}/t/f1.txt", "V!x\t+\tn\t-\n\n+\tN!2\tn\tn\n")
+    ((name, tuples),) = [tuple(r) for r in readers.tokenised_collection(spark, f"{tmp_path}/t").collect()]
+    assert name == "f1" and tuples == ["V!x\t+\tn\t-", "+\tN!2\tn\tn"]
+    docs = spark.createDataFrame([("a qvar b",), ("plain",)], "content string")
+    assert readers.holding(docs, "qvar", "zzz").count() == 1
+    places = spark.createDataFrame([("q", 1, "d", [3, 5], ["sum"])], "query_id string, place int, doc_id string, positions array<int>, keywords array<string>")
+    assert writers.composite_lines(places).first()[0] == "q\t1\td\t*M*3,5*M*\t*W*sum*W*"
+
+
 def test_config_control_results(spark, tmp_path):
     assert readers.config(spark, put(f"{tmp_path}/c", "vector_size,300\nname,slt\n")) == {"vector_size": 300, "name": "slt"}
     assert readers.control(spark, put(f"{tmp_path}/d", "window\t2\n")) == {"window": 2}
