@@ -420,8 +420,8 @@ def _op_node(op: Op) -> Node:
 
 
 def tree(kind: str, markup: str) -> Node | None:
-    """Layout (``slt``) or operator (``opt``) tree of a formula; None for an empty one."""
-    root = ET.fromstring(markup)
+    """Layout (``slt``) or operator (``opt``) tree of a formula's part of that kind; None for an empty one."""
+    root = _part(ET.fromstring(markup), kind)
     if kind == "opt":
         return _op_node(operators(root)) if len(root) or _name(root) != "math" else None
     row = layout(root)
@@ -578,21 +578,25 @@ def latex_markup(latex: str) -> str | None:
         return None
 
 
-def isolated(markup: str, kind: str) -> str | None:
-    """The presentation (``slt``) or content (``opt``) part of a formula, without its TeX annotation."""
+def _part(root: ET.Element, kind: str) -> ET.Element:
+    """The presentation (``slt``) or content (``opt``) part of a parsed formula, without its TeX annotation."""
     wanted, other = ("MathML-Presentation", "MathML-Content") if kind == "slt" else ("MathML-Content", "MathML-Presentation")
-    root = ET.fromstring(markup)
+    found = None
     for parent in root.iter():
         for child in list(parent):
-            if _name(child) == "annotation" and child.get("encoding") == "application/x-tex":
+            name = _name(child)
+            if name == "annotation" and child.get("encoding") == "application/x-tex":
+                parent.remove(child)
+            elif name == "annotation-xml" and child.get("encoding") == wanted and found is None:
+                found = child
+            elif name == "annotation-xml" and child.get("encoding") == other:
                 parent.remove(child)
-    found = next((e for e in root.iter() if _name(e) == "annotation-xml" and e.get("encoding") == wanted), None)
     if found is None:
-        for parent in root.iter():
-            for child in list(parent):
-                if _name(child) == "annotation-xml" and child.get("encoding") == other:
-                    parent.remove(child)
-        found = root
-    found.tag = "math"
-    found.tail = None
-    return ET.tostring(found, encoding="unicode")
+        return root
+    found.tag, found.tail = "math", None
+    return found
+
+
+def isolated(markup: str, kind: str) -> str:
+    """The part that :func:`tree` reads, as markup."""
+    return ET.tostring(_part(ET.fromstring(markup), kind), encoding="unicode")

@@ -37,7 +37,7 @@ def _parser(kind: str):
         rows = []
         for s in markup:
             try:
-                node = mathml.tree(kind, mathml.isolated(s, kind)) if s else None
+                node = mathml.tree(kind, s) if s else None
                 rows.append((mathml.written(node, kind), list(mathml.flat(node, kind)), None) if node else (None, None, None))
             except (mathml.UnknownTag, mathml.ET.ParseError, RecursionError) as e:
                 rows.append((None, None, f"{type(e).__name__}: {e}"))
