@@ -130,13 +130,13 @@ def train(labelled: DataFrame, r: UrlRules) -> Model:
     """Models from all rows of ``labelled`` (text, label: 1 accepted, 0 rejected)."""
     grams = labelled.select("text", "label").mapInArrow(_grams(r.order), "class int, gram string, n long")
     grams = stored(grams.groupBy("class", "gram").agg(F.sum("n").alias("n")), "grams")
-    # How many entries there are of each frequency, up to 4096: fixes the least frequency that fits.
-    sizes = {x["f"]: x["count"] for x in grams.groupBy(F.least("n", F.lit(4096)).alias("f")).count().collect()}
-    least, total = 1, sum(sizes.values())
-    while total > r.entries and least < 4096:
-        total -= sizes.get(least, 0)
-        least += 1
-    kept = grams.filter((F.col("n") >= least) | (F.length("gram") <= 1)).toArrow()
+    # How many entries there are of each power of two of frequency: fixes the least frequency that fits.
+    sizes = {x["f"]: x["count"] for x in grams.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("f")).count().collect()}
+    power, total = 0, sum(sizes.values())
+    while total > r.entries:
+        total -= sizes.get(power, 0)
+        power += 1
+    kept = grams.filter((F.col("n") >= 2**power) | (F.length("gram") <= 1)).toArrow()
     return Model(list(zip(kept["class"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_pylist())), r.order)
 
 
