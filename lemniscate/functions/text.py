@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -187,9 +188,10 @@ def cut_keeping_formulas(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else cut_text(s))
 
 
-def ascii_id(name: Column) -> Column:
-    """Name without accents and without what isn't ASCII."""
-    return F.regexp_replace(F.translate(name, FOLD_FROM + FOLD_FROM.upper(), FOLD_TO + FOLD_TO.upper()), r"[^\x00-\x7F]", "")
+@F.pandas_udf(T.StringType())
+def ascii_id(name: pd.Series) -> pd.Series:
+    """Name decomposed, without accents and without what isn't ASCII."""
+    return name.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
 
 def run_lengths(path: str) -> str:

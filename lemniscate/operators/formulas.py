@@ -124,6 +124,18 @@ def tree_stats(nodes: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     return nodes.select(key, F.size(n).alias("size"), depth.alias("depth"), reach.alias("n_pairs"))
 
 
+def unique_trees(parsed_formulas: DataFrame, key: str) -> DataFrame:
+    """Distinct trees with how many formulas have them and the smallest key; keys of a common tree are never gathered."""
+    return parsed_formulas.filter(F.col("tree").isNotNull()).groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+
+
+def error_trees(parsed_formulas: DataFrame) -> DataFrame:
+    """How many trees hold an error symbol, and how many formulas have no tree."""
+    return parsed_formulas.agg(
+        F.count_if(F.contains("tree", F.lit("E!"))).alias("with_errors"), F.count_if(F.col("tree").isNull()).alias("unparsed")
+    )
+
+
 def node_tokens(tag: Column, mode: str, numbers: bool = False, everything: bool = False) -> Column:
     """Tokens of a symbol: value, type, both_separated or both; values cut into characters on request."""
     parts = F.split(tag, "!", -1)
