@@ -36,11 +36,19 @@ def _remove_folder(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
+#: Rows of narrow tables that one file, and the task that writes it, may hold.
+ROWS_PER_FILE = 250_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    ``rows``: about how many narrow rows there are; small tables then go to
+    few files, whatever the number of shuffle partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lemniscate/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemniscate_path = path
     return out

@@ -13,14 +13,15 @@ def _state(links: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1] or 0)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: int, max_rounds: int = 60) -> DataFrame:
     """``links`` (u, v: long) to one row per linked node: ``node``, ``root`` (the smallest node it reaches).
 
-    Each round replaces links by links to smaller nodes; it ends when nothing
+    ``nodes``: how many nodes there are at most; sizes the files.  Each round
+    replaces links by links to smaller nodes; it ends when nothing
     changes.  Every round is written to the shared folder, so lineage stays
     short.  Self-links and repeated links do no harm; nulls must not occur.
     """
-    now = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    now = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links", nodes)
     before = _state(now)
     for _ in range(max_rounds):
         # Large star: every neighbour above the node is linked to the node's smallest neighbour.
@@ -36,7 +37,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        new = stored(small, "links")
+        new = stored(small, "links", before[0])
         discard(now)
         now, state = new, _state(new)
         if state == before:

@@ -238,7 +238,7 @@ def links(fps: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
         return fps.select("fp", F.explode(F.array(*made)).alias("k")).select("fp", "k.part", "k.key")
 
     index, probes = keys(False), keys(True)
-    counts = stored(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = stored(index.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")), "counts", n * len(parts))
     single = [i for i, _, t in parts if t == 0]  # a lone fingerprint meets nothing there
     light = counts.filter((F.col("n") <= rules.hot) & ((F.col("n") > 1) | ~F.col("part").isin(single)))
     on = ["part", "key"]
@@ -255,6 +255,7 @@ def links(fps: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
             *on, F.ceil(F.col("n") / rules.block).cast("int").alias("rows"), F.ceil(F.col("n_probes") / rules.block).cast("int").alias("cols")
         ),
         "grid",
+        n * sum(len(_masks(bits, t)) for _, bits, t in parts),
     )
     block = F.xxhash64("fp", F.lit(1))
     a = (
@@ -280,8 +281,9 @@ def near_duplicates(docs: DataFrame, rules: SearchRules = SearchRules()) -> Data
 
 def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
     """``marked`` (doc_id, fp, ...) with ``root`` (a fingerprint of the component) and ``component_id``."""
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
-    roots = components(links(nodes.select("fp"), rules))
+    total = marked.count()
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes", total)
+    roots = components(links(nodes.select("fp"), rules), total)
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
     moved = linked.select("fp", "root").join(smallest, "root")
@@ -291,7 +293,7 @@ def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("linked_id")).alias("component_id"),
         "n",
     )
-    return join_counted(marked, stored(ids, "ids"), "fp", "_fp", "n", marked.count()).drop("n")
+    return join_counted(marked, stored(ids, "ids", total), "fp", "_fp", "n", total).drop("n")
 
 
 def keep_one(docs: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:

@@ -80,7 +80,7 @@ def test_simhash_dense_cluster(spark):
     fps = sorted(x % (1 << 64) for x in fps)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     found = simhash.links(df, simhash.SearchRules(hot=16, block=256))
-    roots = {r["node"] % (1 << 64): r["root"] for r in components.components(found).collect()}
+    roots = {r["node"] % (1 << 64): r["root"] for r in components.components(found, len(fps)).collect()}
     want = brute.linked(fps)
     mine = {}
     for i, f in enumerate(fps):
@@ -108,7 +108,7 @@ def test_layout_covers(n):
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1100)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), 500).collect()}
     root = {x: x for e in edges for x in e}
     for _ in range(200):
         for u, v in edges:
