@@ -94,7 +94,7 @@ def _propagate(linked: DataFrame, total: int, capacity: int, r: ShardRules) -> D
         key = F.col("to") * (r.gains + 1) + F.col("level")
         luck = F.pmod(F.xxhash64("deal", F.lit(step)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         go = (F.col("to") != F.col("shard")) & (luck < F.coalesce(share[key], F.lit(0.0)))
-        new = stored(moves.withColumn("shard", F.when(go, F.col("to")).otherwise(F.col("shard"))).drop("to", "level"), "labels")
+        new = stored(moves.withColumn("shard", F.when(go, F.col("to")).otherwise(F.col("shard"))).drop("to", "level"), "labels", total)
         discard(linked)
         linked = new
     return linked
@@ -108,12 +108,12 @@ def shard(docs: DataFrame, rules: ShardRules = ShardRules()) -> DataFrame:
     total = rows.count()
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("text_key", "_key")
     marked = join_counted(rows, copies, "text_key", "_key", "n", total).withColumn("linked", F.col("n") > 1)
-    marked = stored(marked.withColumn("shard", F.pmod(F.shiftright(F.col("deal"), 20), F.lit(r.shards)).cast("int")).select(*columns, "linked"), "marked")
+    marked = stored(marked.withColumn("shard", F.pmod(F.shiftright(F.col("deal"), 20), F.lit(r.shards)).cast("int")).select(*columns, "linked"), "marked", total)
     quota = [total // r.shards + (s < total % r.shards) for s in range(r.shards)]
-    linked = _propagate(stored(marked.filter("linked").select(*columns), "labels"), total, min(quota), r)
+    linked = _propagate(stored(marked.filter("linked").select(*columns), "labels", total), total, min(quota), r)
     # Linked rows come first in every shard, so that those without a link give way.
     placed = linked.withColumn("single", F.lit(0)).unionByName(marked.filter("NOT linked").select(*columns).withColumn("single", F.lit(1)))
-    placed = stored(_ranked(placed, ["shard", "single"], r), "placed")
+    placed = stored(_ranked(placed, ["shard", "single"], r), "placed", total)
     n = {(s, one): 0 for s in range(r.shards) for one in (0, 1)}
     n |= {(x["shard"], x["single"]): x["count"] for x in placed.groupBy("shard", "single").count().collect()}
     load = [n[s, 0] + n[s, 1] for s in range(r.shards)]
