@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemniscate.llm.common import stored, table
+from lemniscate.llm.common import discard, stored, table
 from lemniscate.llm.line_dedup import dedup_lines
 from lemniscate.llm.packing import pack
 from lemniscate.llm.pii import masked
@@ -56,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; what each returns is written to the shared folder and read back."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _own_folder: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +38,21 @@ def _remove_folder(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's tables; they go when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/lemniscate/{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_sweep, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _sweep(jvm: object, conf: object, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 #: Rows of narrow tables that one file, and the task that writes it, may hold.
 ROWS_PER_FILE = 250_000
 
@@ -47,7 +64,7 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     few files, whatever the number of shuffle partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lemniscate/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemniscate_path = path
