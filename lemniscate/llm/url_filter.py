@@ -4,29 +4,32 @@ Listed rules decide the URLs they fit.  For the models, URLs whose host holds a
 listed word are rejected ones and all others accepted ones, but for those that
 a rule blocks: such rules are policy about sections and say nothing about how
 rejected URLs are spelled.  From all labelled URLs two variable-order Markov
-models of characters are counted (contexts up to ORDER characters, longer ones
-only where frequent) and smoothed by Witten-Bell interpolation.  The difference
+models of characters are counted (contexts up to ``order`` characters, as far
+as they were seen) and smoothed by Witten-Bell interpolation.  The difference
 of the two log-likelihoods, divided by the length, is calibrated on labelled
 URLs held out by hash: URLs without a rule are blocked below the threshold.
 
+The models are tables, as large as the URLs' n-grams are many; nothing of them
+is cut or gathered on the driver.  A character's probability depends only on
+the window of ``order`` characters before it and itself, so windows are
+counted once, smoothed order by order with joins to the contexts and to the
+next lower order, and joined to the URLs that hold them.
+
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
 rule and is allowed; an empty table, or one without labelled URLs, gives
 models that say nothing, and everything without a rule is allowed; repeated
-rows are judged alike; other columns are ignored.
+rows are counted as often as they are given and judged alike; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import stored
+from lemniscate.llm.common import discard, join_counted, stored
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = (
@@ -42,9 +45,8 @@ REJECTED_WORDS = ("adult", "bet", "bets", "casino", "escort", "gambling", "lotte
 
 @dataclass(frozen=True)
 class UrlRules:
+    #: Characters in the longest contexts.
     order: int = 5
-    #: Entries of a model; while there are more, rarer ones of orders above 1 go.
-    entries: int = 200_000
     #: One labelled URL in so many is held out for calibration.
     holdout: int = 5
     #: Of the accepted held-out URLs at most this share may be blocked.
@@ -69,87 +71,86 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return out
 
 
-def _grams(order: int):
-    """Counts of (class, n-gram) over a task's labelled URLs; an n-gram is a context and the character after it."""
-
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
-
-        def out(c: Counter) -> Any:
-            keys = list(c)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(k[0]) for k in keys], pa.int32()), pa.array([k[1:] for k in keys], pa.string()), pa.array(list(c.values()), pa.int64())],
-                names=["class", "gram", "n"],
-            )
-
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1)):
-                s, c = "\x02" + text.as_py() + "\x03", str(label.as_py())
-                counts.update(c + s[max(0, i - k) : i + 1] for i in range(1, len(s)) for k in range(min(order, i) + 1))
-                if len(counts) > 500_000:
-                    yield out(counts)
-                    counts.clear()
-        yield out(counts)
-
-    return run
-
-
-class Model:
-    """Two variable-order character models, rejected (0) and accepted (1)."""
-
-    def __init__(self, grams: list[tuple[int, str, int]], order: int) -> None:
-        self.order = order
-        self.count = ({}, {})
-        #: context: (occurrences, different characters after it)
-        self.context = ({}, {})
-        for c, g, n in grams:
-            self.count[c][g] = n
-            total, kinds = self.context[c].get(g[:-1], (0, 0))
-            self.context[c][g[:-1]] = (total + n, kinds + 1)
-
-    def score(self, text: str) -> float:
-        """Log-likelihood as accepted less that as rejected, by character."""
-        s = "\x02" + text + "\x03"
-        total = 0.0
-        for i in range(1, len(s)):
-            p = [1 / 256, 1 / 256]
-            for c in (0, 1):
-                count, context = self.count[c], self.context[c]
-                for k in range(min(self.order, i) + 1):
-                    h = s[i - k : i]
-                    seen = context.get(h)
-                    if seen is None:
-                        break
-                    p[c] = (count.get(h + s[i], 0) + seen[1] * p[c]) / (seen[0] + seen[1])
-            total += log(p[1] / p[0])
-        return total / (len(s) - 1)
-
-
-def train(labelled: DataFrame, r: UrlRules) -> Model:
-    """Models from all rows of ``labelled`` (text, label: 1 accepted, 0 rejected)."""
-    grams = labelled.select("text", "label").mapInArrow(_grams(r.order), "class int, gram string, n long")
-    grams = stored(grams.groupBy("class", "gram").agg(F.sum("n").alias("n")), "grams")
-    # How many entries there are of each power of two of frequency: fixes the least frequency that fits.
-    sizes = {x["f"]: x["count"] for x in grams.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("f")).count().collect()}
-    power, total = 0, sum(sizes.values())
-    while total > r.entries:
-        total -= sizes.get(power, 0)
-        power += 1
-    kept = grams.filter((F.col("n") >= 2**power) | (F.length("gram") <= 1)).toArrow()
-    return Model(list(zip(kept["class"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_pylist())), r.order)
-
-
-def _scores(model: Any, column: int):
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
-
-        score = model.value.score
-        for batch in batches:
-            scores = pa.array([score(x.as_py()) if x.as_py() else 0.0 for x in batch.column(column)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
-
-    return run
+#: What every character has before anything is counted.
+_FLAT = 1 / 256
+#: Log-ratios are summed as whole multiples of this, so that their order doesn't matter.
+_UNIT = 2.0**-32
+
+
+def _windows(text: Column, order: int) -> tuple[Column, Column]:
+    """Characters of ``text`` between marks, and a function's worth of windows over a column ``_chars`` that holds them."""
+    chars = F.split(F.concat(F.lit("\x02"), text, F.lit("\x03")), "")
+    held = F.col("_chars")
+    # F.get is null before the start, which concat_ws leaves out.
+    window = lambda i: F.concat_ws("", *[F.get(held, i - k) for k in range(order, -1, -1)])
+    return chars, F.transform(F.sequence(F.lit(1), F.size(held) - 1), window)
+
+
+def positions(texts: DataFrame, keep: list[str], order: int) -> DataFrame:
+    """``keep`` and ``w``: for every character of ``text`` and the end, up to ``order`` characters before it and itself."""
+    chars, windows = _windows(F.col("text"), order)
+    return texts.select(*keep, chars.alias("_chars")).select(*keep, F.explode(windows).alias("w"))
+
+
+def train(texts: DataFrame, order: int) -> DataFrame:
+    """``texts`` (text, n, label: 1 accepted, 0 rejected, null: neither) to one row per window.
+
+    ``w``, ``rows`` (how many positions of ``texts`` have it) and ``ratio``, the
+    log-likelihood of its last character after the others as accepted less
+    that as rejected, in units of ``_UNIT``.
+    """
+    classes = (0, 1)
+    counts = positions(texts, ["n", "label"], order).groupBy("w").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in classes]
+    )
+    length = F.length("w")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), length), lambda k: F.struct(F.substring(F.col("w"), length - k + 1, k).alias("g"), (k == length).alias("whole"))
+    )
+    grams = (
+        counts.select("rows", "n0", "n1", F.explode(suffixes).alias("x"))
+        .groupBy("x.g")
+        .agg(F.sum(F.when(F.col("x.whole"), F.col("rows")).otherwise(0)).alias("rows"), *[F.sum(f"n{c}").alias(f"n{c}") for c in classes])
+        .select("*", (F.length("g") - 1).alias("k"))
+        .select("*", F.expr("substring(g, 1, k)").alias("h"), F.expr("substring(g, 2)").alias("tail"))
+    )
+    grams = stored(grams, "grams")
+    sizes = {x["k"]: x["count"] for x in grams.groupBy("k").count().collect()}  # one row per order
+    levels: list[DataFrame] = []
+    for k in range(order + 1):
+        own = grams.filter(F.col("k") == k)
+        contexts = own.groupBy(F.col("h").alias("_h")).agg(
+            *[F.sum(f"n{c}").alias(f"t{c}") for c in classes], *[F.count_if(F.col(f"n{c}") > 0).alias(f"d{c}") for c in classes]
+        )
+        own = own.join(contexts, F.col("h") == F.col("_h"))
+        if levels:
+            below = levels[-1].select(F.col("g").alias("_tail"), *[F.col(f"p{c}").alias(f"q{c}") for c in classes])
+            own = own.join(below, F.col("tail") == F.col("_tail"))
+        else:
+            own = own.withColumns({f"q{c}": F.lit(_FLAT) for c in classes})
+        p = [
+            F.when(F.col(f"t{c}") > 0, (F.col(f"n{c}") + F.col(f"d{c}") * F.col(f"q{c}")) / (F.col(f"t{c}") + F.col(f"d{c}")))
+            .otherwise(F.col(f"q{c}"))
+            .alias(f"p{c}")
+            for c in classes
+        ]
+        levels.append(stored(own.select("g", "rows", *p), "order", sizes.get(k, 0)))
+    discard(grams)
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    return every.filter("rows > 0").select(
+        F.col("g").alias("w"), "rows", F.round(F.log(F.col("p1") / F.col("p0")) / _UNIT).cast("long").alias("ratio")
+    )
+
+
+def scores(texts: DataFrame, order: int) -> DataFrame:
+    """``texts`` (key, text, n, label) to key, n, score: accepted minus rejected, by character."""
+    model = train(texts, order).withColumnRenamed("w", "_w")
+    total = model.agg(F.sum("rows")).first()[0] or 0
+    found = join_counted(positions(texts, ["key", "n"], order), model, "w", "_w", "rows", total)
+    by_text = found.groupBy("key").agg(F.max("n").alias("n"), F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("m"))
+    return by_text.select("key", "n", (F.col("sum") * _UNIT / F.col("m")).alias("score"))
 
 
 def judge(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
@@ -160,17 +161,17 @@ def judge(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
     df = df.withColumn("found", rule_for(F.col("host"), F.col("path"))).withColumn("text", F.concat("host", "path"))
     rejected = F.regexp_like("host", F.concat(F.lit("(^|[.-])("), word, F.lit(")([.-]|$)")))
     label = F.when(rejected, 0).when(F.coalesce("found.verdict", F.lit("")) != "block", 1)
-    df = stored(df.withColumn("label", F.when(F.col("text") != "", label)), "urls")
-    held = F.pmod(F.xxhash64("text"), F.lit(rules.holdout)) == 0
-    labelled = df.filter(F.col("label").isNotNull())
-    model = df.sparkSession.sparkContext.broadcast(train(labelled.filter(~held), rules))
-    schema = "page_id long, host string, path string, rule string, given string, text string, label int"
-    scored = stored(
-        df.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), "text", "label").mapInArrow(
-            _scores(model, 5), schema + ", score double"
-        ),
-        "scores",
+    df = df.withColumn("label", F.when(F.col("text") != "", label))
+    df = df.select(
+        "page_id", "host", "path", "text", "label", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), F.unhex(F.md5("text")).alias("key")
     )
+    df = stored(df, "urls")
+    held = F.pmod(F.xxhash64("text"), F.lit(rules.holdout)) == 0
+    # A text has one label; copies are one row that counts as often as there are copies.
+    texts = df.filter("text <> ''").groupBy("key", "text").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    texts = stored(texts.withColumn("label", F.when(~held, F.col("label"))), "texts")
+    scored = join_counted(df, stored(scores(texts, rules.order), "text-scores").withColumnRenamed("key", "_key"), "key", "_key", "n", df.count(), "left")
+    scored = stored(scored.withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
     accepted = scored.filter((F.col("label") == 1) & held)
     bar = accepted.agg(F.percentile_approx("score", F.lit(rules.false_blocks), F.lit(10_000))).first()[0]
     # Never above even odds: what looks accepted stays.

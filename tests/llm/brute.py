@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -134,3 +135,31 @@ def best_fit_decreasing(lengths: list[int], window: int) -> int:
         else:
             free.append(window - x)
     return len(free)
+
+
+def url_scores(texts: dict[str, int], labels: dict[str, int | None], order: int) -> dict[str, float]:
+    """Log-likelihood difference by character of two Witten-Bell models, for texts with their numbers of rows."""
+    count: list[Counter] = [Counter(), Counter()]
+    for t, n in texts.items():
+        s = "\x02" + t + "\x03"
+        if labels[t] is not None:
+            for i in range(1, len(s)):
+                for k in range(min(order, i) + 1):
+                    count[labels[t]][s[i - k : i + 1]] += n
+    total: list[Counter] = [Counter(), Counter()]
+    kinds: list[Counter] = [Counter(), Counter()]
+    for c in (0, 1):
+        for g, n in count[c].items():
+            total[c][g[:-1]] += n
+            kinds[c][g[:-1]] += 1
+
+    def p(c: int, h: str, x: str) -> float:
+        lower = p(c, h[1:], x) if h else 1 / 256
+        return (count[c][h + x] + kinds[c][h] * lower) / (total[c][h] + kinds[c][h]) if total[c][h] else lower
+
+    out = {}
+    for t in texts:
+        s = "\x02" + t + "\x03"
+        at = range(1, len(s))
+        out[t] = sum(math.log(p(1, s[max(0, i - order) : i], s[i]) / p(0, s[max(0, i - order) : i], s[i])) for i in at) / len(at)
+    return out

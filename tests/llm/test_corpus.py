@@ -349,6 +349,18 @@ def test_url_model_separates(spark):
     assert all((r["verdict"] == "block") == any(w in r["host"] for w in ("casino", "bets")) for r in got)
 
 
+def test_url_scores(spark):
+    rnd = random.Random(3)
+    texts = {"".join(rnd.choice("abé😀/.\x02") for _ in range(rnd.randrange(1, 30))): rnd.randrange(1, 4) for _ in range(150)} | {"long/" * 40_000: 1}
+    labels = {t: rnd.choice([0, 1, 1, None]) for t in texts}
+    names = {str(i).encode(): t for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(k, t, texts[t], labels[t]) for k, t in names.items()], "key binary, text string, n long, label int")
+    for order in (0, 2, 5):
+        want = brute.url_scores(texts, labels, order)
+        got = {names[bytes(r["key"])]: r["score"] for r in rows(url_filter.scores(df, order))}
+        assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-8 for t in want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></ul></nav><!-- x <p>no</p> --><div class="ad">Buy now, buy here.</div>
 %s<aside>Side</aside><section id="comments"><p>A reader says a lot of things here, at some length indeed.</p></section>
