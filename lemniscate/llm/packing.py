@@ -29,8 +29,9 @@ from lemniscate.llm.common import stored
 from lemniscate.llm.tokens import END, encoder
 
 WINDOW = 1024
-#: Remainders of one length are ranked in this many parts.
+#: Pieces of one length are ranked in this many parts at least, and in more where a part would hold more rows.
 PARTS = 64
+ROWS_PER_PART = 250_000
 
 Run = tuple[int, int, int, int, int, int]
 
@@ -172,26 +173,21 @@ def _places(runs: list[Run]):
 
 def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    cut = pieces(docs, path, ranks_path, window).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
-    )
-    cut = stored(cut, "pieces")
-    # At most window x PARTS rows, whatever the corpus.
-    counts = cut.groupBy("length", "part").count().collect()
-    histogram: dict[int, int] = {}
-    before: dict[int, list[int]] = {}
-    for length, part, n in sorted(map(tuple, counts)):
-        at = before.setdefault(length, [0] * PARTS)
-        at[part] = histogram.get(length, 0)
-        histogram[length] = at[part] + n
+    cut = stored(pieces(docs, path, ranks_path, window), "pieces")
+    # One row per length, whatever the corpus.
+    histogram = {x["length"]: x["count"] for x in cut.groupBy("length").count().collect()}
     runs, _ = plan(histogram, window)
-    offsets = cut.sparkSession.createDataFrame(
-        [(length, part, x) for length, xs in before.items() for part, x in enumerate(xs)], "_length long, _part int, before long"
+    parts = max(PARTS, max(histogram.values(), default=0) // ROWS_PER_PART + 1)
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(
+        F.col("length").alias("_length"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = (
         cut.withColumn("rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
+        .join(offsets, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")))
         .withColumn("rank", F.col("rank") - 1 + F.col("before"))
     )
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
