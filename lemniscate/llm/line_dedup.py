@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import packed, stored, unpacked
+from lemniscate.llm.common import join_counted, packed, stored, unpacked
 
 #: Characters that are cut from both ends of a line before lines are compared.
 SPACE = " \t\x0b\x0c\r"
@@ -30,7 +30,7 @@ class LineRules:
     max_ratio: float = 0.1
     #: On fewer pages than this nothing is boilerplate.
     min_pages: int = 5
-    #: A table of boilerplate lines up to this size is broadcast, a larger one is joined.
+    #: A table of boilerplate lines up to this size is broadcast; of a larger one the hot hosts are, and the others are joined.
     broadcast_bytes: int = 8 << 20
 
 
@@ -39,13 +39,13 @@ def _trimmed(x: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """One row per host that has boilerplate: ``host``, ``lines`` (the trimmed lines)."""
+    """One row per host that has boilerplate: ``host``, ``keys`` (digests of the trimmed lines), ``n_pages``, ``n_rows``."""
     pages = docs.select(
         F.col("source").alias("host"),
         F.xxhash64("text").alias("page"),
         F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), _trimmed), lambda x: x != "")).alias("lines"),
     )
-    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("n_pages"))
+    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_rows"))
     keyed = pages.select("host", "page", F.explode("lines").alias("line")).select(
         "host", "page", F.unhex(F.md5("line")).alias("key")
     )
@@ -53,21 +53,20 @@ def boilerplate(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     common = (
         seen.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
         .filter(F.col("n") > rules.max_ratio * F.col("n_pages"))
-        .select("host", "key", "n", "n_pages")
+        .select("host", "key", "n_pages", "n_rows")
     )
     # A host has at most (lines per page) / max_ratio such lines, so the array is short.
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.max("n_pages").alias("n_pages"))
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.max("n_pages").alias("n_pages"), F.max("n_rows").alias("n_rows"))
 
 
 def _cleaned(docs: DataFrame, rules: LineRules, columns: list[Column]) -> DataFrame:
-    found = stored(boilerplate(docs, rules), "boilerplate").select(F.col("host").alias("_host"), "keys")
+    found = stored(boilerplate(docs, rules), "boilerplate").select(F.col("host").alias("_host"), "keys", "n_rows")
     size = found.agg(F.sum(F.size("keys") * 16 + F.coalesce(F.length("_host"), F.lit(0)) + 64)).first()[0] or 0
-    rows = packed(docs)
-    joined = rows.join(
-        F.broadcast(found) if size <= rules.broadcast_bytes else found,
-        F.col("row.source").eqNullSafe(F.col("_host")),
-        "left",
-    )
+    rows = packed(docs).select("row", F.col("row.source").alias("host"))
+    if size <= rules.broadcast_bytes:
+        joined = rows.join(F.broadcast(found), F.col("host").eqNullSafe(F.col("_host")), "left")
+    else:
+        joined = join_counted(rows, found, "host", "_host", "n_rows", docs.count(), "left")
     lines = F.split("row.text", "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("keys"), F.unhex(F.md5(_trimmed(x)))))
     joined = joined.withColumn("_kept", F.when(F.col("keys").isNotNull(), kept))
