@@ -31,8 +31,9 @@ from lemniscate.llm.common import discard, join_counted, stored
 class ShardRules:
     shards: int = 8
     rounds: int = 6
-    #: Hash buckets by which ranks within a shard are counted.
+    #: Hash buckets by which ranks within a shard are counted: so many at least, more where one would hold more rows.
     buckets: int = 256
+    bucket_rows: int = 250_000
     #: Gains are told apart by their power of two up to this.
     gains: int = 40
 
@@ -46,16 +47,17 @@ def _rows(docs: DataFrame, r: ShardRules) -> DataFrame:
     ).withColumn("deal", F.xxhash64("doc_id", "text_key", F.lit(7)))
 
 
-def _ranked(df: DataFrame, by: list[str], r: ShardRules) -> DataFrame:
+def _ranked(df: DataFrame, by: list[str], total: int, r: ShardRules) -> DataFrame:
     """``df`` with ``place``: its rows' ranks from 0 within ``by``, counted in hash buckets."""
-    df = df.withColumn("_bucket", F.pmod(F.col("deal"), F.lit(r.buckets)).cast("int"))
+    buckets = max(r.buckets, total // r.bucket_rows + 1)
+    df = df.withColumn("_bucket", F.pmod(F.col("deal"), F.lit(buckets)).cast("int"))
     counts = df.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most groups x buckets rows.
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
     on = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_bucket") == F.col("_b")]
     within = Window.partitionBy(*by, "_bucket").orderBy("deal", "doc_id", "text_key", "size")
-    ranked = df.withColumn("_rank", F.row_number().over(within)).join(F.broadcast(starts), on)
+    ranked = df.withColumn("_rank", F.row_number().over(within)).join(starts, on)
     return ranked.withColumn("place", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_rank", "_b", "_before", *[f"_{c}" for c in by])
 
 
@@ -113,7 +115,7 @@ def shard(docs: DataFrame, rules: ShardRules = ShardRules()) -> DataFrame:
     linked = _propagate(stored(marked.filter("linked").select(*columns), "labels", total), total, min(quota), r)
     # Linked rows come first in every shard, so that those without a link give way.
     placed = linked.withColumn("single", F.lit(0)).unionByName(marked.filter("NOT linked").select(*columns).withColumn("single", F.lit(1)))
-    placed = stored(_ranked(placed, ["shard", "single"], r), "placed", total)
+    placed = stored(_ranked(placed, ["shard", "single"], total, r), "placed", total)
     n = {(s, one): 0 for s in range(r.shards) for one in (0, 1)}
     n |= {(x["shard"], x["single"]): x["count"] for x in placed.groupBy("shard", "single").count().collect()}
     load = [n[s, 0] + n[s, 1] for s in range(r.shards)]

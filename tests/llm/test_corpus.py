@@ -180,11 +180,16 @@ def test_line_dedup(name, request):
     assert all(list(r) == df.columns for r in out)
 
 
-def test_line_dedup_joined(docs):
+def test_line_dedup_joined(spark, docs):
     few = line_dedup.LineRules(max_ratio=0.2, min_pages=2)
     none = line_dedup.LineRules(max_ratio=0.2, min_pages=2, broadcast_bytes=0)
     a, b = (sorted(map(str, rows(line_dedup.line_report(docs, r)))) for r in (few, none))
     assert a == b
+    # Hosts of fewer than a thousandth of the rows beside a hot one.
+    small = [(h * 2 + i, f"foot {h}\n{h} {i}", f"h{h}") for h in range(40) for i in range(2)]
+    big = spark.createDataFrame(small + [(1000 + i, f"all\n{i}", None if i % 2 else "hot") for i in range(3000)], "doc_id long, text string, source string")
+    a, b = (sorted(map(str, rows(line_dedup.line_report(big, r)))) for r in (few, none))
+    assert a == b and sum("n_dropped': 1" in x for x in a) == 3080
 
 
 def test_keep_one(awkward, docs, empty):
@@ -228,6 +233,13 @@ def test_packing(name, request):
     assert len(windows) == brute.best_fit_decreasing([r["length"] for r in got], 1024)
 
 
+def test_packing_ranks_in_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_PART", 3)
+    got = rows(packing.pack(spark.createDataFrame([(i, "same words") for i in range(900)], "doc_id long, text string")))
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 900
+    assert {r["sequence_id"] for r in got} == set(range(brute.best_fit_decreasing([r["length"] for r in got], 1024)))
+
+
 def test_packing_plan():
     rnd = random.Random(5)
     for window in (8, 64, 1024):
@@ -294,6 +306,12 @@ def test_sharding(name, request):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_sharding_in_more_buckets(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 1000).alias("text"))
+    got = rows(sharding.shard(df, sharding.ShardRules(bucket_rows=5)))
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(8) for k in range(375)]
+
+
 def test_sharding_keeps_copies_together(spark):
     data = [(i, f"text {i}" if i % 4 else f"group {i // 40}") for i in range(4000)] + [(5000 + i, "hot") for i in range(2000)]
     df = spark.createDataFrame(data, "doc_id long, text string")
