@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -31,12 +32,9 @@ SURGE = 0.2
 #: Regions that this many lines or fewer part are one.
 GAP = 6
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]{0,5000}\"|'[^']{0,5000}'|[^>\"'])*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+#: A tag's rest up to its end; quoted values may hold ">".  Neither backtracks nor looks further than it matches.
+_REST = re.compile(r"(?:\"[^\"]{0,5000}+\"|'[^']{0,5000}+'|[^>\"']++)*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Their content is text up to their own end tag.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -83,6 +81,55 @@ class _Open:
     inside_header: bool = False
 
 
+class _Reader:
+    """Tags and comments of a page, in order; every stretch of markup is read a bounded number of times.
+
+    A comment or CDATA section without an end reaches to the page's end.  A
+    tag whose quotes don't close is read up to its first ">"; without one,
+    "<" is text.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        #: Up to here reading quotes has led nowhere.
+        self.plain = 0
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The next one from ``at``: start, end, whether an end tag, name ("" for comments and the like), attributes."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            for opened, closed in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(opened, at):
+                    end = html.find(closed, at + len(opened))
+                    return at, len(html) if end < 0 else end + 3, False, "", ""
+            if at < self.last:
+                if html[at + 1] in "!?":
+                    return at, html.index(">", at) + 1, False, "", ""
+                m = _NAME.match(html, at)
+                if m:
+                    end = -1
+                    if at >= self.plain:
+                        end = _REST.match(html, m.end()).end()
+                        if not html.startswith(">", end):
+                            self.plain, end = end, -1
+                    if end < 0:
+                        end = html.find(">", m.end())
+                    if end >= 0:
+                        return at, end + 1, html[at + 1] == "/", m[1].lower(), html[m.end() : end].strip()
+            at += 1
+        return None
+
+    def stripped(self, at: int, end: int) -> str:
+        """Text from ``at`` to ``end`` without markup."""
+        out = []
+        while at < end:
+            found = self.next(at)
+            out.append(self.html[at : min(found[0], end) if found else end])
+            at = found[1] if found else end
+        return "".join(out)
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
 
@@ -116,8 +163,10 @@ def blocks(html: str) -> list[_Block]:
     """The page's blocks in order, without what is left out."""
     out: list[_Block] = [_Block()]
     stack: list[_Open] = []
-    hidden = linked = articles = at = 0
+    hidden = linked = articles = headers = at = 0
     article_no = 0
+    opened: Counter[str] = Counter()
+    reader = _Reader(html)
 
     def text(s: str) -> None:
         if s and not hidden:
@@ -132,37 +181,38 @@ def blocks(html: str) -> list[_Block]:
         out[-1].heading = heading
 
     def close(k: int) -> None:
-        nonlocal hidden, articles
+        nonlocal hidden, articles, headers
         while len(stack) > k:
             x = stack.pop()
+            opened[x.tag] -= 1
             hidden -= x.out
             articles -= x.article
+            headers -= x.inside_header
 
     n = len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
+        found = reader.next(at)
+        if not found:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        start, after, end, tag, raw = found
+        text(html[at:start])
+        at = after
         if not tag:
             continue
-        end, tag, raw = bool(m[1] or m[4]), tag.lower(), (m[3] or m[6] or "").strip()
         if end:
             if tag == "a":
                 linked = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
             if tag in _BLOCK:
                 cut()
             continue
         if tag in _RAW:
-            found = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            at = found.end() if found else n
+            closing = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+            at = closing.end() if closing else n
             continue
         if tag == "br":
             text(" ")
@@ -180,21 +230,24 @@ def blocks(html: str) -> list[_Block]:
         article = _is_article(tag, raw)
         # Inside an article a header holds its title: headings stay, the rest goes.
         titled = tag == "header" and bool(articles)
-        shown = tag in _HEADINGS and any(x.inside_header for x in stack)
+        shown = tag in _HEADINGS and headers > 0
         left = _left_out(tag, raw) and not titled
         if article and not articles and not hidden and not left:
             article_no += 1
         if tag in _BLOCK or left or article or titled:
             stack.append(_Open(tag, left or titled, article, titled))
+            opened[tag] += 1
             hidden += left or titled
             articles += article
+            headers += titled
         if shown and hidden == 1:
             stack.append(_Open(tag, False, False))
+            opened[tag] += 1
             cut(True)
-            piece = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            inner = html[at : piece.start() if piece else n]
-            out[-1].pieces.append(_TOKEN.sub("", inner))
-            at = piece.start() if piece else n
+            piece = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            inner = piece.start() if piece else n
+            out[-1].pieces.append(reader.stripped(at, inner))
+            at = inner
         elif tag in _BLOCK:
             cut(tag in _HEADINGS)
     return out

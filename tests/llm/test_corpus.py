@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -399,3 +400,11 @@ def test_html(spark):
     assert len(got) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in got)
     assert not any("track(" in r["text"] for r in got)
     assert rows(html_extract.extract(pages.filter("false"))) == []
+
+
+@pytest.mark.parametrize("unit", ["<a", "<!", '<a "', "<p>x", "<div>x", "<script>", "<div>x</i>", "</div>", "<article><header><h1>x", '<div style="', '<a ">"', "<h1", "<![CDATA[", "&amp", "<ul><li>x"])
+def test_html_long_and_broken(unit):
+    began = time.process_time()
+    html_extract.main_text(unit * 30_000)
+    html_extract.main_text("<article><p>x</p>" + unit * 30_000 + ">")
+    assert time.process_time() - began < 20
