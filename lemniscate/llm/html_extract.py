@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: The sums surge above, and dive below, this share of the page's largest sum.
 SURGE = 0.2
+#: A line counts at most so many characters towards that largest sum, so that one huge block doesn't raise the bar.
+LINE = 300
 #: Regions that this many lines or fewer part are one.
 GAP = 6
 
@@ -61,6 +63,8 @@ _OUT_STEMS = ("advert", "banner", "comment", "cookie", "footer", "navbar", "news
 #: Never left out by name: they hold the page or the article.
 _KEPT = frozenset("html body main article".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold other blocks as a page's parts; what stands in any other block lies in the part around it.
+_PARTS = frozenset("address article center div main section".split())
 #: An open p ends where one of these begins.
 _ENDS_P = _BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "body", "html", "head", "caption"}
 
@@ -71,6 +75,8 @@ class _Block:
     links: list[str] = field(default_factory=list)
     article: int = 0
     heading: bool = False
+    #: The innermost part of the page around the block, and the parts around that one; 0 is the page.
+    part: int = 0
 
 
 @dataclass
@@ -79,6 +85,7 @@ class _Open:
     out: bool
     article: bool
     inside_header: bool = False
+    part: int = 0
 
 
 class _Reader:
@@ -159,8 +166,13 @@ def _is_article(tag: str, raw: str) -> bool:
     return bool(raw) and bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", raw))
 
 
-def blocks(html: str) -> list[_Block]:
-    """The page's blocks in order, without what is left out."""
+def blocks(html: str, around: list[int] | None = None) -> list[_Block]:
+    """The page's blocks in order, without what is left out.
+
+    ``around``: gets, for every part of the page, the part around it.
+    """
+    around = [] if around is None else around
+    around.append(0)
     out: list[_Block] = [_Block()]
     stack: list[_Open] = []
     hidden = linked = articles = headers = at = 0
@@ -179,6 +191,7 @@ def blocks(html: str) -> list[_Block]:
             out.append(_Block())
         out[-1].article = article_no if articles else 0
         out[-1].heading = heading
+        out[-1].part = stack[-1].part if stack else 0
 
     def close(k: int) -> None:
         nonlocal hidden, articles, headers
@@ -235,13 +248,17 @@ def blocks(html: str) -> list[_Block]:
         if article and not articles and not hidden and not left:
             article_no += 1
         if tag in _BLOCK or left or article or titled:
-            stack.append(_Open(tag, left or titled, article, titled))
+            part = stack[-1].part if stack else 0
+            if tag in _PARTS:
+                around.append(part)
+                part = len(around) - 1
+            stack.append(_Open(tag, left or titled, article, titled, part))
             opened[tag] += 1
             hidden += left or titled
             articles += article
             headers += titled
         if shown and hidden == 1:
-            stack.append(_Open(tag, False, False))
+            stack.append(_Open(tag, False, False, part=stack[-1].part))
             opened[tag] += 1
             cut(True)
             piece = re.compile(rf"</{tag}\b", re.I).search(html, at)
@@ -253,30 +270,55 @@ def blocks(html: str) -> list[_Block]:
     return out
 
 
-def region(lengths: list[int]) -> tuple[int, int]:
-    """First line and last line + 1 of the largest region between surge and dive of the window sums."""
+def _sums(lengths: list[int]) -> list[int]:
+    """Of every line the sum over the window that begins there."""
     n = len(lengths)
     sums, total = [0] * n, 0
     for i in range(n - 1, -1, -1):
         total += lengths[i] - (lengths[i + WINDOW] if i + WINDOW < n else 0)
         sums[i] = total
-    bar = SURGE * max(sums, default=0)
-    best, start, last, held = (0, 0, 0), -1, -1, 0
-    for i in range(n + 1):
-        if i < n and lengths[i] and sums[i] >= bar:
-            if start < 0:
-                start, held = i, 0
-            elif i - last > GAP:
-                best = max(best, (held, -start, last + 1))
-                start, held = i, 0
-            last = i
-        if i < n and start >= 0:
-            held += lengths[i]
-    if start >= 0:
-        best = max(best, (held, -start, last + 1))
+    return sums
+
+
+def _outermost(used: set[int], around: list[int]) -> list[int]:
+    """Of every part the outermost one around it, or itself, that is in ``used``; the page itself is around all of them and joins none."""
+    top = [0] * len(around)
+    for part in range(1, len(around)):
+        top[part] = top[around[part]] or (part if part in used else 0)
+    return top
+
+
+def region(lengths: list[int], parts: list[int], around: list[int], surge: float = SURGE) -> tuple[int, int]:
+    """First line and last line + 1 of the largest region between surge and dive of the window sums.
+
+    Regions are one where few lines part them, or where they have lines in
+    the same of the ``parts`` or one within the other's.
+    """
+    n = len(lengths)
+    sums = _sums(lengths)
+    bar = surge * max(_sums([min(x, LINE) for x in lengths]), default=0)
+    high = [i for i in range(n) if lengths[i] and sums[i] >= bar]
+    top = _outermost({parts[i] for i in high}, around)
+    last = {top[parts[i]]: i for i in high}
+    found: list[tuple[int, int]] = []
+    reach = -1
+    for i in high:
+        # What lies before the last high line of a part that is open belongs to the region.
+        if found and (i <= reach or i - found[-1][1] <= GAP + 1):
+            found[-1] = found[-1][0], i
+        else:
+            found.append((i, i))
+        reach = max(reach, last[top[parts[i]]])
+    if not found:
+        return 0, 0
+    held = [0]
+    for x in lengths:
+        held.append(held[-1] + x)
+    first, end = max(found, key=lambda x: (held[x[1] + 1] - held[x[0]], -x[0]))
+    end += 1
     # The dive: lines right after the last high sum that are still in its window.
-    first, end = -best[1], best[2]
-    while end < n and end < best[2] + WINDOW - 1 and lengths[end]:
+    dive = end + WINDOW - 1
+    while end < n and end < dive and lengths[end]:
         end += 1
     return first, end
 
@@ -284,10 +326,13 @@ def region(lengths: list[int]) -> tuple[int, int]:
 def main_text(html: str | None) -> str:
     """The article's text: blocks joined by one space, white space inside them turned into one space."""
     found = []
-    for b in blocks(html or ""):
+    parts: list[int] = []
+    around: list[int] = []
+    for b in blocks(html or "", around):
         s = " ".join(unescape("".join(b.pieces)).split())
         if s:
             found.append((s, len(s) - len(" ".join(unescape("".join(b.links)).split())), b.article, b.heading))
+            parts.append(b.part)
     if not found:
         return ""
     marked: dict[int, int] = {}
@@ -298,13 +343,13 @@ def main_text(html: str | None) -> str:
         # Blocks outside the largest marked article don't count; the region grows to all of it.
         chosen = max(marked, key=lambda a: (marked[a], -a))
         lengths = [len(s) if article == chosen else 0 for s, _, article, _ in found]
-        first, end = region(lengths)
+        first, end = region(lengths, parts, around)
         while first > 0 and found[first - 1][2] == chosen:
             first -= 1
         end = max([end, *(i + 1 for i, x in enumerate(found) if x[2] == chosen)])
         first = min([first, *(i for i, x in enumerate(found) if x[2] == chosen)])
         return " ".join(x[0] for x in found[first:end] if x[2] == chosen)
-    first, end = region([own for _, own, _, _ in found])
+    first, end = region([own for _, own, _, _ in found], parts, around)
     while first > 0 and found[first - 1][3]:
         first -= 1
     return " ".join(x[0] for x in found[first:end])

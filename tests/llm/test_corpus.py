@@ -408,3 +408,19 @@ def test_html_long_and_broken(unit):
     html_extract.main_text(unit * 30_000)
     html_extract.main_text("<article><p>x</p>" + unit * 30_000 + ">")
     assert time.process_time() - began < 20
+
+
+def test_html_huge_block_and_long_list():
+    lines = [f"{i} " + "word " * 39 for i in range(40)]
+    page = "<body><div>%s</div><div><p>Foot</p></div></body>"
+    for huge in (["huge " * 2000], ["huge " * 2000] * 4):
+        want = lines[:20] + huge + lines[20:]
+        got = html_extract.main_text(page % "".join(f"<p>{x}</p>" for x in want))
+        assert got.startswith(" ".join(" ".join(want).split()))
+    cells = [f"<li><a href='/{i}'>item {i}</a></li>" for i in range(30)]
+    for middle in ("<ul>%s</ul>" % "".join(cells), "<table><tr><td>x</td>" + "<td>1</td>" * 30 + "</table>", "<h2>So</h2>" * 20):
+        got = html_extract.main_text(page % ("".join(f"<p>{x}</p>" for x in lines[:20]) + middle + f"<section><p>{lines[20]}</p></section><p>{lines[21]}</p>"))
+        assert all(" ".join(x.split()) in got for x in lines[:22])
+    # In another part of the page and far off, it is another region.
+    got = html_extract.main_text("<body><div>%s</div>%s<div><p>%s</p></div>" % ("".join(f"<p>{x}</p>" for x in lines[:20]), "<ul>" + "".join(cells) + "</ul>", "Other " * 40))
+    assert "Other" not in got and "19 word" in got
