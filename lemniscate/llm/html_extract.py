@@ -35,8 +35,8 @@ LINE = 300
 GAP = 6
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-#: A tag's rest up to its end; quoted values may hold ">".  Neither backtracks nor looks further than it matches.
-_REST = re.compile(r"(?:\"[^\"]{0,5000}+\"|'[^']{0,5000}+'|[^>\"']++)*+")
+#: A tag's end, or where a quoted value begins, which may hold ">".  As in browsers, other quotes are only characters.
+_STOP = re.compile(r">|=[ \t\n\f\r]*+[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Their content is text up to their own end tag.
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -99,9 +99,21 @@ class _Reader:
     def __init__(self, html: str) -> None:
         self.html = html
         self.last = html.rfind(">")
+        self.last_quote = {q: html.rfind(q) for q in "\"'"}
         #: Up to here reading quotes has led nowhere.
         self.plain = 0
 
+    def _end(self, at: int) -> tuple[bool, int]:
+        """From inside a tag: whether its quotes close, and the place of its ">" or up to where none was found."""
+        while m := _STOP.search(self.html, at):
+            if m[0] == ">":
+                return True, m.start()
+            opened = m.end() - 1
+            if opened >= self.last_quote[self.html[opened]]:
+                return False, opened
+            at = self.html.index(self.html[opened], opened + 1) + 1
+        return False, len(self.html)
+
     def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
         """The next one from ``at``: start, end, whether an end tag, name ("" for comments and the like), attributes."""
         html = self.html
@@ -117,8 +129,8 @@ class _Reader:
                 if m:
                     end = -1
                     if at >= self.plain:
-                        end = _REST.match(html, m.end()).end()
-                        if not html.startswith(">", end):
+                        closed, end = self._end(m.end())
+                        if not closed:
                             self.plain, end = end, -1
                     if end < 0:
                         end = html.find(">", m.end())
@@ -163,7 +175,10 @@ def _left_out(tag: str, raw: str) -> bool:
 def _is_article(tag: str, raw: str) -> bool:
     if tag in ("article", "main"):
         return True
-    return bool(raw) and bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b", raw))
+    if "main" not in raw and "articleBody" not in raw:
+        return False
+    a = _attributes(raw)
+    return bool(re.match(r"main\b", a.get("role", "")) or re.match(r"articleBody\b", a.get("itemprop", "")))
 
 
 def blocks(html: str, around: list[int] | None = None) -> list[_Block]:

@@ -424,3 +424,11 @@ def test_html_huge_block_and_long_list():
     # In another part of the page and far off, it is another region.
     got = html_extract.main_text("<body><div>%s</div>%s<div><p>%s</p></div>" % ("".join(f"<p>{x}</p>" for x in lines[:20]), "<ul>" + "".join(cells) + "</ul>", "Other " * 40))
     assert "Other" not in got and "19 word" in got
+
+
+def test_html_long_quoted_values():
+    markup = "<nav>x</nav></article>" * 1000
+    for value in (f'"{markup}"', f"'{markup}'", f'= "{markup}"'[1:]):
+        assert html_extract.main_text(f"<body><article><p data-x={value}>One text.</p><p>Two texts.</p></article></body>") == "One text. Two texts."
+        assert html_extract.main_text(f"<body><article><p>Zero.</p><div data-x={value} class='advert'>Buy.</div><p>Two texts.</p></article></body>") == "Zero. Two texts."
+    assert html_extract.main_text("<article><p it's>It's one.</p><p>Two texts, it's said.</p></article>") == "It's one. Two texts, it's said."
