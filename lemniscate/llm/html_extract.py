@@ -5,9 +5,12 @@ never hold the article (menus, headers, footers, side bars, notices, adverts,
 forms, scripts, styles, reader comments) are left out by tag, role, class and
 id.  Every other block counts with the length of its text outside links, and
 lengths are summed over a sliding window of lines.  The main text lies between
-the point where these sums surge and the point where they dive; where the page
-marks its article, the region between surge and dive is widened to the whole
-of it, so that short paragraphs at its ends stay.
+the point where these sums surge and the point where they dive.  Where the page
+marks its article, they decide inside it: the bar is lower there, everything
+between the first surge and the last dive is one region, and the region is
+widened by a few lines that have text outside links, so that short paragraphs
+at its ends stay and link lists go.  Of several marked articles all count that
+have at least half of the text of the largest; shorter ones are teasers.
 
 Cases: a null html is an empty page; comments, script and unclosed elements
 are read as browsers read them; repeated rows come back repeated; an empty
@@ -29,9 +32,13 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: The sums surge above, and dive below, this share of the page's largest sum.
 SURGE = 0.2
+#: The share inside a marked article, which is mostly text.
+MARKED_SURGE = 0.05
+#: Marked articles count that have this share of the text outside links of the largest.
+SIBLING = 0.5
 #: A line counts at most so many characters towards that largest sum, so that one huge block doesn't raise the bar.
 LINE = 300
-#: Regions that this many lines or fewer part are one.
+#: Regions that this many lines or fewer part are one; in a marked article the region is widened by as many at each end.
 GAP = 6
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -351,19 +358,21 @@ def main_text(html: str | None) -> str:
     if not found:
         return ""
     marked: dict[int, int] = {}
-    for s, _, article, _ in found:
+    for _, own, article, _ in found:
         if article:
-            marked[article] = marked.get(article, 0) + len(s)
+            marked[article] = marked.get(article, 0) + own
     if marked:
-        # Blocks outside the largest marked article don't count; the region grows to all of it.
-        chosen = max(marked, key=lambda a: (marked[a], -a))
-        lengths = [len(s) if article == chosen else 0 for s, _, article, _ in found]
-        first, end = region(lengths, parts, around)
-        while first > 0 and found[first - 1][2] == chosen:
+        least = SIBLING * max(marked.values())
+        inside = [x for x in found if x[2] and marked[x[2]] >= least]
+        # An article of links alone has no text outside them to go by.
+        lengths = [own for _, own, _, _ in inside] if least else [len(x[0]) for x in inside]
+        first, end = region(lengths, [0] * len(inside), [0], MARKED_SURGE)
+        low, high = max(0, first - GAP), min(len(inside), end + GAP)
+        while first > low and lengths[first - 1]:
             first -= 1
-        end = max([end, *(i + 1 for i, x in enumerate(found) if x[2] == chosen)])
-        first = min([first, *(i for i, x in enumerate(found) if x[2] == chosen)])
-        return " ".join(x[0] for x in found[first:end] if x[2] == chosen)
+        while end < high and lengths[end]:
+            end += 1
+        return " ".join(x[0] for x in inside[first:end])
     first, end = region([own for _, own, _, _ in found], parts, around)
     while first > 0 and found[first - 1][3]:
         first -= 1

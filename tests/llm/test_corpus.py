@@ -432,3 +432,17 @@ def test_html_long_quoted_values():
         assert html_extract.main_text(f"<body><article><p data-x={value}>One text.</p><p>Two texts.</p></article></body>") == "One text. Two texts."
         assert html_extract.main_text(f"<body><article><p>Zero.</p><div data-x={value} class='advert'>Buy.</div><p>Two texts.</p></article></body>") == "Zero. Two texts."
     assert html_extract.main_text("<article><p it's>It's one.</p><p>Two texts, it's said.</p></article>") == "It's one. Two texts, it's said."
+
+
+def test_html_surge_and_dive_inside_a_marked_article():
+    text = "".join(f"<p>Paragraph {i} has text of its own, enough of it to be one.</p>" for i in range(8))
+    links = "<div><p>" + "</p><p>".join(f"<a href='/{i}'>Another story {i}</a>" for i in range(9)) + "</p></div>"
+    want = html_extract.main_text(f"<article><h1>Title</h1><p>By me.</p>{text}<p>End.</p></article>")
+    assert want.startswith("Title By me. Paragraph 0") and want.endswith("to be one. End.")
+    assert html_extract.main_text(f"<article>{links}<h1>Title</h1><p>By me.</p>{text}<p>End.</p>{links}</article>") == want
+    # What stands between two stretches of text stays.
+    assert "Another story 3" in html_extract.main_text(f"<article>{text}{links}{text}</article>")
+    # Parts of about the same size count, teasers don't.
+    got = html_extract.main_text(f"<article>{text}</article><article>{text.replace('Para', 'Tele')}</article><article><p>Teaser.</p></article>")
+    assert "Paragraph 7" in got and "Telegraph 7" in got and "Teaser" not in got
+    assert html_extract.main_text(f"<article>{links}</article>").startswith("Another story 0")
