@@ -324,6 +324,16 @@ def test_sharding_keeps_copies_together(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+@pytest.mark.parametrize("hot", [0, 1300])
+def test_sharding_where_all_rows_have_copies(spark, hot):
+    text = F.when(F.col("id") < hot, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("long")))
+    got = sharding.shard(spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text")))
+    groups = [(r["cuts"], r["n"]) for r in sharding.cut_links(got, F.col("text_crc32")).collect()]
+    assert sum(cuts == 0 for cuts, n in groups if n == 2) >= 0.98 * (4000 - hot) / 2
+    assert all(cuts <= 3 for cuts, n in groups if n > 2)
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [500] * 8
+
+
 def test_top_k(spark):
     rnd = random.Random(6)
     vectors = {i: [rnd.randrange(-30, 30) for _ in range(9)] for i in range(400)}
