@@ -1,9 +1,11 @@
 """URL filter by a ratio of character language models.
 
 Listed rules decide the URLs they fit.  For the models, URLs whose host holds a
-listed word are rejected ones and all others accepted ones, but for those that
-a rule blocks: such rules are policy about sections and say nothing about how
-rejected URLs are spelled.  From all labelled URLs two variable-order Markov
+listed word are rejected ones, and so are the names of a small labelled sample, each with ends of accepted URLs.
+URLs whose host shares a part of its name with that sample are doubtful and
+have no label, like those that a rule blocks: such rules are policy about
+sections and say nothing about how rejected URLs are spelled.  All others are
+accepted ones.  From all labelled URLs two variable-order Markov
 models of characters are counted (contexts up to ``order`` characters, as far
 as they were seen) and smoothed by Witten-Bell interpolation.  The difference
 of the two log-likelihoods, divided by the length, is calibrated on labelled
@@ -16,9 +18,10 @@ counted once, smoothed order by order with joins to the contexts and to the
 next lower order, and joined to the URLs that hold them.
 
 Cases: a null URL, or one without ``://``, has an empty host and path, fits no
-rule and is allowed; an empty table, or one without labelled URLs, gives
-models that say nothing, and everything without a rule is allowed; repeated
-rows are counted as often as they are given and judged alike; other columns
+rule and is allowed; an empty table gives an empty result; on a table without
+accepted URLs to calibrate by, everything without a rule is allowed; on one
+without listed words only the sample says what rejected URLs look like;
+repeated rows are counted as often as they are given and judged alike; other columns
 are ignored.
 """
 
@@ -41,6 +44,15 @@ RULES = (
 )
 #: Words that label a host as rejected.
 REJECTED_WORDS = ("adult", "bet", "bets", "casino", "escort", "gambling", "lottery", "malware", "phishing", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx")
+#: Made-up host names of kinds that blocklists hold (pharmacies, advert and click trackers, loans, adult pages, betting, malware), labelled as rejected.
+REJECTED_HOSTS = (
+    "cheap-meds", "online-pills", "pills-store", "discount-pharmacy", "buy-meds", "diet-pills", "cheap-replica", "cheap-viagra",
+    "ads-server", "click-track", "ad-tracker", "track-click", "banner-ads", "popup-ads", "ads-pixel", "pixel-track",
+    "payday-loans", "fast-cash", "easy-money", "crypto-doubler", "prize-winner", "free-giveaway",
+    "adult-cams", "xxx-videos", "hot-escorts", "live-sex",
+    "win-casino", "casino-bonus", "free-slots", "best-bets", "sports-betting", "poker-online",
+    "spam-links", "link-farm", "warez-crack", "torrent-keygen", "malware-drop", "phishing-login",
+)
 
 
 @dataclass(frozen=True)
@@ -49,6 +61,8 @@ class UrlRules:
     order: int = 5
     #: One labelled URL in so many is held out for calibration.
     holdout: int = 5
+    #: One accepted URL in so many lends its end to a name of the labelled sample.
+    dealt: int = 5
     #: Of the accepted held-out URLs at most this share may be blocked.
     false_blocks: float = 0.01
 
@@ -160,7 +174,9 @@ def judge(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
     word = F.concat_ws("|", *[F.lit(w) for w in REJECTED_WORDS])
     df = df.withColumn("found", rule_for(F.col("host"), F.col("path"))).withColumn("text", F.concat("host", "path"))
     rejected = F.regexp_like("host", F.concat(F.lit("(^|[.-])("), word, F.lit(")([.-]|$)")))
-    label = F.when(rejected, 0).when(F.coalesce("found.verdict", F.lit("")) != "block", 1)
+    names = sorted({x for h in REJECTED_HOSTS for x in h.split("-")})
+    doubtful = F.regexp_like("host", F.lit(f"(^|[.-])({'|'.join(names)})[0-9]*([.-]|$)"))
+    label = F.when(rejected, 0).when((F.coalesce("found.verdict", F.lit("")) != "block") & ~doubtful, 1)
     df = df.withColumn("label", F.when(F.col("text") != "", label))
     df = df.select(
         "page_id", "host", "path", "text", "label", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), F.unhex(F.md5("text")).alias("key")
@@ -169,7 +185,15 @@ def judge(pages: DataFrame, rules: UrlRules = UrlRules()) -> DataFrame:
     held = F.pmod(F.xxhash64("text"), F.lit(rules.holdout)) == 0
     # A text has one label; copies are one row that counts as often as there are copies.
     texts = df.filter("text <> ''").groupBy("key", "text").agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("n"))
-    texts = stored(texts.withColumn("label", F.when(~held, F.col("label"))), "texts")
+    texts = texts.withColumn("label", F.when(~held, F.col("label")))
+    # The sample's names with ends of accepted URLs, so that only names tell the classes apart; their keys are no page's.
+    dealt = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(len(REJECTED_HOSTS) * rules.dealt)).cast("int")
+    name = F.get(F.array(*[F.lit(h) for h in REJECTED_HOSTS]), dealt)
+    host = F.regexp_extract("text", "^[^/]*", 0)
+    made = F.concat(name, F.lit("."), F.substring_index(host, ".", -2), F.expr("substring(text, length(regexp_extract(text, '^[^/]*', 0)) + 1)"))
+    sample = texts.filter("label = 1").select(made.alias("text"), "n").filter("text IS NOT NULL")
+    sample = sample.select(F.encode("text", "utf-8").alias("key"), "text", F.lit(0).alias("label"), "n")
+    texts = stored(texts.unionByName(sample.select(*texts.columns)), "texts")
     scored = join_counted(df, stored(scores(texts, rules.order), "text-scores").withColumnRenamed("key", "_key"), "key", "_key", "n", df.count(), "left")
     scored = stored(scored.withColumn("score", F.coalesce("score", F.lit(0.0))), "scores")
     accepted = scored.filter((F.col("label") == 1) & held)

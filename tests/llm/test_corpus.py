@@ -378,6 +378,14 @@ def test_url_model_separates(spark):
     assert all((r["verdict"] == "block") == any(w in r["host"] for w in ("casino", "bets")) for r in got)
 
 
+def test_url_model_knows_more_than_listed_words(spark):
+    # Without one listed word in the table: the sample says what is rejected, and its kin is not taught as accepted.
+    names = ["garden", "library", "museum", "harbour", "orchard", "cheap-pills", "ads-track"]
+    data = [(i, f"http://{'www.' if i % 3 else ''}{names[i % 7]}.example.com/fr/{i}") for i in range(700)]
+    got = rows(url_filter.judge(spark.createDataFrame(data, "page_id long, url string")))
+    assert all((r["verdict"] == "block") == ("pills" in r["host"] or "track" in r["host"]) for r in got)
+
+
 def test_url_scores(spark):
     rnd = random.Random(3)
     texts = {"".join(rnd.choice("abé😀/.\x02") for _ in range(rnd.randrange(1, 30))): rnd.randrange(1, 4) for _ in range(150)} | {"long/" * 40_000: 1}
