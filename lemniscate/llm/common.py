@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +59,38 @@ def _sweep(jvm: object, conf: object, path: str) -> None:
 ROWS_PER_FILE = 250_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Tables that end with the scratch scope around them.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is :func:`stored` inside is deleted at the end, but for tables stored as ``lasting``."""
+    made: list[DataFrame] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for df in made:
+            discard(df)
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
 
     ``rows``: about how many narrow rows there are; small tables then go to
-    few files, whatever the number of shuffle partitions.
+    few files, whatever the number of shuffle partitions.  ``lasting``: the
+    table outlives the scratch scope it is made in.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemniscate_path = path
+    made = _scope.get()
+    if made is not None and not lasting:
+        made.append(out)
     return out
 
 

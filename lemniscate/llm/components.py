@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import discard, stored
+from lemniscate.llm.common import discard, join_counted, stored
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -18,27 +18,31 @@ def components(links: DataFrame, nodes: int, max_rounds: int = 60) -> DataFrame:
 
     ``nodes``: how many nodes there are at most; sizes the files.  Each round
     replaces links by links to smaller nodes; it ends when nothing
-    changes.  Every round is written to the shared folder, so lineage stays
-    short.  Self-links and repeated links do no harm; nulls must not occur.
+    changes.  Centres of large stars are broadcast, the other ones joined by
+    shuffle, so no star ends up in one task.  Every round is written to the
+    shared folder, so lineage stays short.  Self-links and repeated links do no harm; nulls must not occur.
     """
     now = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links", nodes)
     before = _state(now)
     for _ in range(max_rounds):
         # Large star: every neighbour above the node is linked to the node's smallest neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0")
+        least = stored(least.select(F.col("u").alias("_u"), F.least("u", "m").alias("m"), "n"), "centres", nodes)
+        above = join_counted(both.filter("v > u"), least, "u", "_u", "n", before[0])
+        large = stored(above.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", before[0])
         # Small star: every neighbour below the node, and the node, are linked to the smallest.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        low = stored(large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "centres", nodes)
         small = (
-            large.join(low, F.col("u") == F.col("n"))
+            join_counted(large, low, "u", "_u", "n", before[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .filter("u <> v")
             .distinct()
         )
         new = stored(small, "links", before[0])
-        discard(now)
+        for x in (now, least, large, low):
+            discard(x)
         now, state = new, _state(new)
         if state == before:
             break

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import join_counted, packed, stored, unpacked
+from lemniscate.llm.common import join_counted, packed, scratch, stored, unpacked
 from lemniscate.llm.components import components
 
 TAU = 3
@@ -275,8 +275,10 @@ def links(fps: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest doc_id reachable)."""
-    marked = stored(fingerprints(docs), "fingerprints")
-    return _classified(marked, rules).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch():
+        marked = stored(fingerprints(docs), "fingerprints")
+        hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+        return stored(_classified(marked, rules).select("doc_id", hexed, "component_id"), "near-duplicates", lasting=True)
 
 
 def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
@@ -284,9 +286,11 @@ def _classified(marked: DataFrame, rules: SearchRules) -> DataFrame:
     total = marked.count()
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes", total)
     roots = components(links(nodes.select("fp"), rules), total)
-    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
-    moved = linked.select("fp", "root").join(smallest, "root")
+    linked = stored(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", F.col("root").alias("_root"), "least"), "linked", total)
+    smallest = linked.groupBy(F.col("_root").alias("root")).agg(F.min("least").alias("linked_id"), F.count(F.lit(1)).alias("size"))
+    smallest = stored(smallest, "smallest", total)
+    # One component may hold most fingerprints: its root is broadcast.
+    moved = join_counted(linked.select("fp", "_root"), smallest.withColumn("_r", F.col("root")), "_root", "_r", "size", linked.count()).select("fp", "root", "linked_id")
     ids = nodes.join(moved, "fp", "left").select(
         F.col("fp").alias("_fp"),
         F.coalesce("root", "fp").alias("root"),
@@ -303,13 +307,16 @@ def keep_one(docs: DataFrame, rules: SearchRules = SearchRules()) -> DataFrame:
     rows with the same id the one with the smallest text hash stays.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    marked = stored(hashed.mapInArrow(_fingerprints_with_hash, "doc_id long, fp long, h long"), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
-    kept = _classified(marked, rules).groupBy("root").agg(best.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h"))
+    with scratch():
+        marked = stored(hashed.mapInArrow(_fingerprints_with_hash, "doc_id long, fp long, h long"), "fingerprints")
+        kept = _classified(marked, rules).groupBy("root").agg(best.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h"))
+        kept = stored(kept, "kept", lasting=True)
+        repeated = marked.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count() > 0
     rows = packed(docs)
     chosen = rows.join(
         kept, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_h")), "left_semi"
     )
-    if marked.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+    if repeated:
         chosen = chosen.withColumns({"_id": F.col("row.doc_id"), "_h": F.xxhash64("row.text")}).dropDuplicates(["_id", "_h"])
     return unpacked(chosen, docs.columns, {})
