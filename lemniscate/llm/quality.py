@@ -4,7 +4,10 @@ Every document is measured once (words, symbols, repeated lines, repeated
 three-word windows) and held against fixed rules.  Failures are then
 aggregated by host, each host's failure rate is shrunk towards the corpus by
 a beta prior whose parameters come from all hosts (method of moments), and
-the host's verdict is joined back to its documents.
+the host's verdict is joined back to its documents.  A host is rejected when
+its shrunk rate, less three of its standard deviations, is still half as high
+again as the prior's mean: so a few failures condemn no small host, and where
+all hosts are alike none is rejected.
 
 Cases: a null text counts as empty; a null host is a host of its own;
 repeated rows are measured and counted one by one; an empty table gives an
@@ -33,8 +36,12 @@ class QualityRules:
     max_dup_line_percent: int = 60
     min_word_chars: int = 2
     max_word_chars: int = 20
-    #: A host is rejected when its shrunk failure rate is above this.
+    #: A host's failure rate is too high above this multiple of the prior's mean,
+    host_factor: float = 1.5
+    #: above this rate in any case,
     max_host_rate: float = 0.9
+    #: and the host is rejected when its shrunk rate is higher by this many of that rate's standard deviations.
+    certainty: float = 3.0
     #: On a rejected host only documents below this share of the method's limits stay.
     strict_share: float = 0.5
 
@@ -104,8 +111,8 @@ def _own_failure(r: QualityRules, share: float) -> Column:
     )
 
 
-def host_rates(measures: DataFrame) -> DataFrame:
-    """One row per host: documents, failures and the failure rate shrunk by the beta prior fitted to all hosts."""
+def host_rates(measures: DataFrame, r: QualityRules = QualityRules()) -> DataFrame:
+    """One row per host: documents, failures, the failure rate shrunk by the beta prior fitted to all hosts, and the verdict."""
     hosts = measures.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")
     )
@@ -122,13 +129,14 @@ def host_rates(measures: DataFrame) -> DataFrame:
         F.col("var") > 0, F.least(F.greatest(mean * (1 - mean) / F.col("var") - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
     ).otherwise(F.lit(PRIOR_WEIGHT[1]))
     prior = fitted.select(F.struct(mean.alias("mean"), weight.alias("weight")).alias("prior"))
+    mean, weight, rate = F.col("prior.mean"), F.col("prior.weight"), F.col("rate")
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("n_docs") + weight + 1))
+    too_high = F.least(r.host_factor * mean, F.lit(r.max_host_rate))
     return (
         hosts.withColumn("prior", prior.scalar())
-        .withColumn(
-            "rate",
-            (F.col("n_failed") + F.col("prior.mean") * F.col("prior.weight")) / (F.col("n_docs") + F.col("prior.weight")),
-        )
-        .select("host", "n_docs", "n_failed", "rate")
+        .withColumn("rate", (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight))
+        .withColumn("rejected", rate - r.certainty * deviation > too_high)
+        .select("host", "n_docs", "n_failed", "rate", "rejected")
     )
 
 
@@ -140,9 +148,7 @@ def _with_verdict(df: DataFrame, keep: list[Column], text: Column, host: Column,
     ).withColumn("failed", F.col("base_failed") | _own_failure(r, 1.0))
     # Read by the host rates and by the verdicts: measured once, kept without the texts.
     m = stored(m, name)
-    hosts = host_rates(m).select(
-        F.col("host").alias("_host"), "n_docs", F.col("rate").alias("host_rate"), (F.col("rate") > r.max_host_rate).alias("host_rejected")
-    )
+    hosts = host_rates(m, r).select(F.col("host").alias("_host"), "n_docs", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
     return join_counted(m, hosts, "host", "_host", "n_docs", m.count()).withColumn(
         "kept",
         ~F.col("failed") & ~(F.col("host_rejected") & _own_failure(r, r.strict_share)),

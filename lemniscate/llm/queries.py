@@ -111,8 +111,9 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count_if(base_failed OR own) AS k FROM f GROUP BY source),
 b AS (SELECT sum(k) / sum(n) AS mean, var_pop(k / n) - avg(k / n * (1 - k / n) / greatest(n - 1, 1)) AS var FROM h),
 prior AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 2.0), 10000.0) ELSE 10000.0 END AS weight FROM b),
-rates AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM h CROSS JOIN prior)
+shrunk AS (SELECT source, n + weight AS seen, least(1.5 * mean, 0.9) AS bar, (k + mean * weight) / (n + weight) AS rate FROM h CROSS JOIN prior),
+rates AS (SELECT source, rate, rate - 3 * sqrt(rate * (1 - rate) / (seen + 1)) > bar AS rejected FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR own) AND NOT (rate > 0.9 AND strict) AS kept, round(rate, 6) AS host_rate, rate > 0.9 AS host_rejected
+  NOT (base_failed OR own) AND NOT (rejected AND strict) AS kept, round(rate, 6) AS host_rate, rejected AS host_rejected
 FROM f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source""",
 }

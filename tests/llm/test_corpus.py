@@ -169,6 +169,40 @@ def test_quality_host_verdict(spark):
     assert all(r["host_rejected"] and not r["kept"] for r in got if r["doc_id"] < 1000)
 
 
+def _words(n, start=0):
+    return " ".join(f"w{start + i}x" for i in range(n))
+
+
+def test_quality_small_junk_hosts_among_usual_ones(spark, docs):
+    """Hosts of twenty rows that fail clearly more often than the table's own are rejected; a host that is only unlucky is not."""
+    columns = "doc_id long, text string, source string"
+    own = docs.select("doc_id", "text", "source")
+    near_limit = "# " * 12 + _words(60)
+    planted = [(10_000 + 20 * h + i, _words(10) if i % 10 else near_limit, f"junk{h}") for h in range(4) for i in range(20)]
+    planted += [(20_000 + i, _words(10) if i < 2 else near_limit, "unlucky") for i in range(6)]
+    got = rows(quality.quality_rules(own.unionByName(spark.createDataFrame(planted, columns))))
+    hosts = {i: s for i, _, s in texts(own.withColumn("n", F.lit(0)))} | {i: s for i, _, s in planted}
+    assert {hosts[r["doc_id"]] for r in got if r["host_rejected"]} == {f"junk{h}" for h in range(4)}
+    # What passes its own rules only just goes with its host, and stays elsewhere.
+    late = sorted((r for r in got if r["doc_id"] >= 10_000 and r["n_words"] > 60), key=lambda r: r["doc_id"])
+    assert [r["kept"] for r in late] == [False] * 8 + [True] * 4
+    assert sum(r["host_rejected"] for r in rows(quality.quality_rules(own))) == 0
+
+
+def test_quality_sql_with_junk_hosts(spark, tmp_path):
+    """The registered SQL gives the same verdicts where hosts are rejected."""
+    from lemniscate.llm.queries import ORACLE_SQL, QUERIES
+    from tests import oracle
+
+    data = [(20 * h + i, _words(10) if i % 10 < (9 if h < 3 else 1) else "# " * 12 + _words(60), f"h{h}") for h in range(30) for i in range(20)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "op10_quality_rules"
+    oracle.compare(spark, name, QUERIES[name], ORACLE_SQL[name], str(tmp_path), con)
+    assert sum(r["host_rejected"] for r in rows(QUERIES[name](spark, str(tmp_path)))) == 60
+
+
 @pytest.mark.parametrize("name", ["docs", "awkward", "empty"])
 def test_line_dedup(name, request):
     df = request.getfixturevalue(name)
