@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _own_folder: dict[str, str] = {}

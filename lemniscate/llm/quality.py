@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import WORD, join_counted, packed, stored, unpacked
+from lemniscate.llm.common import BETWEEN, WORD, join_counted, packed, scratch, stored, unpacked
 
 
 @dataclass(frozen=True)
@@ -55,35 +55,34 @@ def measured(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     df = df.select(*keep, F.coalesce(text, F.lit("")).alias("_t"))
     df = df.select(
         *[F.col(c) for c in df.columns if c != "_t"],
-        F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)).alias("_words"),
+        F.array_remove(F.split("_t", BETWEEN, -1), "").alias("_words"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_lines"),
         (F.length("_t") - F.length(F.regexp_replace("_t", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
     )
     held = [F.col(c) for c in df.columns if c not in ("_words", "_lines")]
     words = F.col("_words")
+    starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    after = lambda i: (F.get(words, i + 1), F.get(words, i + 2))
     df = df.select(
         *held,
+        "_words",
         F.size(words).cast("long").alias("n_words"),
-        F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(
-            F.size(words) >= 3,
-            F.transform(
-                F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-                lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)),
-            ),
-        ).alias("_windows"),
+        F.transform(starts, lambda w, i: F.xxhash64(w, *after(i))).alias("_hashes"),
     )
-    held = [F.col(c) for c in df.columns if c != "_windows"]
-    # Most texts repeat no window: only the others are sorted.
+    # Windows with different hashes differ; only texts with equal ones are looked at word by word.
+    held = [F.col(c) for c in df.columns if c not in ("_words", "_hashes")]
     df = df.select(
         *held,
         F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))),
-        ).alias("_sorted"),
+            F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
+            F.transform(starts, lambda w, i: F.concat_ws(" ", w, *after(i))),
+        ).alias("_windows"),
     )
+    held = [F.col(c) for c in df.columns if c != "_windows"]
+    df = df.select(*held, F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("_sorted"))
     held = [F.col(c) for c in df.columns if c != "_sorted"]
     s = F.col("_sorted")
     repeated = F.filter(
