@@ -145,6 +145,68 @@ def test_pii_reliabilities():
     assert post[6] > 0.9 and post[7] > 0.9 and post[1] < 0.1 and post[0] < 0.1
 
 
+def _labelled_spans(rnd):
+    """Texts with one further span each, and what it is; half of them only look like personal data."""
+    filler = lambda: " ".join(rnd.choice("amber birch cedar delta ember fjord grove haven".split()) for _ in range(8))
+
+    def luhn(digits, right):
+        total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits)))
+        return digits + [(10 - total % 10 + (0 if right else 1 + rnd.randrange(9))) % 10]
+
+    for i in range(600):
+        kind, true = pii.KINDS[i % 4], i % 8 < 4
+        if kind == "email":
+            span = f"{rnd.choice('ann bob eve'.split())}{i} [at] site{i} [dot] {rnd.choice(['com', 'org', 'de']) if true else i}"
+            cue = rnd.choice(["mail", "contact", ""]) if true else rnd.choice(["meet", "item", ""])
+        elif kind == "ip":
+            groups = [f"{rnd.randrange(1 << 16):x}" for _ in range(7)] if true else [f"{rnd.randrange(60):02d}" for _ in range(7)]
+            span = ":".join([rnd.choice(["2001", "2a02", "fe80"]) if true else "12", *groups])
+            cue = rnd.choice(["server", "host", ""]) if true else rnd.choice(["build", "took", ""])
+        elif kind == "card":
+            d = "".join(map(str, luhn([3, 7, *[rnd.randrange(10) for _ in range(12)]] if true else [rnd.randrange(6, 10), *[rnd.randrange(10) for _ in range(14)]], true)))
+            span = f"{d[:4]} {d[4:10]} {d[10:]}" if true else f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}"
+            cue = rnd.choice(["amex", "card", ""]) if true else rnd.choice(["order", "serial", ""])
+        else:
+            span = f"({rnd.choice([212, 310, 415])}) {rnd.randrange(200, 999)}-{rnd.randrange(10_000):04d}" if true else f"{rnd.randrange(100):03d}.{rnd.randrange(100):03d}.{rnd.randrange(10_000):04d}"
+            cue = rnd.choice(["call", "phone", ""]) if true else rnd.choice(["part", "lot", ""])
+        yield i, f"{filler()} {cue} {span} {filler()}", kind, true
+    # Base spans that the gazetteers learn from.
+    for n, (tld, area) in enumerate([("com", 212), ("org", 310), ("de", 415)]):
+        yield 1000 + n, f"a@b.{tld} +1 {area} 555 0123", None, True
+
+
+def test_pii_further_spans_are_the_labelled_ones(spark):
+    cases = list(_labelled_spans(random.Random(8)))
+    got = {r["doc_id"]: r["spans"] for r in rows(pii.find_pii(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")))}
+    base = {i: ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(t)) for i, t, _, _ in cases}
+    for kind in pii.KINDS:
+        own = [(got[i] != base[i], true) for i, _, k, true in cases if k == kind]
+        hits, found, real = sum(f and t for f, t in own), sum(f for f, _ in own), sum(t for _, t in own)
+        assert hits >= 0.9 * found and hits >= 0.9 * real, (kind, hits, found, real)
+
+
+def test_pii_text_full_of_spans(spark):
+    """Chunks, blocks and bisection give what one by one gives; and long texts stay bearable."""
+    unit = "mail a.b@c.org from 10.0.0.1 or +44 20 7946 0958, again 212-555-0123 \U0001f600 "
+    for n in (3, 40, 3000):
+        df = spark.createDataFrame([(1, unit * n, 0)], "doc_id long, text string, n_chars long")
+        (r,) = rows(pii.find_pii(df))
+        assert r["base_sha256"] == brute.base_sha256(unit * n) and (r["n_email"], r["n_ip"], r["n_phone"]) == (n, n, n)
+        listed = [x.split(":") for x in r["spans"].split(",")]
+        out, at = [], 0
+        for kind, a, b in sorted(((k, int(a), int(b)) for k, a, b in listed), key=lambda x: x[1]):
+            out += [(unit * n)[at:a], f"[{kind.upper()}]"]
+            at = b
+        assert rows(pii.masked(df))[0]["text"] == "".join(out) + (unit * n)[at:]
+    began = time.time()
+    rows(pii.masked(spark.createDataFrame([(1, unit * 16_000, 0)], "doc_id long, text string, n_chars long")))
+    assert time.time() - began < 100
+
+
+def test_pii_masked_empty_and_clashing(empty):
+    assert rows(pii.masked(empty)) == [] and pii.masked(empty).columns == empty.columns
+
+
 @pytest.mark.parametrize("name", ["docs", "awkward", "empty"])
 def test_quality(name, request):
     df = request.getfixturevalue(name)
