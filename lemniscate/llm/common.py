@@ -60,19 +60,19 @@ def _sweep(jvm: object, conf: object, path: str) -> None:
 ROWS_PER_FILE = 250_000
 
 
-#: Tables that end with the scratch scope around them.
-_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+#: Tables that end with the scratch scopes around, the innermost last.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
-    """What is :func:`stored` inside is deleted at the end, but for tables stored as ``lasting``."""
+    """What is :func:`stored` inside is deleted at the end; tables stored as ``lasting`` end with the scope around this one."""
     made: list[DataFrame] = []
-    token = _scope.set(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        _scope.reset(token)
+        _scopes.reset(token)
         for df in made:
             discard(df)
 
@@ -89,9 +89,9 @@ def stored(df: DataFrame, name: str, rows: int | None = None, lasting: bool = Fa
     (df if rows is None else df.coalesce(rows // ROWS_PER_FILE + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lemniscate_path = path
-    made = _scope.get()
-    if made is not None and not lasting:
-        made.append(out)
+    scopes = _scopes.get()[:-1] if lasting else _scopes.get()
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 

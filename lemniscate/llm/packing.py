@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import stored
+from lemniscate.llm.common import scratch, stored
 from lemniscate.llm.tokens import END, encoder
 
 WINDOW = 1024
@@ -173,6 +173,11 @@ def _places(runs: list[Run]):
 
 def pack(docs: DataFrame, path: str | None = None, ranks_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    with scratch():
+        return stored(_packed(docs, path, ranks_path, window), "packed", lasting=True)
+
+
+def _packed(docs: DataFrame, path: str | None, ranks_path: str | None, window: int) -> DataFrame:
     cut = stored(pieces(docs, path, ranks_path, window), "pieces")
     # One row per length, whatever the corpus.
     histogram = {x["length"]: x["count"] for x in cut.groupBy("length").count().collect()}

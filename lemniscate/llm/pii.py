@@ -31,7 +31,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import packed, stored, unpacked
+from lemniscate.llm.common import packed, scratch, stored, unpacked
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -341,16 +341,17 @@ def _listed(x: Column) -> Column:
 
 def find_pii(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
     """Per document: doc_id, base counts by kind, ``base_sha256`` and ``spans`` (kind:start:end, base and further ones)."""
-    found = stored(spans(docs, F.col("text"), [F.col("doc_id")]), "spans")
-    df = _decided(found, rules)
     count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
     places = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return df.select(
-        "doc_id",
-        *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)],
-        F.sha2(_listed(F.sort_array(places)), 256).alias("base_sha256"),
-        _listed(F.col("spans")).alias("spans"),
-    )
+    with scratch():
+        found = stored(spans(docs, F.col("text"), [F.col("doc_id")]), "spans")
+        out = _decided(found, rules).select(
+            "doc_id",
+            *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)],
+            F.sha2(_listed(F.sort_array(places)), 256).alias("base_sha256"),
+            _listed(F.col("spans")).alias("spans"),
+        )
+        return stored(out, "pii", lasting=True)
 
 
 def masked(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:

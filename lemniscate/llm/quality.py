@@ -156,9 +156,10 @@ def _with_verdict(df: DataFrame, keep: list[Column], text: Column, host: Column,
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: the measures, ``base_failed``, the host's shrunk rate and ``kept``."""
-    return _with_verdict(docs, [F.col("doc_id")], F.col("text"), F.col("source"), rules, "quality").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_rejected"
-    )
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    with scratch():
+        out = _with_verdict(docs, [F.col("doc_id")], F.col("text"), F.col("source"), rules, "measures")
+        return stored(out.select("doc_id", *measures, "kept", F.round("host_rate", 6).alias("host_rate"), "host_rejected"), "quality", lasting=True)
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

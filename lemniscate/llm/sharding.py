@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemniscate.llm.common import discard, join_counted, stored
+from lemniscate.llm.common import discard, join_counted, scratch, stored
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,11 @@ def _propagate(linked: DataFrame, total: int, capacity: int, r: ShardRules) -> D
 
 def shard(docs: DataFrame, rules: ShardRules = ShardRules()) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    r = rules
+    with scratch():
+        return stored(_sharded(docs, rules), "shards", lasting=True)
+
+
+def _sharded(docs: DataFrame, r: ShardRules) -> DataFrame:
     columns = ["doc_id", "size", "text_crc32", "text_key", "deal", "shard"]
     rows = stored(_rows(docs, r), "rows")
     total = rows.count()

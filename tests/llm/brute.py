@@ -163,3 +163,16 @@ def url_scores(texts: dict[str, int], labels: dict[str, int | None], order: int)
         at = range(1, len(s))
         out[t] = sum(math.log(p(1, s[max(0, i - order) : i], s[i]) / p(0, s[max(0, i - order) : i], s[i])) for i in at) / len(at)
     return out
+
+
+def region(lengths, window, surge, line, gap):
+    """First line and last line + 1 of the largest stretch of high window sums, all lines in one part of the page."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    bar = surge * max(sum(min(x, line) for x in lengths[i : i + window]) for i in range(len(lengths)))
+    high = [i for i in range(len(lengths)) if lengths[i] and sums[i] >= bar]
+    if not high:
+        return 0, 0
+    first, end = high[0], high[-1] + 1
+    while end < len(lengths) and end < high[-1] + window and lengths[end]:
+        end += 1
+    return first, end

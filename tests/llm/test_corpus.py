@@ -560,3 +560,96 @@ def test_html_surge_and_dive_inside_a_marked_article():
     got = html_extract.main_text(f"<article>{text}</article><article>{text.replace('Para', 'Tele')}</article><article><p>Teaser.</p></article>")
     assert "Paragraph 7" in got and "Telegraph 7" in got and "Teaser" not in got
     assert html_extract.main_text(f"<article>{links}</article>").startswith("Another story 0")
+
+
+def test_html_region_decides(monkeypatch):
+    """Without surge and dive other text comes out, of marked and of unmarked pages."""
+    text = "".join(f"<p>Paragraph {i} has text of its own, enough of it to be one.</p>" for i in range(8))
+    links = "<div><p>" + "</p><p>".join(f"<a href='/{i}'>Another story {i}</a>" for i in range(9)) + "</p></div>"
+    pages = [f"<article>{links}{text}{links}</article>", f"<body><div>{text}</div>{links}<div><p>Foot</p></div></body>"]
+    wanted = [html_extract.main_text(x) for x in pages]
+    for other in (lambda lengths, *_: (0, len(lengths)), lambda *_: (0, 0)):
+        monkeypatch.setattr(html_extract, "region", other)
+        assert all(html_extract.main_text(x) != want for x, want in zip(pages, wanted))
+
+
+def test_html_sums_and_region_by_brute_force():
+    rnd = random.Random(11)
+    for _ in range(300):
+        lengths = [rnd.choice([0, 0, rnd.randrange(30), rnd.randrange(400), 5000 * (rnd.random() < 0.05)]) for _ in range(rnd.randrange(1, 60))]
+        lengths = [int(x) for x in lengths]
+        assert html_extract._sums(lengths) == [sum(lengths[i : i + html_extract.WINDOW]) for i in range(len(lengths))]
+        assert html_extract.region(lengths, [0] * len(lengths), [0]) == brute.region(lengths, html_extract.WINDOW, html_extract.SURGE, html_extract.LINE, html_extract.GAP)
+
+
+@pytest.mark.parametrize("size", [3_999, 6_000, 1_000_000])
+def test_html_quoted_value_of_any_length(size):
+    value = ("a > b <nav>" * (size // 10))[:size]
+    for quote in "\"'":
+        page = f"<article><p>Before the picture.</p><img alt={quote}{value}{quote}><p>After it, {size}.</p></article>"
+        assert html_extract.main_text(page) == f"Before the picture. After it, {size}."
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    row = (1, "http://x", "<article><p>One.</p></article>", "t", 5)
+    df = spark.createDataFrame([row, row, (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(str, rows(html_extract.extract(df))))
+    assert got == sorted(map(str, [{"page_id": 1, "url": "http://x", "text": "One.", "n_chars": 4}] * 2 + [{"page_id": None, "url": None, "text": "", "n_chars": 0}]))
+
+
+def test_top_k_repeated_ids_and_clashing_columns(spark):
+    data = [(20, [1.0, 0.0], 1, 2), (20, [0.5, 0.0], 1, 2), (21, [1.0, 0.0], 1, 2), (21, [1.0, 0.0], 1, 2), (22, [0.0, 1.0], 1, 2)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score int, rank int")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows(topk.every_twentieth(df)))
+    # The smaller of the two vectors of 20 asks; rows that repeat an id are candidates each, and 20 itself is none.
+    assert got == [(1, 21, 2048), (2, 21, 2048), (3, 22, 0)]
+
+
+def test_url_filter_repeated_rows_and_clashing_columns(spark):
+    data = [(i % 90, f"http://site{i % 9}.example.com/fr/{i % 90}", "x", 1) for i in range(180)]
+    df = spark.createDataFrame(data, "page_id long, url string, text string, n int")
+    got = [str(r) for r in rows(url_filter.judge(df))]
+    assert len(got) == 180 and all(got.count(x) == 2 for x in got)
+
+
+def test_url_quantile_is_exact(spark):
+    rnd = random.Random(1)
+    for values in ([0.5], [1.0] * 10, [rnd.gauss(0, 1) for _ in range(3000)], [0.0] * 500 + [rnd.random() * 1e-12 for _ in range(500)], [-1e300, 0.0, 1e300]):
+        df = spark.createDataFrame([(x,) for x in values], "score double")
+        for share in (0.01, 0.5, 1.0):
+            assert url_filter.smallest(df, "score", share) == sorted(values)[max(1, int(-(-len(values) * share // 1))) - 1]
+    assert url_filter.smallest(df.filter("false"), "score", 0.5) is None
+
+
+def test_ids_of_whole_documents(spark):
+    """The ids of all documents of the middle tables are those that the tokenizer itself gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lemniscate.llm.tokens import encoder
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == want.ids
+
+
+def test_scratch_tables_end(spark, docs):
+    """An operator leaves nothing behind but what its result is read from, and a scope around it not even that."""
+    from lemniscate.llm import common
+
+    def files():
+        jvm, where = spark._jvm, common._folder(spark)
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {str(x.getPath().getName()) for x in fs.listStatus(path)} if fs.exists(path) else set()
+
+    before = files()
+    with common.scratch():
+        for make in (simhash.near_duplicates, pii.find_pii, quality.quality_rules, sharding.shard, packing.pack):
+            inside = files()
+            out = make(docs)
+            assert len(files() - inside) == 1, make
+            assert out.count() == docs.count() or make is packing.pack
+    assert files() == before
