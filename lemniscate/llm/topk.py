@@ -38,9 +38,9 @@ class TopKRules:
     lists: int = 4
     #: Share of every list that is read first; it doubles until reading may stop.
     depth: float = 0.25
-    #: Vectors in a part and queries in a block, on average.
+    #: Vectors in a part and queries in a block, on average: equal numbers copy the fewest rows into cells of a given size.
     part: int = 16_384
-    block: int = 2_048
+    block: int = 16_384
     #: Queries that are worked on at once.
     tile: int = 64
 
