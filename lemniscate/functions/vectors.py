@@ -23,6 +23,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def unit(v: Column) -> Column:
+    """The vector brought to length 1; null where it is null or all zero."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n))
+
+
 def knn_score(a: Column, b: Column) -> Column:
     """Cosine moved to 0..1, as nearest-neighbour search scores it."""
     return (1 + cosine(a, b)) / 2

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemniscate.operators import search
+
+#: Words of a part by which documents that may hold it are looked up.
+LOOKED_UP = 3
+
 
 def found_at(expected: DataFrame, ranking: DataFrame) -> DataFrame:
     """``expected`` (case_id, query_id, doc_id, …) with ``position``, the first rank of the expected document, or null."""
@@ -12,6 +17,29 @@ def found_at(expected: DataFrame, ranking: DataFrame) -> DataFrame:
     return expected.join(first, ["query_id", "doc_id"], "left")
 
 
+def holding(docs: DataFrame, index: search.Index, parts: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents (doc_id, text) whose text has the string ``part`` of (query_id, part) in it.
+
+    Words inside a part, cut off at neither end, stand in a row in every such
+    document: the index finds those documents, and they alone are compared.
+    Parts without such a word are compared with all documents.
+    """
+    words = index.analyser(F.col("part"))
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.least(F.size(words) - 2, F.lit(LOOKED_UP))))
+    asked = parts.select("query_id", "part", F.array_join(inner, " ").alias("query"))
+    met = search.phrases(index, asked.filter("query IS NOT NULL").select("query_id", "query")).select("query_id", "doc_id")
+    looked_up = met.join(asked.select("query_id", "part"), "query_id").join(docs, "doc_id").filter(F.contains("text", "part"))
+    others = docs.join(asked.filter("query IS NULL").select("query_id", "part"), F.contains("text", "part"))
+    return looked_up.select("query_id", "doc_id").unionByName(others.select("query_id", "doc_id"))
+
+
+def hits_at(cases: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """k, hits, total: how many of all cases have a position of at most k; only counts are shuffled."""
+    counted = cases.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("position") <= k).alias(f"hits_{k}") for k in ks])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hits_{k}").alias("hits")) for k in ks])
+    return counted.select(F.explode(rows).alias("x"), "total").select("x.k", "x.hits", "total")
+
+
 def metrics(cases: DataFrame, *group: str) -> DataFrame:
     """Per group: cases, hits, hit rate in percent, mean and exact median position, all positions."""
     return cases.groupBy(*group).agg(

@@ -5,13 +5,13 @@ from __future__ import annotations
 import sys
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lemniscate.functions import mathml
 from lemniscate.functions.vectors import mean_vectors
-from lemniscate.operators.search import small
+from lemniscate.operators.ranking import numbered
 
 WINDOW = 2
 #: Longer pairs are left out.
@@ -169,7 +169,7 @@ def dictionary(tokens: DataFrame, key: str, known: DataFrame | None = None) -> D
 
     With ``known``, symbols it lacks get the ids that follow; its own stay.
     The first occurrence is a minimum, so counting in sequence isn't needed;
-    the last ranking is over distinct symbols.
+    distinct symbols are numbered range by range.
     """
     rows = tokens.select(key, "pos", F.posexplode("tokens").alias("slot", "t")).groupBy("t.kind", "t.symbol").agg(
         F.min(F.struct(key, "pos", "slot")).alias("first")
@@ -180,14 +180,14 @@ def dictionary(tokens: DataFrame, key: str, known: DataFrame | None = None) -> D
         top = known.groupBy("kind").agg((F.max("id") + 1).alias("next"))
         rows = rows.join(F.broadcast(top), "kind", "left")
         start = F.coalesce("next", start)
-    ranked = rows.select("kind", "symbol", (start + F.row_number().over(Window.partitionBy("kind").orderBy("first")) - 1).alias("id"))
+    ranked = numbered(rows, ["first"], ["kind"]).select("kind", "symbol", (start + F.col("n")).cast("int").alias("id"))
     return ranked if known is None else known.unionByName(ranked)
 
 
 def encoded(tokens: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Words (arrays of ids) of every pair: key, pos, word; symbols without an id are left out."""
     rows = tokens.select(key, "pos", F.posexplode("tokens").alias("slot", "t")).select(key, "pos", "slot", "t.kind", "t.symbol")
-    joined = rows.join(small(ids), ["kind", "symbol"])
+    joined = rows.join(ids, ["kind", "symbol"])
     words = joined.groupBy(key, "pos").agg(F.array_sort(F.collect_list(F.struct("slot", "id"))).alias("w"))
     return words.select(key, "pos", F.transform("w", lambda x: x["id"]).alias("word"))
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
-from lemniscate.functions.vectors import cosine
-from lemniscate.session import BROADCAST_ROWS
+from lemniscate.functions.vectors import dot, norm, unit
+from lemniscate.session import BROADCAST_ROWS, stored
 
+Analyser = Callable[[Column], Column]
 K1, B = 1.2, 0.75
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; otherwise as it is, so that joins shuffle."""
+    """``df``, a table that is read and not computed, with a broadcast hint if it has few rows; otherwise as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -30,14 +34,37 @@ def analysed_docs(docs: DataFrame, analyser=tokens) -> DataFrame:
     return docs.select("doc_id", analyser(F.col("text")).alias("words"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """An inverted index.  ``postings``: term, doc_id, tf, positions, dl, and df, in how many documents the term is."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float | None
+    analyser: Analyser = tokens
+
+
 def postings(analysed: DataFrame) -> DataFrame:
-    """The inverted index: term, doc_id, tf, positions, dl."""
+    """The rows of an inverted index: term, doc_id, tf, positions, dl."""
     rows = analysed.select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term"))
     return rows.groupBy("term", "doc_id").agg(
         F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl")
     )
 
 
+def build_index(docs: DataFrame, analyser: Analyser = tokens) -> Index:
+    """Index (doc_id, text) once, for any number of searches; terms lie together, so that a search reads those it asks for.
+
+    Postings are sorted by term in ranges that a frequent term may span.
+    """
+    analysed = stored(analysed_docs(docs, analyser), "analysed")
+    n, avgdl = _corpus(analysed).first()
+    rows = stored(postings(analysed), "postings")
+    counted = rows.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("df"))
+    sorted_rows = rows.join(counted, "term").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    return Index(stored(sorted_rows, "index"), n, avgdl, analyser)
+
+
 def query_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
     """query_id, term, qtf of (query_id, query)."""
     return queries.select("query_id", F.explode(analyser(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -55,51 +82,59 @@ def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
     return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, analyser=tokens) -> DataFrame:
-    """query_id, doc_id, score: sum over the query's terms, any of which may match.
+def _matched(docs: DataFrame | Index, asked: DataFrame, analyser: Analyser) -> DataFrame:
+    """Postings of the terms in ``asked``, with the corpus's ``n`` and ``avgdl``.
 
-    Only tokens that some query asks for are shuffled, already counted by
-    document where they are read.
+    Without an index only tokens that some query asks for are shuffled.  No
+    side is given a hint: of ``asked`` the size is known when the plan is made,
+    and what is counted turns out small or large while it runs.
     """
+    terms = asked.select("term").distinct()
+    if isinstance(docs, Index):
+        found = docs.postings.join(terms, "term", "left_semi")
+        return found.withColumns({"n": F.lit(docs.n), "avgdl": F.lit(docs.avgdl)})
     analysed = analysed_docs(docs, analyser)
-    asked = query_terms(queries, analyser)
-    terms = small(asked.select("term").distinct())
-    hits = analysed.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms, "term")
-    tf = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    hits = analysed.select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+    tf = hits.groupBy("term", "doc_id").agg(
+        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl")
+    )
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = _corpus(analysed).select(F.struct("n", "avgdl").alias("c"))
-    weighted = tf.join(small(df), "term").withColumn("c", corpus.scalar())
-    part = F.col("qtf") * idf(F.col("c.n"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("c.avgdl"))
-    return weighted.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return tf.join(df, "term").withColumn("c", corpus.scalar()).select("*", "c.n", "c.avgdl").drop("c")
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, analyser: Analyser = tokens) -> DataFrame:
+    """query_id, doc_id, score: sum over the query's terms, any of which may match; ``docs``: (doc_id, text) or an index of them."""
+    asked = query_terms(queries, docs.analyser if isinstance(docs, Index) else analyser)
+    found = _matched(docs, asked, analyser).drop("positions")
+    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    return found.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def phrases(docs: DataFrame, queries: DataFrame, analyser=tokens) -> DataFrame:
+def phrases(docs: DataFrame | Index, queries: DataFrame, analyser: Analyser = tokens) -> DataFrame:
     """query_id, doc_id, score: documents that hold the query's words in a row, scored by the phrase's frequency.
 
     Positions that could start the phrase are counted: a start is reached from
     every one of its words, so no position list is joined with another.
     """
-    analysed = analysed_docs(docs, analyser)
-    asked = queries.select("query_id", F.posexplode(analyser(F.col("query"))).alias("at", "term"))
-    terms = small(asked.select("term").distinct())
-    hits = analysed.select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term")).join(terms, "term")
-    lengths = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("len"))
+    words = (docs.analyser if isinstance(docs, Index) else analyser)(F.col("query"))
+    asked = queries.select("query_id", F.size(words).alias("len"), F.posexplode(words).alias("at", "term"))
+    hits = _matched(docs, asked, analyser).join(asked, "term")
     starts = (
-        hits.join(small(asked), "term")
+        hits.select("query_id", "doc_id", "len", "dl", "n", "avgdl", "df", "at", F.explode("positions").alias("pos"))
         .groupBy("query_id", "doc_id", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("met"), F.first("dl").alias("dl"))
-        .join(small(lengths), "query_id")
+        .agg(
+            F.count(F.lit(1)).alias("met"),
+            F.sum(idf(F.col("n"), F.col("df"))).alias("idf"),
+            *[F.first(c).alias(c) for c in ("len", "dl", "avgdl")],
+        )
         .filter("met = len")
     )
-    freq = starts.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = hits.select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = _corpus(analysed).select(F.struct("n", "avgdl").alias("c"))
-    idfs = asked.join(small(df), "term").withColumn("c", corpus.scalar()).groupBy("query_id").agg(F.sum(idf(F.col("c.n"), F.col("df"))).alias("idf"))
-    scored = freq.join(small(idfs), "query_id").withColumn("c", corpus.scalar())
-    return scored.select("query_id", "doc_id", (F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("c.avgdl"))).alias("score"))
+    freq = starts.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in ("idf", "dl", "avgdl")])
+    return freq.select("query_id", "doc_id", (F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
 
 
-def formula_aware(docs: DataFrame, queries: DataFrame, formulas: DataFrame, boost: float = 2.0) -> DataFrame:
+def formula_aware(docs: DataFrame | Index, queries: DataFrame, formulas: DataFrame, boost: float = 2.0) -> DataFrame:
     """BM25 of the query plus boosted phrase scores of its formulas (query_id, query)."""
     both = bm25(docs, queries).unionByName(phrases(docs, formulas).withColumn("score", boost * F.col("score")))
     return both.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
@@ -108,12 +143,20 @@ def formula_aware(docs: DataFrame, queries: DataFrame, formulas: DataFrame, boos
 def knn(collection: DataFrame, queries: DataFrame, k: int, rescale: bool = True) -> DataFrame:
     """query_id, id, score, rank: exact cosine neighbours of (query_id, vector) among (id, vector).
 
-    ``rescale``: scores as (1 + cosine) / 2.  The query set is compared with
-    all rows; the best k of every task meet, not all pairs.
+    ``rescale``: scores as (1 + cosine) / 2.  Vectors are brought to length 1
+    once.  Every row of the collection lies in one part and is compared with
+    the query set there, so no part holds all rows of one size; the best k of
+    every task meet, not all pairs.
     """
-    q = queries.filter(F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("q"))
-    score = cosine(F.col("vector"), F.col("q"))
-    pairs = collection.filter(F.col("vector").isNotNull()).join(small(q), F.size("vector") == F.size("q")).select(
-        "query_id", "id", ((1 + score) / 2 if rescale else score).alias("score")
-    )
-    return top_k(pairs.filter(F.col("score").isNotNull()), k, tie="id", per="query_id")
+    tasks = max(1, collection.sparkSession.sparkContext.defaultParallelism)
+    parts = 4 * tasks
+    found = lambda df: df.filter(norm(F.col("vector")) > 0)  # noqa: E731  (null where a component is null)
+    cell = lambda part, v: (part + parts * F.size(v)).alias("cell")
+    q = found(queries).select("query_id", unit(F.col("vector")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    q = q.select("query_id", "q", cell(F.col("part"), "q"))
+    c = found(collection).select("id", unit(F.col("vector")).alias("v"), cell(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "vector"))
+    # Few rows are much work here, so both sides are dealt to as many tasks as can run.
+    c, q = c.repartition(tasks, "cell"), q.repartition(tasks, "cell")
+    score = dot(F.col("v"), F.col("q"))
+    pairs = c.join(q, "cell").select("query_id", "id", ((1 + score) / 2 if rescale else score).alias("score"))
+    return top_k(pairs, k, tie="id", per="query_id")

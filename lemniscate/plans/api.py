@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions import latex
 from lemniscate.functions.html import html_text, html_text_with_latex, separated
+from lemniscate.functions.text import analysed
 from lemniscate.functions.vectors import weight
 from lemniscate.operators import formulas, fusion, search
 
@@ -23,16 +24,27 @@ K = 10
 Embedder = Callable[[DataFrame], DataFrame]
 
 
-def _docs(posts: DataFrame, field: str) -> DataFrame:
+def _docs(posts: DataFrame | search.Index, field: str) -> DataFrame | search.Index:
+    if isinstance(posts, search.Index):
+        return posts
     return posts.select(F.col("post_id").alias("doc_id"), F.coalesce(F.col(field), F.lit("")).alias("text"))
 
 
-def search_pure_text(posts: DataFrame, queries: DataFrame, k: int = K, field: str = "text") -> DataFrame:
-    """BM25 over one text field."""
-    return search.top_k(search.bm25(_docs(posts, field), queries), k, per="query_id")
+def text_index(posts: DataFrame, field: str = "text", analyser: search.Analyser = analysed) -> search.Index:
+    """An index of one text field, in place of ``posts`` for any number of searches."""
+    return search.build_index(_docs(posts, field), analyser)
 
 
-def search_treated_formulas(posts: DataFrame, queries: DataFrame, k: int = K, field: str = "text_latex_search") -> DataFrame:
+def search_pure_text(
+    posts: DataFrame | search.Index, queries: DataFrame, k: int = K, field: str = "text", analyser: search.Analyser = analysed
+) -> DataFrame:
+    """BM25 over one text field; by default words are folded, stemmed and stop words left out."""
+    return search.top_k(search.bm25(_docs(posts, field), queries, analyser), k, per="query_id")
+
+
+def search_treated_formulas(
+    posts: DataFrame | search.Index, queries: DataFrame, k: int = K, field: str = "text_latex_search", analyser: search.Analyser = analysed
+) -> DataFrame:
     """BM25 of the cleaned query, its formulas as phrases that count double."""
     text = html_text_with_latex("query")
     plain = queries.select("query_id", text.alias("t"))
@@ -40,8 +52,8 @@ def search_treated_formulas(posts: DataFrame, queries: DataFrame, k: int = K, fi
     found = plain.select("query_id", F.explode(latex.formulas(F.col("t"))).alias("f"))
     phrases = found.select(F.struct("query_id", "f").alias("query_id"), latex.cleaned(F.col("f")).alias("query"))
     docs = _docs(posts, field)
-    hits = search.phrases(docs, phrases).select("query_id.query_id", "doc_id", (2 * F.col("score")).alias("score"))
-    both = search.bm25(docs, cleaned).unionByName(hits).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    hits = search.phrases(docs, phrases, analyser).select("query_id.query_id", "doc_id", (2 * F.col("score")).alias("score"))
+    both = search.bm25(docs, cleaned, analyser).unionByName(hits).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return search.top_k(both, k, per="query_id")
 
 
@@ -82,7 +94,7 @@ def search_hybrid(
     text = fusion.keep_last(text_hits, keyword_hits)
     named = asked.select(F.struct("query_id", "part").alias("query_id"), "vector")
     near = search_formula_vector(index, named, field, 3 * k).select("query_id.*", F.col("post_id").alias("doc_id"), "score")
-    hits = near.join(search.small(asked.select("query_id", "part", weight(F.col("vector")).alias("weight"))), ["query_id", "part"])
+    hits = near.join(asked.select("query_id", "part", weight(F.col("vector")).alias("weight")), ["query_id", "part"])
     return {
         f"{how}{'_weighted' if weighted else ''}": search.top_k(fusion.fused(text, fusion.by_document(hits, how, weighted)), k, per="query_id")
         for weighted in (False, True)

@@ -51,6 +51,17 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    """The documents' index: built by the first search of a session, read by the others."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _indexes:
+        _indexes[key] = search.build_index(_docs(spark, sf))
+    return _indexes[key]
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -83,13 +94,13 @@ RANKED_SQL = "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM
 @C.add(f"WITH {BM25_SQL}, s AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm25) {RANKED_SQL}")
 def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best documents of every query."""
-    return search.top_k(_rounded(search.bm25(_docs(spark, sf), _asked(spark, sf))), K, per="query_id")
+    return search.top_k(_rounded(search.bm25(_index(spark, sf), _asked(spark, sf))), K, per="query_id")
 
 
 @C.add(f"WITH {BM25_SQL}, {PHRASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM phrase")
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a passage's first three words in a row."""
-    return _rounded(search.phrases(_docs(spark, sf), _phrase(spark, sf)))
+    return _rounded(search.phrases(_index(spark, sf), _phrase(spark, sf)))
 
 
 @C.add(
@@ -98,7 +109,7 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
 )
 def formula_aware_bool(spark: SparkSession, sf: str) -> DataFrame:
     """Words may match, phrases count double."""
-    return search.top_k(_rounded(search.formula_aware(_docs(spark, sf), _asked(spark, sf), _phrase(spark, sf))), K, per="query_id")
+    return search.top_k(_rounded(search.formula_aware(_index(spark, sf), _asked(spark, sf), _phrase(spark, sf))), K, per="query_id")
 
 
 KNN_SQL = """
@@ -224,9 +235,9 @@ def arms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     named = asked.select(F.struct("query_id", "part").alias("query_id"), "vector")
     near = search.knn(_vectors(spark, sf).drop("label"), named, 6 * K)
     near = search.top_k(_rounded(near.drop("rank")), 3 * K, tie="id", per="query_id").select("query_id.*", "id", "score")
-    hits = near.join(search.small(asked.select("query_id", "part", weight(F.col("vector")).alias("weight"))), ["query_id", "part"])
+    hits = near.join(asked.select("query_id", "part", weight(F.col("vector")).alias("weight")), ["query_id", "part"])
     neighbours = near.filter("part = 0").select("query_id", F.col("id").alias("doc_id"), "score")
-    words = search.top_k(_rounded(search.bm25(_docs(spark, sf), _asked(spark, sf))), 3 * K, per="query_id").drop("rank")
+    words = search.top_k(_rounded(search.bm25(_index(spark, sf), _asked(spark, sf))), 3 * K, per="query_id").drop("rank")
     return fusion.keep_last(neighbours, words), hits.select("query_id", (F.col("id") % 100).alias("doc_id"), "score", "weight")
 
 
@@ -304,7 +315,7 @@ def doc_fusion_weighted(spark: SparkSession, sf: str) -> DataFrame:
 def math_text_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Formula and text scores mixed by the formulas' share of the query's parts."""
     _, hits = arms(spark, sf)
-    text = search.bm25(_docs(spark, sf), _asked(spark, sf))
+    text = search.bm25(_index(spark, sf), _asked(spark, sf))
     share = _asked(spark, sf).select("query_id", fusion.math_share(F.lit(2), F.size(tokens(F.col("query")))).alias("m"))
     return fusion.math_and_text(fusion.by_document(hits), text, share).withColumn("score", F.round("score", 5))
 
@@ -327,9 +338,8 @@ CASES_SQL = (
 
 
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    items = _asked(spark, sf).select("query_id", F.substring("query", 1, 60).alias("start"))
-    expected = docs.join(search.small(items), F.contains("text", "start")).select("query_id", "doc_id")
+    items = _asked(spark, sf).select("query_id", F.substring("query", 1, 60).alias("part"))
+    expected = evaluate.holding(_docs(spark, sf), _index(spark, sf), items)
     return evaluate.found_at(expected, bm25_multi_query(spark, sf))
 
 
@@ -346,9 +356,7 @@ def eval_rank_stats(spark: SparkSession, sf: str) -> DataFrame:
     f"{CASES_SQL}, k AS (SELECT unnest([1, 3, 5, 10]) AS k) SELECT k, count_if(position <= k) AS hits, count(*) AS total FROM cases CROSS JOIN k GROUP BY k"
 )
 def eval_hit_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = evaluate.metrics(_cases(spark, sf).withColumn("g", F.lit(1)), "g")
-    rows = grouped.select("total", "positions", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k"))
-    return rows.select("k", evaluate.hit_at(F.col("k"), F.col("positions")).cast("long").alias("hits"), "total")
+    return evaluate.hits_at(_cases(spark, sf), (1, 3, 5, 10))
 
 
 @C.add(
@@ -358,13 +366,13 @@ SELECT f.item_id AS query_id, f.n AS full_position, c.n AS truncated_position FR
 )
 def eval_full_vs_trunc(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold the whole passage and those that hold its first fifty characters, side by side."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
     asked = _asked(spark, sf)
     both = asked.select("query_id", F.lit("passage").alias("query_type"), "query").unionByName(
         asked.select("query_id", F.lit("passage_truncated_50").alias("query_type"), F.substring("query", 1, 50).alias("query"))
     )
-    # The few queries are broadcast, so every document is compared where it is read; queries without a hit are added back.
-    hits = docs.join(search.small(both), F.contains("text", "query")).groupBy("query_id", "query_type").agg(F.count("doc_id").alias("n"))
+    named = both.select(F.struct("query_id", "query_type").alias("query_id"), F.col("query").alias("part"))
+    found = evaluate.holding(_docs(spark, sf), _index(spark, sf), named).select("query_id.*", "doc_id")
+    hits = found.groupBy("query_id", "query_type").agg(F.count("doc_id").alias("n"))
     counts = both.select("query_id", "query_type").join(hits, ["query_id", "query_type"], "left").select(
         "query_id", "query_type", F.coalesce("n", F.lit(0)).alias("position")
     )

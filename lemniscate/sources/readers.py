@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions.html import formulas_count, html_text, html_text_with_latex, html_text_without_formulas, title_and_body
 from lemniscate.functions.text import ascii_id, stripped
+from lemniscate.operators.ranking import numbered
 
 #: Posts taken by one ingest.
 INGEST_CAP = 15_000
@@ -143,8 +144,7 @@ def document(file: Column) -> Column:
 
 def document_list(docs: DataFrame, chunk: int) -> DataFrame:
     """Documents (path) numbered from 0 with their chunk and place in it."""
-    numbered = docs.withColumn("doc_id", F.row_number().over(Window.orderBy("path")) - 1)
-    return numbered.withColumn("chunk", F.floor(F.col("doc_id") / chunk)).withColumn("place", F.col("doc_id") % chunk)
+    return numbered(docs, ["path"], name="doc_id").withColumn("chunk", F.floor(F.col("doc_id") / chunk)).withColumn("place", F.col("doc_id") % chunk)
 
 
 def nth_formula(content: Column, n: Column) -> Column:
