@@ -84,7 +84,8 @@ MIN_FORMULA = 6
 
 def applied(x: Column, steps: list[Step]) -> Column:
     for kind, what, by in steps:
-        x = F.replace(x, F.lit(what), F.lit(by)) if kind == "plain" else F.regexp_replace(x, what, by)
+        # Letters, digits and spaces of any script count as such.
+        x = F.replace(x, F.lit(what), F.lit(by)) if kind == "plain" else F.regexp_replace(x, f"(?U){what}", by)
     return x
 
 

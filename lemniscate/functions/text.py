@@ -24,7 +24,7 @@ FOLD_TO = "aaaaaaceeeeiiiinoooooouuuuyy"
 
 def stripped(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def tokens(text: Column) -> Column:
@@ -36,10 +36,14 @@ def folded(text: Column) -> Column:
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
 
+def folded_words(text: Column) -> Column:
+    """Tokens folded to ASCII, without stop words."""
+    return F.filter(F.transform(tokens(text), folded), lambda w: ~w.isin(STOP_WORDS))
+
+
 def analysed(text: Column) -> Column:
     """Tokens folded to ASCII, without stop words, stemmed."""
-    words = F.filter(F.transform(tokens(text), folded), lambda w: ~w.isin(STOP_WORDS))
-    return stems(words)
+    return stems(folded_words(text))
 
 
 _VOWEL = re.compile(r"[aeiou]|(?<![aeiou])y")
