@@ -69,3 +69,38 @@ def full_against_truncated(results: DataFrame, *group: str) -> DataFrame:
     cut = base.filter(F.col("query_type") != F.col("base")).withColumnRenamed("position", "truncated_position")
     keys = [*group, "base"]
     return full.select(*keys, "full_position").join(cut.select(*keys, "truncated_position"), keys)
+
+
+def request_metrics(requests: DataFrame, *group: str) -> DataFrame:
+    """Per group of requests (…, ok, seconds, position): all, answered, their share in percent, found, mean seconds of answered ones."""
+    percent = lambda x: F.round(100 * x / F.count(F.lit(1)), 2)
+    return requests.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("ok").alias("successful"),
+        percent(F.count_if("ok")).alias("success_rate"),
+        F.count("position").alias("found"),
+        percent(F.count("position")).alias("hit_rate"),
+        F.round(F.avg(F.when(F.col("ok"), F.col("seconds"))), 3).alias("mean_seconds"),
+    )
+
+
+def flattened(summary: Column) -> Column:
+    """A JSON summary {algorithm: {query type: {metric: value}}} as an array of rows (algorithm, query_type, base, truncated, metrics)."""
+    parsed = F.from_json(summary, "map<string,map<string,map<string,string>>>")
+    per_type = lambda a: F.transform(
+        F.map_entries(a["value"]),
+        lambda t: F.struct(
+            a["key"].alias("algorithm"),
+            t["key"].alias("query_type"),
+            F.regexp_replace(t["key"], "_truncated_50$", "").alias("base"),
+            t["key"].contains("truncated").alias("truncated"),
+            t["value"].alias("metrics"),
+        ),
+    )
+    return F.flatten(F.transform(F.map_entries(parsed), per_type))
+
+
+def place_in(name: Column, order: list[str]) -> Column:
+    """A category's place in its given order, from 0; null for names that aren't in it."""
+    at = F.array_position(F.array(*[F.lit(x) for x in order]), name)
+    return F.when(at > 0, (at - 1).cast("int"))

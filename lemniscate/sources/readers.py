@@ -161,7 +161,7 @@ def route(extension: Column) -> Column:
 
 
 def encoder_map(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("quote", "").schema("kind string, symbol string, id int").csv(path)
+    return spark.read.option("sep", "\t").option("quote", "").schema("kind string, symbol string, id int").csv(path).na.fill("", ["symbol"])
 
 
 def config(spark: SparkSession, path: str, sep: str = ",") -> dict[str, str | int]:
