@@ -230,6 +230,28 @@ def trained_vectors(words: DataFrame, key: str, dims: int = 300, window: int = 5
     return model, model.transform(sentences).select(key, vector_to_array("v").alias("vector"))
 
 
+def trained(formulas: DataFrame, kind: str = "slt", key: str = "formula_id", **how: int) -> tuple[object, DataFrame]:
+    """A model over one representation of (key, formula), and key, vector; formulas that can't be parsed have none."""
+    mode, numbers = MODES[kind]
+    trees = "opt" if kind == "opt" else "slt"
+    pairs = short_enough(tuples(parsed(formulas, trees).filter(F.col("nodes").isNotNull()), key, trees))
+    tokens = tokenised(pairs, mode, numbers)
+    return trained_vectors(encoded(tokens, key, dictionary(tokens, key)), key, **how)
+
+
+def with_model(model: object, words: DataFrame, key: str) -> DataFrame:
+    """key, vector of new formulas by a trained model: the mean over the n-grams that it knows.
+
+    A word that was not seen in training still has n-grams that were, so it
+    has a vector; n-grams unknown to the model are left out.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    known = model.getVectors().select(F.col("word").alias("g"), vector_to_array("vector").alias("vector"))
+    listed = words.select(key, F.explode(grams(F.col("word"))).alias("g"))
+    return mean_vectors(listed.groupBy(key, "g").agg(F.count(F.lit(1)).cast("double").alias("w")).join(known, "g"), key, "vector", "w")
+
+
 def text_vectors(docs: DataFrame, dims: int = 384) -> DataFrame:
     """doc_id, vector: hashed TF-IDF of the words, scaled to length 1."""
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
