@@ -190,7 +190,7 @@ def fill_up(spark: SparkSession, sf: str) -> DataFrame:
     """Where ingestion goes on, and how many posts a fill-up of vectors takes."""
     docs, there = table(spark, sf, "documents"), table(spark, sf, "labels")
     filled = ingest.fill_missing(docs, there, lambda d: d.select("doc_id", F.array(F.lit(0.0)).alias("vector")), "doc_id")
-    return filled.agg(F.lit(ingest.max_id(docs, "doc_id")).alias("highest"), F.count("vector").alias("filled"))
+    return filled.agg(F.lit(ingest.max_id(docs, "doc_id")).cast("long").alias("highest"), F.count("vector").alias("filled"))
 
 
 @C.add(
