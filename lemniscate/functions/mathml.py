@@ -488,93 +488,378 @@ def flat(root: Node, kind: str) -> Iterator[tuple]:
     return (tuple(n) for n in out)
 
 
-# Commands of the LaTeX subset and the symbols they stand for.
-GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
+# LaTeX commands and what they stand for.  Symbols that are named like the characters of HTML come from those names.
 SIGNS = {
-    "le": "≤", "leq": "≤", "ge": "≥", "geq": "≥", "ne": "≠", "neq": "≠", "times": "×", "cdot": "⋅", "pm": "±", "to": "→", "in": "∈",
-    "infty": "∞", "partial": "∂", "forall": "∀", "exists": "∃", "subset": "⊂", "cup": "∪", "cap": "∩", "sum": "∑", "prod": "∏", "int": "∫",
+    "le": "≤", "ge": "≥", "ne": "≠", "neq": "≠", "to": "→", "gets": "←", "implies": "⟹", "impliedby": "⟸", "infty": "∞", "neg": "¬",
+    "land": "∧", "lor": "∨", "exists": "∃", "nexists": "∄", "partial": "∂", "circ": "∘", "star": "⋆", "ast": "∗", "iint": "∬", "iiint": "∭",
+    "ldots": "…", "dots": "…", "dotsc": "…", "cdots": "⋯", "dotsb": "⋯", "vdots": "⋮", "ddots": "⋱", "lvert": "|", "rvert": "|", "vert": "|",
+    "lVert": "∥", "rVert": "∥", "Vert": "∥", "|": "∥", "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "colon": ":",
+    "subsetneq": "⊊", "supsetneq": "⊋", "ngeq": "≱", "nleq": "≰", "bigotimes": "⨂", "bigoplus": "⨁", "bigwedge": "⋀", "bigvee": "⋁",
 }
-NAMES = "sin cos tan cot sec csc log ln exp lim max min".split()
+NAMES = (
+    "sin cos tan cot sec csc sinh cosh tanh coth arcsin arccos arctan log ln lg exp lim limsup liminf max min sup inf arg det dim deg gcd"
+    " hom ker mod bmod Pr"
+).split()
+ACCENTS = {
+    "hat": "^", "widehat": "^", "bar": "¯", "overline": "¯", "vec": "→", "overrightarrow": "→", "overleftarrow": "←", "tilde": "~",
+    "widetilde": "~", "dot": "˙", "ddot": "¨", "check": "ˇ", "breve": "˘", "acute": "´", "grave": "`", "overbrace": "⏞",
+}
+UNDER = {"underline": "_", "underbrace": "⏟"}
+STYLES = "mathbf mathbb mathcal mathfrak mathscr mathsf mathit mathtt boldsymbol bm pmb ensuremath mathop mathrel mathbin mathord".split()
+WORDS = {"text": "mtext", "textrm": "mtext", "textbf": "mtext", "textit": "mtext", "mbox": "mtext", "hbox": "mtext", "mathrm": "mi", "operatorname": "mi"}
+SILENT = (
+    ", ; : ! > quad qquad displaystyle textstyle scriptstyle limits nolimits rm bf it left right middle big Big bigg Bigg bigl bigr Bigl"
+    " Bigr biggl biggr Biggl Biggr nonumber notag hline"
+).split()
+FENCES = {"pmatrix": "()", "bmatrix": "[]", "Bmatrix": "{}", "vmatrix": "||", "Vmatrix": "∥∥", "cases": "{"}
+
+
+def _symbol(name: str) -> str | None:
+    """The character of a LaTeX command."""
+    from html.entities import html5
+
+    found = SIGNS.get(name) or html5.get(name + ";")
+    return found if found and len(found) == 1 else None
 
 
 def latex_markup(latex: str) -> str | None:
-    """Presentation markup of a simple formula; None where the subset doesn't reach.
+    """Presentation markup of a formula; None where a command isn't known or a group doesn't close.
 
-    Identifiers, numbers, operators, scripts, fractions, roots, Greek letters,
-    sums, integrals, limits, text and brackets; unescaped percent signs go.
+    Identifiers, numbers, operators, scripts and primes, fractions, binomials,
+    roots, symbols by name, sums, integrals, limits, text, accents, stacked
+    signs, negations, brackets, matrices, cases and aligned lines; styles and
+    spaces say nothing; unescaped percent signs go.
     """
+    from unicodedata import category, normalize
     from xml.sax.saxutils import escape
 
     marks = re.findall(r"\\[A-Za-z]+|\\.|\d+(?:\.\d+)?|\S", re.sub(r"(?<!\\)%", "", latex.strip().strip("$")))
     at = 0
 
+    def taken(mark: str) -> bool:
+        nonlocal at
+        found = at < len(marks) and marks[at] == mark
+        at += found
+        return found
+
+    def plain(close: str) -> str:
+        """The marks up to ``close`` as they stand."""
+        nonlocal at
+        end = marks.index(close, at)
+        words, at = "".join(marks[at:end]), end + 1
+        return words
+
     def group() -> str:
+        while at < len(marks) and marks[at][1:] in SILENT and marks[at][0] == "\\":
+            atom()
+        return row("}") if taken("{") else atom()
+
+    def sign(char: str) -> str:
+        kind = "mi" if category(char)[0] == "L" else "mo"
+        return f"<{kind}>{escape(char)}</{kind}>"
+
+    def table(name: str) -> str:
         nonlocal at
-        if at < len(marks) and marks[at] == "{":
-            at += 1
-            inner = row("}")
-            at += 1
-            return inner
-        return atom()
+        taken("*")
+        if name in ("array", "alignat") and taken("{"):
+            plain("}")
+        taken("*") and taken("}")
+        rows: list[list[str]] = [[]]
+        while True:
+            rows[-1].append(row("&", "\\\\", "\\end"))
+            ended = marks[at - 1]
+            if ended == "\\\\":
+                taken("[") and plain("]")
+                rows.append([])
+            elif ended == "\\end":
+                break
+        taken("{")
+        if plain("}").rstrip("*") != name:
+            raise UnknownTag("environments cross")
+        if rows[-1] == ["<mrow></mrow>"]:
+            rows.pop()
+        body = "".join(f"<mtr>{''.join(f'<mtd>{c}</mtd>' for c in r)}</mtr>" for r in rows)
+        fence = [f"<mo>{x}</mo>" for x in FENCES.get(name, "")] + ["", ""]
+        return f"<mrow>{fence[0]}<mtable>{body}</mtable>{fence[1]}</mrow>" if name in FENCES else f"<mtable>{body}</mtable>"
 
     def atom() -> str:
         nonlocal at
-        if at >= len(marks):
+        if at >= len(marks) or marks[at] in ("}", "&", "\\\\", "\\end"):
             raise UnknownTag("end")
         m = marks[at]
         at += 1
+        name = m[1:] if m.startswith("\\") else ""
         if m == "{":
-            at -= 1
+            return row("}")
+        if m in ("~", "\\ ") or name in SILENT:
+            if name in ("left", "right", "middle"):
+                taken(".")
+            return ""
+        if name in STYLES:
             return group()
-        if m == "\\frac":
+        if name in ("frac", "dfrac", "tfrac", "cfrac"):
             return f"<mfrac>{group()}{group()}</mfrac>"
-        if m == "\\sqrt":
-            if at < len(marks) and marks[at] == "[":
-                at += 1
+        if name in ("binom", "dbinom", "tbinom"):
+            return f"<mrow><mo>(</mo><mfrac>{group()}{group()}</mfrac><mo>)</mo></mrow>"
+        if name == "sqrt":
+            if taken("["):
                 degree = row("]")
-                at += 1
                 return f"<mroot>{group()}{degree}</mroot>"
             return f"<msqrt>{group()}</msqrt>"
-        if m in ("\\text", "\\mathrm", "\\operatorname"):
-            at += 1
-            end = marks.index("}", at)
-            words, at = "".join(marks[at:end]), end + 1
-            return f"<{'mtext' if m == '\\text' else 'mi'}>{escape(words)}</{'mtext' if m == '\\text' else 'mi'}>"
-        if m in ("\\left", "\\right"):
-            return atom()
-        if m.startswith("\\qvar") or m == "?":
+        if name in WORDS:
+            taken("*")
+            words = plain("}") if taken("{") else marks[at]
+            return f"<{WORDS[name]}>{escape(words)}</{WORDS[name]}>"
+        if name in ACCENTS:
+            return f"<mover>{group()}<mo>{ACCENTS[name]}</mo></mover>"
+        if name in UNDER:
+            return f"<munder>{group()}<mo>{UNDER[name]}</mo></munder>"
+        if name in ("overset", "stackrel", "underset"):
+            mark, base = group(), group()
+            return f"<munder>{base}{mark}</munder>" if name == "underset" else f"<mover>{base}{mark}</mover>"
+        if name == "not":
+            char = re.sub("<[^>]*>", "", atom()).replace("&lt;", "<").replace("&gt;", ">")
+            return sign(made) if len(made := normalize("NFC", char + "̸")) == 1 else f"<mo>{escape(char)}̸</mo>"
+        if name == "pmod":
+            return f"<mrow><mo>(</mo><mi>mod</mi>{group()}<mo>)</mo></mrow>"
+        if name == "begin" and taken("{"):
+            return table(plain("}").rstrip("*"))
+        if name.startswith("qvar") or m == "?":
             return '<mws:qvar xmlns:mws="http://search.mathweb.org/ns" name="x"/>'
-        name = m[1:] if m.startswith("\\") else ""
-        if name in GREEK:
-            return f"<mi>{chr(0x3B1 + GREEK.index(name) + (GREEK.index(name) > 16))}</mi>"
         if name in NAMES:
             return f"<mi>{name}</mi>"
-        if name in SIGNS:
-            return f"<mo>{SIGNS[name]}</mo>"
-        if name and name not in "{}|%":
-            raise UnknownTag(m)
+        if name and name not in "{}%#$&_":
+            if (char := _symbol(name)) is None:
+                raise UnknownTag(m)
+            return sign(char)
         if m[0].isdigit():
             return f"<mn>{m}</mn>"
-        return f"<mi>{m}</mi>" if m.isalpha() else f"<mo>{escape(name or m)}</mo>"
+        return sign(name or m)
 
-    def row(until: str | None) -> str:
+    def row(*until: str) -> str:
+        """What stands before the first of ``until``, which is taken."""
         nonlocal at
-        parts = []
-        while at < len(marks) and marks[at] != until:
-            base, scripts = atom(), {}
-            while at < len(marks) and marks[at] in "^_":
+        parts, opened = [], []
+        while at < len(marks) and marks[at] not in until:
+            base, scripts = ("" if marks[at] in ("^", "_", "'") else atom()), {"_": "", "^": ""}
+            while at < len(marks) and marks[at] in ("^", "_", "'", "\\limits", "\\nolimits"):
                 which = marks[at]
                 at += 1
-                scripts[which] = group()
-            kind = {"^": "msup", "_": "msub", "_^": "msubsup"}.get("".join(sorted(scripts, reverse=True)) if len(scripts) < 2 else "_^", "")
-            parts.append(f"<{kind}>{base}{scripts.get('_', '')}{scripts.get('^', '')}</{kind}>" if scripts else base)
+                if which == "'":
+                    scripts["^"] += "<mo>′</mo>"
+                elif which[0] != "\\":
+                    scripts[which] += group()
+            kind = {(True, False): "msub", (False, True): "msup", (True, True): "msubsup"}.get((scripts["_"] != "", scripts["^"] != ""))
+            below, above = (f"<mrow>{scripts[k]}</mrow>" if scripts[k] else "" for k in "_^")
+            if base in ("<mo>(</mo>", "<mo>[</mo>", "<mo>{</mo>"):
+                opened.append(len(parts))
+            elif base in ("<mo>)</mo>", "<mo>]</mo>", "<mo>}</mo>") and opened:
+                first = opened.pop()
+                base = f"<mrow>{''.join(parts[first:])}{base}</mrow>"
+                del parts[first:]
+            parts.append(f"<{kind}>{base or '<mrow></mrow>'}{below}{above}</{kind}>" if kind else base)
         if until and at >= len(marks):
             raise UnknownTag("unclosed group")
+        at += bool(until)
         return f"<mrow>{''.join(parts)}</mrow>"
 
     try:
-        return f'<math xmlns="http://www.w3.org/1998/Math/MathML">{row(None)}</math>'
-    except (UnknownTag, ValueError):
+        return f'<math xmlns="http://www.w3.org/1998/Math/MathML">{row()}</math>'
+    except (UnknownTag, ValueError, IndexError, RecursionError):
+        return None
+
+
+# Signs by the content element that they become.
+RELATIONS = {
+    "=": "eq", "<": "lt", ">": "gt", "≤": "leq", "≥": "geq", "≠": "neq", "≈": "approx", "≡": "equivalent", "∈": "in", "∉": "notin",
+    "⊂": "prsubset", "⊆": "subset", "⊃": "superset-of", "⊇": "superset-of-or-equals", "⇒": "implies", "⟹": "implies", "⇔": "iff",
+    "∼": "similar-to", "≪": "much-less-than", "≫": "much-greater-than", "∝": "proportional-to", "⊥": "perpendicular-to", "↦": "maps-to",
+    "→": "→",
+}
+SUMS = {"+": "plus", "-": "minus", "−": "minus", "±": "plus-or-minus", "∓": "minus-or-plus", "∪": "union", "∨": "or", "⊕": "direct-sum"}
+PRODUCTS = {
+    "×": "times", "⋅": "times", "·": "times", "∗": "times", "*": "times", "/": "divide", "÷": "divide", "∩": "intersect", "∧": "and",
+    "∘": "compose", "⊗": "tensor-product",
+}
+BIG = {"∑": "sum", "∏": "product", "∫": "int", "lim": "limit"}
+ALONE = {"∞": "infinity", "∅": "emptyset", "∀": "forall", "∃": "exists"}
+CLOSED_BY = {"(": ")", "[": "]", "{": "}", "|": "|", "∥": "∥", "⌊": "⌋", "⌈": "⌉"}
+
+
+def _made(tag: str, *children: ET.Element, text: str | None = None, **attributes: str) -> ET.Element:
+    out = ET.Element(tag, attributes)
+    out.text = text
+    out.extend(children)
+    return out
+
+
+def _sign(name: str) -> ET.Element:
+    """An operator by its content element's name, or by its name among the named symbols."""
+    if name in ORDERED or name in UNORDERED or name in FUNCTIONS or name == "determinant":
+        return _made(name)
+    return _made("csymbol", text=name, cd="latexml") if name in NAMED_OPERATORS else _made("ci", text=name)
+
+
+def _apply(op: str | ET.Element, *operands: ET.Element) -> ET.Element:
+    return _made("apply", _sign(op) if isinstance(op, str) else op, *operands)
+
+
+def _script(which: str, base: ET.Element, script: ET.Element) -> ET.Element:
+    return _apply(_made("csymbol", text=which, cd="ambiguous"), base, script)
+
+
+def _split_at(items: list[ET.Element], signs: object) -> tuple[list[list[ET.Element]], list[str]]:
+    """``items`` cut at the signs that stand outside brackets, and those signs."""
+    runs, found, closing = [[]], [], []
+    for x in items:
+        text = (x.text or "") if _name(x) == "mo" else ""
+        if closing and text == closing[-1]:
+            closing.pop()
+        elif text in CLOSED_BY:
+            closing.append(CLOSED_BY[text])
+        elif text and text in signs and not closing:
+            runs.append([])
+            found.append(text)
+            continue
+        runs[-1].append(x)
+    return runs, found
+
+
+def _expression(items: list[ET.Element]) -> ET.Element:
+    """A row of presentation elements as one content element: lists, relations, sums, products, factors."""
+    runs, _ = _split_at(items, ",;")
+    if len(runs) > 1:
+        listed = [_expression(r) for r in runs if r]
+        return listed[0] if len(listed) == 1 else _made("list", *listed)
+    runs, signs = _split_at(items, RELATIONS)
+    if signs:
+        sides = [_expression(r) for r in runs]
+        each = [_apply(RELATIONS[s], a, b) for s, a, b in zip(signs, sides, sides[1:])]
+        return each[0] if len(each) == 1 else _apply("and", *each)
+    runs, signs = _split_at(items, SUMS)
+    if signs:
+        out = _product(runs[0]) if runs[0] else None
+        for s, r in zip(signs, runs[1:]):
+            x = _product(r)
+            if out is None:
+                out = _apply(SUMS[s], x)
+            elif SUMS[s] != "minus" and _name(out) == "apply" and _name(out[0]) == SUMS[s] and len(out) > 2:
+                out.append(x)
+            else:
+                out = _apply(SUMS[s], out, x)
+        return out
+    return _product(items)
+
+
+def _product(items: list[ET.Element]) -> ET.Element:
+    runs, signs = _split_at(items, PRODUCTS)
+    out = _factors(runs[0])
+    for s, r in zip(signs, runs[1:]):
+        out = _apply(PRODUCTS[s], out, _factors(r))
+    return out
+
+
+def _head(x: ET.Element) -> str:
+    """The text of a symbol or of the symbol that carries its scripts."""
+    return _head(x[0]) if _name(x) in ("msub", "msup", "msubsup", "munder", "mover", "munderover") and len(x) else (x.text or "").strip()
+
+
+def _factors(items: list[ET.Element]) -> ET.Element:
+    """What stands side by side is multiplied; functions take the next factor, sums and integrals all that follow."""
+    factors: list[ET.Element] = []
+    waiting: list[ET.Element] = []
+    k = 0
+    while k < len(items):
+        x, head = items[k], _head(items[k])
+        k += 1
+        if head in BIG and k < len(items):
+            factors.append(_apply(_content(x), _factors(items[k:])))
+            break
+        if head in FUNCTIONS and k < len(items):
+            waiting.append(_content(x))
+            continue
+        if _name(x) == "mo" and head in CLOSED_BY:
+            if head == "{" and len(items) == k + 1 and _name(items[k]) == "mtable":
+                factors.append(_apply("cases", *[_content(cell) for line in items[k] for cell in line]))
+                break
+            depth, end = [CLOSED_BY[head]], k
+            while end < len(items) and depth:
+                text = (items[end].text or "") if _name(items[end]) == "mo" else ""
+                if text == depth[-1]:
+                    depth.pop()
+                elif text in CLOSED_BY:
+                    depth.append(CLOSED_BY[text])
+                end += 1
+            if depth:
+                raise UnknownTag("unclosed bracket")
+            inner = items[k : end - 1]
+            value = _expression(inner) if inner else _made("list")
+            wrap = {"|": "abs", "⌊": "floor", "⌈": "ceiling", "∥": "norm"}.get(head)
+            wrap = "determinant" if head == "|" and [_name(i) for i in inner] == ["mtable"] else wrap
+            value = _made("set", value) if head == "{" else _apply(wrap, value) if wrap else value
+            k = end
+        elif _name(x) == "mo" and head == "!" and factors:
+            factors[-1] = _apply("factorial", factors[-1])
+            continue
+        else:
+            value = _content(x)
+        while waiting:
+            value = _apply(waiting.pop(), value)
+        factors.append(value)
+    if not factors:
+        return _made("csymbol", text="absent", cd="latexml")
+    return factors[0] if len(factors) == 1 else _apply("times", *factors)
+
+
+def _content(x: ET.Element) -> ET.Element:
+    name, text = _name(x), (x.text or "").strip()
+    if name in ("math", "mrow", "mtd"):
+        return _expression(list(x))
+    if name == "mn":
+        return _made("cn", text=text)
+    if name == "mtext":
+        return _made("mtext", text=text)
+    if name == "qvar":
+        return x
+    if name in ("mi", "mo"):
+        if text in ALONE:
+            return _made(ALONE[text])
+        if known := BIG.get(text) or RELATIONS.get(text) or (text if text in FUNCTIONS else None):
+            return _sign(known)
+        return _made("ci", text=text) if name == "mi" else _made("csymbol", text=text, cd="unknown")
+    if name == "mtable":
+        return _made("matrix", *[_made("matrixrow", *[_content(c) if len(c) and len(c[0]) else _made("cerror") for c in r]) for r in x])
+    parts = [_content(c) for c in x]
+    if name == "msub":
+        return _script("subscript", *parts)
+    if name == "msup":
+        return _script("superscript", *parts)
+    if name == "msubsup":
+        return _script("superscript", _script("subscript", *parts[:2]), parts[2])
+    if name == "mfrac":
+        return _apply("divide", *parts)
+    if name == "msqrt":
+        return _apply("root", parts[0])
+    if name == "mroot":
+        return _apply("root", _made("degree", parts[1]), parts[0])
+    if _name(x[1]) != "mo":
+        return _script("subscript" if name == "munder" else "superscript", *parts)
+    return _apply(parts[1], parts[0])
+
+
+def latex_content(latex: str) -> str | None:
+    """Content markup of a formula, by the usual precedence of its signs; None where its layout or an operand isn't clear.
+
+    Letters side by side are factors, so ``f(x)`` is a product; a function's
+    name takes the next factor, a sum, product, integral or limit what follows it.
+    """
+    markup = latex_markup(latex)
+    try:
+        root = None if markup is None else ET.fromstring(markup)
+        if root is None or not len(root[0]):
+            return None
+        return ET.tostring(_made("math", _content(root)), encoding="unicode")
+    except (UnknownTag, TypeError, IndexError, RecursionError):
         return None
 
 

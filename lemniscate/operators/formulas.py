@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,11 +51,18 @@ slt = _parser("slt")
 opt = _parser("opt")
 
 
-def _latex(latex: pd.Series) -> pd.Series:
-    return latex.map(lambda s: None if s is None else mathml.latex_markup(s))
+def _by_formula(convert: Callable[[str], str | None]):
+    """A column function that converts every distinct formula of a batch once; null stays null."""
 
+    def run(latex: pd.Series) -> pd.Series:
+        return latex.map({s: convert(s) for s in latex.dropna().unique()}).astype(object)
 
-latex_markup = F.pandas_udf(_latex, T.StringType())
+    return F.pandas_udf(run, T.StringType())
+
+
+#: Layout and content markup of LaTeX; null where it isn't understood.
+latex_markup = _by_formula(mathml.latex_markup)
+latex_content = _by_formula(mathml.latex_content)
 
 
 def parsed(formulas: DataFrame, kind: str = "slt", column: str = "formula") -> DataFrame:
@@ -64,6 +72,14 @@ def parsed(formulas: DataFrame, kind: str = "slt", column: str = "formula") -> D
     )
 
 
+def parsed_latex(formulas: DataFrame, kind: str = "slt", column: str = "latex") -> DataFrame:
+    """As :func:`parsed`, for formulas of which only the LaTeX is known; where that isn't understood ``error`` says so."""
+    made = formulas.withColumn("_m", (latex_markup if kind == "slt" else latex_content)(column))
+    out = parsed(made, kind, "_m")
+    unread = F.when(F.col("_m").isNull() & F.col(column).isNotNull(), "LaTeX that isn't understood")
+    return out.withColumn("error", F.coalesce("error", unread)).drop("_m")
+
+
 def short(path: Column) -> Column:
     """Paths over five edges as run lengths, an empty one as a dash."""
     runs = F.transform(F.regexp_extract_all(path, F.lit(r"(.)\1*"), F.lit(0)), lambda x: F.concat(F.length(x).cast("string"), F.substring(x, 1, 1)))

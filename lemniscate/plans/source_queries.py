@@ -340,6 +340,49 @@ def operator_forms(spark: SparkSession, sf: str) -> DataFrame:
     return _forms(spark, sf, OPERATOR, "opt")
 
 
+# LaTeX with a number @ in it, and its two trees.
+LATEX_LAYOUT = {
+    "fraction": (r"\dfrac{@}{y}", "[O!divide,o[N!@],u[V!y]]"),
+    "sum": (r"\sum_{i}^{@} x_i", "[∑[V!x,b[V!i]],o[N!@],u[V!i]]"),
+    "symbols": (r"\forall x\in\mathbb{R}", "[∀[V!x[∈[V!R]]]]"),
+    "power": (r"\left(a+@\right)^2", "[M!()1x1,a[N!2],w[V!a[+[N!@]]]]"),
+    "matrix": (r"\begin{pmatrix}a&@\\c&d\end{pmatrix}", "[M!()2x2,w[V!a,e[N!@,e[V!c,e[V!d]]]]]"),
+    "accent": (r"\hat{x}\neq @", "[V!x[≠[N!@]],o[^]]"),
+    "negated": (r"@\not\in B", "[N!@[∉[V!B]]]"),
+    "root": (r"\sqrt[@]{\alpha}", "[O!root,c[N!@],w[V!α]]"),
+}
+LATEX_CONTENT = {
+    "terms": ("a+@-c", "[O!minus,0[U!plus,0[V!a],1[N!@]],1[V!c]]"),
+    "chain": ("a=@=c", "[U!and,0[U!eq,0[V!a],1[N!@]],1[U!eq,0[N!@],1[V!c]]]"),
+    "function": (r"@\sin x<1", "[O!lt,0[U!times,0[N!@],1[F!sin,0[V!x]]],1[N!1]]"),
+    "integral": (r"\int e^{@}", "[O!int,0[O!SUP,0[V!e],1[N!@]],1[W!],2[W!]]"),
+    "power": ("(a-@)^2", "[O!SUP,0[O!minus,0[V!a],1[N!@]],1[N!2]]"),
+    "absolute": (r"|@|\leq x", "[O!leq,0[F!abs,0[N!@]],1[V!x]]"),
+    "factorial": ("@!", "[O!factorial,0[N!@]]"),
+    "determinant": (r"\begin{vmatrix}1&@\end{vmatrix}", "[F!det,0[M!M-1x2,0[M!R!,0[N!1],1[N!@]]]]"),
+    "root": (r"\sqrt{@}", "[O!root,0[N!@],1[N!2]]"),
+}
+
+
+def _latex_forms(spark: SparkSession, sf: str, forms: dict[str, tuple[str, str]], kind: str) -> DataFrame:
+    listed = F.array(*[F.struct(F.lit(k).alias("form"), F.lit(tex).alias("latex")) for k, (tex, _) in forms.items()])
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(listed).alias("x"))
+    rows = rows.select("s_suppkey", "x.form", F.replace("x.latex", F.lit("@"), _s("s_suppkey")).alias("latex"))
+    return formulas.parsed_latex(rows, kind).select("s_suppkey", "form", "tree")
+
+
+@C.add(_forms_sql(LATEX_LAYOUT))
+def latex_layout_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Layout trees of formulas that are given as LaTeX alone."""
+    return _latex_forms(spark, sf, LATEX_LAYOUT, "slt")
+
+
+@C.add(_forms_sql(LATEX_CONTENT))
+def latex_content_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator trees of formulas that are given as LaTeX alone."""
+    return _latex_forms(spark, sf, LATEX_CONTENT, "opt")
+
+
 @C.add(
     f"""WITH {MEANS_SQL}, hits AS (SELECT item_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(e.v, q.v)) / 2, 6) AS score FROM benchmark JOIN means q ON item_id % 10 = q.label CROSS JOIN e),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits) SELECT query_id, doc_id, score, rank::INTEGER AS rank, 'l' || (doc_id % 3) AS attribute FROM k WHERE rank <= 10"""

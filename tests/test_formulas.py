@@ -156,7 +156,46 @@ def test_latex():
     assert tree(r"\frac{1}{y}") == "[O!divide,o[N!1],u[V!y]]"
     assert tree(r"\sum_{i}^n x_i^2") == "[∑[V!x,a[N!2],b[V!i]],o[V!n],u[V!i]]"
     assert tree(r"\sqrt[3]{\alpha}") == "[O!root,c[N!3],w[V!α]]"
-    assert mathml.latex_markup(r"\unknown{x}") is None and mathml.latex_markup("{x") is None
+    assert tree(r"\hat{x}\not\in\mathbb{R}^{+}") == "[V!x[∉[V!R,a[+]]],o[^]]"
+    assert tree(r"(a)^2") == "[M!()1x1,a[N!2],w[V!a]]" and tree("f'") == "[V!f,a[′]]"
+    assert tree(r"\begin{pmatrix}a&b\\[2pt]c&d\end{pmatrix}") == "[M!()2x2,w[V!a,e[V!b,e[V!c,e[V!d]]]]]"
+    assert tree(r"\underset{x}{\max}\,\Gamma") == "[V!max[V!Γ],u[V!x]]"
+    for broken in (r"\unknown{x}", "{x", r"\frac1", "a_", r"\begin{matrix}a", r"\\ x", "}", r"\text{x", "{" * 5000):
+        assert mathml.latex_markup(broken) is None, broken
+
+
+@pytest.mark.parametrize(
+    ("latex", "expected"),
+    [
+        ("a+b+c", "[U!plus,0[V!a],1[V!b],2[V!c]]"),
+        ("-a", "[O!minus,0[V!a]]"),
+        ("a=b=c", "[U!and,0[U!eq,0[V!a],1[V!b]],1[U!eq,0[V!b],1[V!c]]]"),
+        ("&=c", None),
+        ("=c", "[U!eq,0[W!],1[V!c]]"),
+        (r"2\sin x<1", "[O!lt,0[U!times,0[N!2],1[F!sin,0[V!x]]],1[N!1]]"),
+        (r"\int e^x", "[O!int,0[O!SUP,0[V!e],1[V!x]],1[W!],2[W!]]"),
+        (r"(a-b)^2", "[O!SUP,0[O!minus,0[V!a],1[V!b]],1[N!2]]"),
+        (r"\{1,2\}", "[M!S-1,0[M!L-2,0[N!1],1[N!2]]]"),
+        (r"n!", "[O!factorial,0[V!n]]"),
+        (r"\left|\begin{matrix}1&2\end{matrix}\right|", "[F!det,0[M!M-1x2,0[M!R!,0[N!1],1[N!2]]]]"),
+        (r"\sqrt[3]{x}", "[O!root,0[V!x],1[N!3]]"),
+        (r"a\pm b", "[O!plus-or-minus,0[V!a],1[V!b]]"),
+        ("(x", None),
+        ("", None),
+    ],
+)
+def test_content_of_latex(latex, expected):
+    markup = mathml.latex_content(latex)
+    assert (markup and mathml.written(mathml.tree("opt", markup), "opt")) == expected
+
+
+def test_latex_columns(spark):
+    df = spark.createDataFrame([(1, "x+1"), (2, None), (3, r"\nosuch"), (4, "x+1")], "id long, latex string")
+    got = {r["id"]: (r["m"], r["c"]) for r in df.select("id", formulas.latex_markup("latex").alias("m"), formulas.latex_content("latex").alias("c")).collect()}
+    assert got[2] == got[3] == (None, None) and got[1] == got[4] and None not in got[1]
+    read = {r["id"]: (r["tree"], r["error"]) for r in formulas.parsed_latex(df, "opt").collect()}
+    assert read[1] == ("[U!plus,0[V!x],1[N!1]]", None) and read[2] == (None, None)
+    assert read[3] == (None, "LaTeX that isn't understood")
 
 
 def test_tokens(spark):
