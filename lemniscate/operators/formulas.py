@@ -55,7 +55,9 @@ def _by_formula(convert: Callable[[str], str | None]):
     """A column function that converts every distinct formula of a batch once; null stays null."""
 
     def run(latex: pd.Series) -> pd.Series:
-        return latex.map({s: convert(s) for s in latex.dropna().unique()}).astype(object)
+        made = {s: convert(s) for s in latex.dropna().unique()}
+        # None and not NaN: a function that is chained to this one gets the values as they are.
+        return pd.Series([made.get(s) for s in latex], dtype=object)
 
     return F.pandas_udf(run, T.StringType())
 
