@@ -363,6 +363,23 @@ def test_special_token_and_odd_spaces(spark):
         assert np.frombuffer(encode(s), "<u4").tolist() == tokenizer.encode(s, add_special_tokens=False).ids, s
 
 
+def test_ids_of_all_documents():
+    """The packing's ids are those of ``tokenizers`` for every document of sf0.01."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from lemniscate.llm.tokens import encoder
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for k in range(0, len(texts), 200):
+        wanted = tokenizer.encode_batch(texts[k : k + 200], add_special_tokens=False)
+        for text, want in zip(texts[k : k + 200], wanted):
+            assert np.frombuffer(encode(text), "<u4").tolist() == want.ids
+
+
 def test_pieces(spark, docs, awkward, empty):
     import public_tokenizers
     import sentencepiece
