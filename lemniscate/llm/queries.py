@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lemniscate.llm import minhash
+from lemniscate.llm.centroids import cluster_report
 from lemniscate.llm.common import table
 from lemniscate.llm.html_extract import extract
 from lemniscate.llm.line_dedup import line_report
@@ -61,6 +63,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -74,10 +84,39 @@ QUERIES: dict[str, Query] = {
         op8_sharding,
         op9_packing,
         op10_quality_rules,
+        op12_minhash,
+        op13_centroids,
     )
 }
 
-# Near-duplicate links, trained models, tokenisers, markup and sequential packing can't be
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds, each a step of its own: what the assignment is, however distances are skipped."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('3:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 8))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} AS (SELECT i, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM v CROSS JOIN c{r}),
+a{r} AS MATERIALIZED (SELECT i, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM d{r} GROUP BY i)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM v JOIN a{r} USING (i)) GROUP BY c, k),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS m FROM s{r} GROUP BY c) n USING (c))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (i) JOIN c{rounds} USING (c)"""
+    )
+
+
+# Fingerprints, trained models, tokenisers, markup and sequential packing can't be
 # expressed in SQL; those queries are held against plain Python in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
@@ -116,4 +155,15 @@ rates AS (SELECT source, rate, rate - 3 * sqrt(rate * (1 - rate) / (seen + 1)) >
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR own) AND NOT (rejected AND strict) AS kept, round(rate, 6) AS host_rate, rejected AS host_rejected
 FROM f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source""",
+    "op12_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+c AS (SELECT u, min(v) AS least FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.u = d.doc_id""",
+    "op13_centroids": _lloyd_sql(10),
 }
