@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lemniscate.llm import minhash
+from lemniscate.llm.align import alignment_report
 from lemniscate.llm.centroids import cluster_report
 from lemniscate.llm.common import table
 from lemniscate.llm.html_extract import extract
@@ -63,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op8_sharding,
         op9_packing,
         op10_quality_rules,
+        op11_alignment,
         op12_minhash,
         op13_centroids,
     )

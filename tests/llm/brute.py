@@ -176,3 +176,86 @@ def region(lengths, window, surge, line, gap):
     while end < len(lengths) and end < high[-1] + window and lengths[end]:
         end += 1
     return first, end
+
+
+def alignments(texts: list[str | None]) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every text, by both libraries on whole texts."""
+    import public_tokenizers as P
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+    def piece(i: int) -> bytes:
+        x = sp.id_to_piece(i)
+        return bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", x) else x.replace("\u2581", " ").encode()
+
+    docs = []
+    for t in texts:
+        a = tok.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = sp.encode(t) if t else []
+        x, y = [bytes(byte[c] for c in tok.id_to_token(i)) for i in a], [piece(i) for i in b]
+        if not t or b"".join(x) != (" " + t).encode() or b"".join(y) != (" " + t).encode():
+            docs.append([])
+            continue
+        groups, ends = [], ([sum(map(len, z[: k + 1])) for k in range(len(z))] for z in (x, y))
+        ends_a, ends_b = map(list, ends)
+        at_a = at_b = 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            stop_a, stop_b = ends_a.index(end) + 1, ends_b.index(end) + 1
+            groups.append((a[at_a:stop_a], b[at_b:stop_b]))
+            at_a, at_b = stop_a, stop_b
+        docs.append(groups)
+    linked = [[(i, j) for a, b in groups for i in a for j in b] for groups in docs]
+    count = Counter(p for pairs in linked for p in set(pairs))
+    most: dict[int, int] = {}
+    for (i, _), n in count.items():
+        most[i] = max(most.get(i, 0), n)
+    out = []
+    for groups, pairs in zip(docs, linked):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        sha = hashlib.sha256(text.encode()).hexdigest() if groups else ""
+        n_a, n_b = (sum(len(g[k]) for g in groups) for k in (0, 1))
+        out.append((n_a, n_b, len(groups), len(pairs), sum(count[p] == most[p[0]] for p in pairs), sum(count[p] for p in pairs), sha))
+    return out
+
+
+def similar_sets(texts: list[str | None], percent: int) -> tuple[list[int], list[int]]:
+    """Sizes of the sets of five-word shingles, and for every text the index of its component's first member."""
+    sets = []
+    for t in texts:
+        words = WORD.findall(ascii_lower(t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return list(map(len, sets)), [find(i) for i in range(len(sets))]
+
+
+def lloyd(vectors: dict[int, list[int]], k: int, rounds: int) -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
+    """Of every vector (cluster, squared distance) after so many rounds, and the centroids."""
+    first = sorted(vectors, key=lambda i: hashlib.sha256(f"3:{i}".encode()).hexdigest())[:k]
+    centroids = [vectors[i] for i in first]
+    distance = lambda v, c: sum((x - y) ** 2 for x, y in zip(v, c))
+    nearest = lambda v: min(range(len(centroids)), key=lambda c: (distance(v, centroids[c]), c))
+    for _ in range(rounds):
+        own = {i: nearest(v) for i, v in vectors.items()}
+        for c in range(len(centroids)):
+            mine = [vectors[i] for i in own if own[i] == c]
+            if mine:
+                centroids[c] = [sum(x) // len(mine) for x in zip(*mine)]
+    return {i: (nearest(v), distance(v, centroids[nearest(v)])) for i, v in vectors.items()}, centroids
