@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
 from lemniscate.functions.vectors import dot, norm, unit
-from lemniscate.session import BROADCAST_ROWS, stored
+from lemniscate.session import BROADCAST_ROWS, discard, stored
 
 Analyser = Callable[[Column], Column]
 K1, B = 1.2, 0.75
@@ -36,12 +36,16 @@ def analysed_docs(docs: DataFrame, analyser=tokens) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index.  ``postings``: term, doc_id, tf, positions, dl, and df, in how many documents the term is."""
+    """An inverted index.  ``postings``: term, doc_id, tf, positions, dl, and df, in how many documents the term is.
+
+    ``df``: term and df, where the postings don't have it.
+    """
 
     postings: DataFrame
     n: int
     avgdl: float | None
     analyser: Analyser = tokens
+    df: DataFrame | None = None
 
 
 def postings(analysed: DataFrame) -> DataFrame:
@@ -62,7 +66,10 @@ def build_index(docs: DataFrame, analyser: Analyser = tokens) -> Index:
     rows = stored(postings(analysed), "postings")
     counted = rows.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("df"))
     sorted_rows = rows.join(counted, "term").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    return Index(stored(sorted_rows, "index"), n, avgdl, analyser)
+    out = Index(stored(sorted_rows, "index"), n, avgdl, analyser)
+    discard(analysed)
+    discard(rows)
+    return out
 
 
 def query_terms(queries: DataFrame, analyser=tokens) -> DataFrame:
@@ -92,6 +99,8 @@ def _matched(docs: DataFrame | Index, asked: DataFrame, analyser: Analyser) -> D
     terms = asked.select("term").distinct()
     if isinstance(docs, Index):
         found = docs.postings.join(terms, "term", "left_semi")
+        if docs.df is not None:
+            found = found.join(docs.df.join(terms, "term", "left_semi"), "term")
         return found.withColumns({"n": F.lit(docs.n), "avgdl": F.lit(docs.avgdl)})
     analysed = analysed_docs(docs, analyser)
     hits = analysed.select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")

@@ -7,14 +7,17 @@ vectors of two labels.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
 from lemniscate.functions.vectors import added, added_leniently, concatenated, mean_vectors, norm, weight
 from lemniscate.operators import evaluate, fusion, search
+from lemniscate.operators.segments import SegmentedIndex, best, fingerprint
 from lemniscate.plans.catalog import Catalog
-from lemniscate.session import table
+from lemniscate.session import shared_folder, table
 
 C = Catalog()
 K = 10
@@ -51,15 +54,24 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-_indexes: dict[tuple[str, str], search.Index] = {}
+_indexes: dict[tuple[str, str], SegmentedIndex] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> search.Index:
-    """The documents' index: built by the first search of a session, read by the others."""
+def segments(spark: SparkSession, sf: str) -> SegmentedIndex:
+    """The documents' index: built by the first search of a session, and brought up to date where the table's files have changed."""
     key = spark.sparkContext.applicationId, sf
     if key not in _indexes:
-        _indexes[key] = search.build_index(_docs(spark, sf))
-    return _indexes[key]
+        _indexes[key] = SegmentedIndex(spark, f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}")
+    index, now = _indexes[key], fingerprint(spark, f"{sf}/documents.parquet")
+    if not index.manifest.version:
+        index.put(_docs(spark, sf), now)
+    elif index.manifest.source != now:
+        index.sync(_docs(spark, sf), now)
+    return index
+
+
+def _index(spark: SparkSession, sf: str) -> search.Index:
+    return segments(spark, sf).index()
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,6 +109,32 @@ def bm25_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_rounded(search.bm25(_index(spark, sf), _asked(spark, sf))), K, per="query_id")
 
 
+@C.add(f"WITH {BM25_SQL}, s AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm25) {RANKED_SQL}")
+def bm25_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every query, without reading blocks that can't hold one."""
+    return search.top_k(_rounded(best(segments(spark, sf), _asked(spark, sf), K).scored), K, per="query_id")
+
+
+@C.add()
+def pruned_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every query how many blocks hold one of its terms, and how many of them were read for the ten best."""
+    return best(segments(spark, sf), _asked(spark, sf), K).work
+
+
+CHANGED_SQL = BM25_SQL.replace("AS words FROM documents)", "AS words FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+
+
+@C.add(f"WITH {CHANGED_SQL}, s AS (SELECT query_id, doc_id, round(score, 6) AS score FROM bm25) {RANKED_SQL}")
+def index_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Search while posts change: an index of outdated texts of the labelled documents gets all documents as they
+    are (updates and inserts), then the toxic ones are deleted."""
+    docs, labels = _docs(spark, sf), table(spark, sf, "labels")
+    index = SegmentedIndex(spark, f"{shared_folder(spark)}/changed-{uuid.uuid4().hex}")
+    index.put(docs.join(labels, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("outdated "), F.substring("text", 1, 200))))
+    index.put(docs).delete(labels.filter("toxic = 1"))
+    return search.top_k(_rounded(best(index, _asked(spark, sf), K).scored), K, per="query_id")
+
+
 @C.add(f"WITH {BM25_SQL}, {PHRASE_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM phrase")
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a passage's first three words in a row."""
