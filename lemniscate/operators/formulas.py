@@ -248,6 +248,16 @@ def trained_vectors(words: DataFrame, key: str, dims: int = 300, window: int = 5
     return model, model.transform(sentences).select(key, vector_to_array("v").alias("vector"))
 
 
+def words_of(formulas: DataFrame, kind: str = "slt", key: str = "formula_id", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Words (key, pos, word) of one representation of (key, formula), and the dictionary, grown from ``known``."""
+    mode, numbers = MODES[kind]
+    trees = "opt" if kind == "opt" else "slt"
+    pairs = short_enough(tuples(parsed(formulas, trees).filter(F.col("nodes").isNotNull()), key, trees))
+    tokens = tokenised(pairs, mode, numbers)
+    ids = dictionary(tokens, key, known)
+    return encoded(tokens, key, ids), ids
+
+
 def trained(formulas: DataFrame, kind: str = "slt", key: str = "formula_id", **how: int) -> tuple[object, DataFrame]:
     """A model over one representation of (key, formula), and key, vector; formulas that can't be parsed have none."""
     mode, numbers = MODES[kind]

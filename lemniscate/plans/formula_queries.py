@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemniscate.operators import formulas
+from lemniscate.operators import formulas, subword
+from lemniscate.operators.subword import SubwordRules
 from lemniscate.plans.catalog import Catalog
 from lemniscate.session import table
 
@@ -148,3 +149,19 @@ def ngram_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(0).alias("pos"), F.array(F.col("s_nationkey").cast("int"), F.col("s_suppkey").cast("int")).alias("word"))
     v = formulas.hashed_vectors(words, "k", 8, 3, 6)
     return v.select("k", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("decimal(12,6)").cast("string")), ",").alias("vector"))
+
+
+SUBWORD = SubwordRules(dims=32, buckets=1 << 13, contexts=1 << 12, rounds=2)
+
+
+def part_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """One formula for each part: a variable by its size, and numbers by its key."""
+    made = F.concat(F.lit(f'<math xmlns="{NS}"><mrow><msub><mi>x</mi><mn>'), F.col("p_size").cast("string"), F.lit("</mn></msub><mo>+</mo><mn>"), F.col("p_partkey").cast("string"), F.lit("</mn></mrow></math>"))
+    return table(spark, sf, "part").select("p_partkey", made.alias("formula"))
+
+
+@C.add()
+def subword_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of all parts' formulas by a skip-gram model over n-gram buckets, trained on them."""
+    found = subword.train_formulas(part_formulas(spark, sf), "slt", "p_partkey", SUBWORD).formula_vectors(part_formulas(spark, sf), "p_partkey")
+    return found.select("p_partkey", F.array_join(F.transform("vector", lambda x: F.round(x, 6).cast("decimal(12,6)").cast("string")), ",").alias("vector"))

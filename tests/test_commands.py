@@ -36,3 +36,28 @@ def test_train_combine_retrieve(spark, tmp_path, monkeypatch):
     words = spark.createDataFrame([(1, 0, [60000, 60001, 60002, 60003, 99])], "k int, pos int, word array<int>")
     model = Word2VecModel.load(f"{tmp_path}/model")
     assert formulas.with_model(model, words, "k").count() <= 1
+
+
+def test_subword_train_and_vectors_of_new_formulas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lemniscate.__main__.session", lambda *_, **__: spark)
+
+    def folder(name, forms):
+        rows = spark.createDataFrame([(f"{name}{i}", f, "1", "question") for i, f in enumerate(forms)], "id string, formula string, post_id string, type string")
+        rows.coalesce(1).write.option("sep", "\t").option("header", True).csv(f"{tmp_path}/raw-{name}")
+        (part,) = (tmp_path / f"raw-{name}").glob("part-*.csv")
+        (tmp_path / name).mkdir()
+        part.rename(tmp_path / name / "a.tsv")
+        return ["--formulas", f"{tmp_path}/{name}", "--posts", f"{tmp_path}/posts"]
+
+    spark.createDataFrame([(1,)], "post_id long").write.parquet(f"{tmp_path}/posts")
+    (tmp_path / "config").write_text("vector_size,8\nwindow,3\nepoch,2\n")
+    known = folder("known", [M % f"<mrow><mi>x</mi><mo>+</mo><mn>{i % 4}</mn></mrow>" for i in range(12)])
+    new = folder("new", [M % "<mrow><mi>x</mi><mo>+</mo><mn>2</mn></mrow>", M % "<mrow><mi>q</mi><mo>-</mo><mi>z</mi></mrow>"])
+    model = ["--model", f"{tmp_path}/model"]
+    main(["train", "--subword", *known, *model, "--config", f"{tmp_path}/config", "--out", f"{tmp_path}/a"])
+    main(["vectors", *new, *model, "--out", f"{tmp_path}/b"])
+    seen = {r["formula_id"]: r["vector"] for r in spark.read.parquet(f"{tmp_path}/a").collect()}
+    got = {r["formula_id"]: r["vector"] for r in spark.read.parquet(f"{tmp_path}/b").collect()}
+    # A formula that training met has the vector it had there; one of unknown symbols has one too.
+    assert set(got) == {"new0", "new1"} and len(got["new1"]) == 8 and any(got["new1"])
+    assert all(abs(x - y) < 1e-12 for x, y in zip(got["new0"], seen["known2"]))
