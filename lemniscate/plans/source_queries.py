@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemniscate.functions import dot, html
@@ -15,7 +15,7 @@ from lemniscate.plans.catalog import Catalog
 from lemniscate.plans.formula_queries import FORMULAS_SQL, IDS_SQL, NS, _opt_tokens, _parsed
 from lemniscate.plans.search_queries import MEANS_SQL, _asked, _means, _rounded
 from lemniscate.session import shared_folder, table
-from lemniscate.sources import readers, writers
+from lemniscate.sources import readers, records, writers
 from lemniscate.streaming import ingest
 
 C = Catalog()
@@ -474,3 +474,39 @@ def fused_arms(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").alias("doc_id"), F.col("label").cast("double").alias("score"))
     both = fusion.fused(e.filter("doc_id % 2 = 0"), e.filter("doc_id % 3 = 0").withColumn("score", 2 * F.col("score")))
     return both.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@C.add("SELECT p_partkey::VARCHAR AS formula_id, 'x_' || p_size || ' + y' AS formula FROM part")
+def latex_file_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records over two lines, between lines of prose, in files that are read in byte ranges."""
+    record = F.concat(F.lit("x_"), _s("p_size"), F.lit(" +\n<p>prose</p>\ny$$"), _s("p_partkey"))
+    path = _folder(spark, "latex")
+    table(spark, sf, "part").select(record.alias("value")).write.text(path)
+    return readers.latex_collection(spark, path).select("formula_id", "formula")
+
+
+@C.add("SELECT 'a' || p_size AS formula, p_partkey::VARCHAR AS formula_id FROM part")
+def latex_file_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third part of files split at their marks, which may stand on other lines."""
+    value = F.concat(F.lit("skip $$ a"), _s("p_size"), F.lit("\n$$ "), _s("p_partkey"), F.lit("\n\n$$ skip"))
+    path = _folder(spark, "triples")
+    table(spark, sf, "part").select(value.alias("value")).write.text(path)
+    trimmed = lambda c: tx.stripped(F.col(c)).alias(c)
+    return records.latex_triples(spark, path).select(trimmed("formula"), trimmed("formula_id"))
+
+
+@C.add(
+    """SELECT concat('q', conv_id) AS query, concat('d', turn) AS doc_id, length(text)::DOUBLE AS score, count_if(role = 'user') OVER w AS n_expression
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
+)
+def engine_result_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A record stream in files that are read in byte ranges: each conversation a query, each user turn an expression, each turn a result."""
+    said = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, sf, "conversations").withColumns({"n": F.count_if(F.col("role") == "user").over(said), "first": F.row_number().over(said) == 1})
+    opened = F.when(F.col("first"), F.concat(F.lit("Q\tq"), _s("conv_id"), F.lit("\nE\t0\n"))).otherwise("")
+    expression = F.when(F.col("role") == "user", F.concat(F.lit("E\t"), _s("n"), F.lit("\n"))).otherwise("")
+    result = F.concat_ws("\t", F.lit("R"), F.concat(F.lit("d"), _s("turn")), F.lit("0"), F.lit("x"), F.length("text").cast("string"))
+    path = _folder(spark, "stream")
+    lines = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select(F.concat(opened, expression, result).alias("value"))
+    lines.write.text(path)
+    return readers.engine_results(records.text_lines(spark, path)).select("query", "doc_id", "score", F.col("query_expression").cast("long").alias("n_expression"))

@@ -6,12 +6,14 @@ import glob
 import os
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemniscate.functions.html import formulas_count, html_text, html_text_with_latex, html_text_without_formulas, title_and_body
 from lemniscate.functions.text import ascii_id, stripped
 from lemniscate.operators.ranking import numbered
+from lemniscate.operators.scans import carried
+from lemniscate.sources.records import latex_records
 
 #: Posts taken by one ingest.
 INGEST_CAP = 15_000
@@ -119,14 +121,9 @@ def latex_lines(content: Column) -> Column:
     return F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"(?s)(.*?)\$\$([^\n$]*)(?:\n|$)"), F.lit(0))
 
 
-def latex_collection(spark: SparkSession, path: str) -> DataFrame:
-    """formula_id, formula, ord of a LaTeX collection."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(latex_lines(F.col("value"))).alias("ord", "record"))
-    return rows.select(
-        stripped(F.element_at(F.split("record", r"\$\$"), -1)).alias("formula_id"),
-        stripped(F.regexp_replace(F.element_at(F.split("record", r"\$\$"), 1), r"\n", " ")).alias("formula"),
-        "ord",
-    )
+def latex_collection(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """formula_id, formula, ord of a LaTeX collection; a large file is read by many tasks."""
+    return latex_records(spark, path).select("formula_id", "formula", "ord")
 
 
 def latex_triples(content: Column) -> Column:
@@ -186,13 +183,13 @@ def config_grid(**choices: list) -> list[dict]:
 def engine_results(lines: DataFrame) -> DataFrame:
     """Result rows of a record stream (file, line, value): Q opens a query, E an expression, R a result.
 
-    Each record gets the query and expression that were last opened above it.
+    Each record gets the query and expression that were last opened above it,
+    carried forward range by range, so one file may take any number of tasks.
     """
     parts = F.split("value", "\t")
     rows = lines.select("file", "line", F.get(parts, F.lit(0)).alias("kind"), parts.alias("p"))
-    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda kind: F.last(F.when(F.col("kind") == kind, F.get("p", F.lit(1))), ignorenulls=True).over(above)
-    rows = rows.withColumn("query", carried("Q")).withColumn("query_expression", carried("E"))
+    opened = lambda kind: F.when(F.col("kind") == kind, F.get("p", F.lit(1)))
+    rows = carried(rows, ["line"], ["file"], {"query": opened("Q"), "query_expression": opened("E")})
     field = lambda n: F.get("p", F.lit(n))
     return rows.filter("kind = 'R'").select(
         "query", "query_expression", field(1).alias("doc_id"), field(2).alias("location"), field(3).alias("expression"), field(4).cast("double").alias("score")
@@ -203,6 +200,5 @@ def keyword_results(lines: DataFrame) -> DataFrame:
     """As :func:`engine_results`, of a text engine: Q, P (keyword) and M (doc_id, score) records."""
     parts = F.split("value", "\t")
     rows = lines.select("file", "line", F.get(parts, F.lit(0)).alias("kind"), parts.alias("p"))
-    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    query = F.last(F.when(F.col("kind") == "Q", F.get("p", F.lit(1))), ignorenulls=True).over(above)
-    return rows.withColumn("query", query).filter("kind = 'M'").select("query", F.get("p", F.lit(1)).alias("doc_id"), F.get("p", F.lit(2)).cast("double").alias("score"))
+    rows = carried(rows, ["line"], ["file"], {"query": F.when(F.col("kind") == "Q", F.get("p", F.lit(1)))})
+    return rows.filter("kind = 'M'").select("query", F.get("p", F.lit(1)).alias("doc_id"), F.get("p", F.lit(2)).cast("double").alias("score"))
