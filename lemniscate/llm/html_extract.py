@@ -8,9 +8,13 @@ lengths are summed over a sliding window of lines.  The main text lies between
 the point where these sums surge and the point where they dive.  Where the page
 marks its article, they decide inside it: the bar is lower there, everything
 between the first surge and the last dive is one region, and the region is
-widened by a few lines that have text outside links, so that short paragraphs
-at its ends stay and link lists go.  Of several marked articles all count that
-have at least half of the text of the largest; shorter ones are teasers.
+widened by all lines next to it whose text isn't mostly links, so that short
+paragraphs and lists at its ends stay and link lists go.  Each further marked
+article has its own surge and dive at a higher bar, that of unmarked pages where
+its heading is a link; one whose sums never reach it is a teaser.
+
+A class or id leaves an element out by its head word: ``cookie-bar`` and
+``user-reviews`` go, ``notice-of-claims`` and ``movie-reviews`` stay.
 
 Cases: a null html is an empty page; comments, script and unclosed elements
 are read as browsers read them; repeated rows come back repeated; an empty
@@ -34,11 +38,11 @@ WINDOW = 3
 SURGE = 0.2
 #: The share inside a marked article, which is mostly text.
 MARKED_SURGE = 0.05
-#: Marked articles count that have this share of the text outside links of the largest.
-SIBLING = 0.5
+#: The share in further marked articles.
+FURTHER_SURGE = 0.1
 #: A line counts at most so many characters towards that largest sum, so that one huge block doesn't raise the bar.
 LINE = 300
-#: Regions that this many lines or fewer part are one; in a marked article the region is widened by as many at each end.
+#: Regions that this many lines or fewer part are one.
 GAP = 6
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -65,6 +69,18 @@ _OUT_NAMES = frozenset(
     " comments commentlist discussion disqus respond replies related recommended recommendations widget widgets toolbar pagination pager"
     " copyright legal disclaimer search form skip hidden announcement reviews responses".split()
 )
+#: Words at a name's end that only say how or where its head word is shown.
+_HOLDERS = frozenset(
+    (
+        "area", "articles", "bar", "block", "blocks", "body", "bottom", "box", "boxes", "btn", "button", "buttons", "card", "cards", "carousel", "col", "column",
+        "container", "content", "desktop", "fixed", "grid", "group", "holder", "icon", "icons", "image", "inline", "inner", "item", "items", "large", "layout",
+        "left", "link", "links", "list", "main", "media", "message", "mobile", "more", "news", "outer", "page", "panel", "posts", "primary", "results", "right",
+        "row", "secondary", "section", "slot", "small", "stories", "sub", "text", "this", "title", "toggle", "top", "unit", "wrap", "wrapper", "zone",
+    )
+)
+#: Words that name what readers write, and also what an article is about; whose they are tells.
+_READERS = frozenset(("discussion", "replies", "respond", "responses", "reviews"))
+_WHOSE = frozenset(("all", "community", "customer", "customers", "guest", "latest", "member", "post", "public", "reader", "readers", "recent", "user", "users", "visitor"))
 #: The same wherever they stand in a name.
 _OUT_STEMS = ("advert", "banner", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor", "topnav", "subnav", "sidenav")
 #: Never left out by name: they hold the page or the article.
@@ -174,11 +190,23 @@ def _left_out(tag: str, raw: str) -> bool:
         parts = re.split(r"[-_:]+", name)
         if parts[0] in ("has", "no", "with", "is", "not"):
             continue
-        if not _OUT_NAMES.isdisjoint(parts) or any(x in name for x in _OUT_STEMS):
+        if _listed(parts) or any(x in name for x in _OUT_STEMS):
             return True
     return False
 
 
+def _listed(parts: list[str]) -> bool:
+    """Whether the head word of a name is one that never holds the article."""
+    parts = [x for x in parts if x]
+    while len(parts) > 1 and (parts[-1] in _HOLDERS or parts[-1][0].isdigit()):
+        parts.pop()
+    if not parts:
+        return False
+    if parts[-1] in _READERS and len(parts) > 1:
+        return not (_OUT_NAMES | _WHOSE).isdisjoint(parts[:-1])
+    return parts[-1] in _OUT_NAMES
+
+
 def _is_article(tag: str, raw: str) -> bool:
     if tag in ("article", "main"):
         return True
@@ -310,15 +338,22 @@ def _outermost(used: set[int], around: list[int]) -> list[int]:
     return top
 
 
-def region(lengths: list[int], parts: list[int], around: list[int], surge: float = SURGE) -> tuple[int, int]:
+def _highest(lengths: list[int]) -> int:
+    """The largest window sum, huge lines cut."""
+    return max(_sums([min(x, LINE) for x in lengths]), default=0)
+
+
+def region(lengths: list[int], parts: list[int], around: list[int], surge: float = SURGE, highest: int | None = None) -> tuple[int, int]:
     """First line and last line + 1 of the largest region between surge and dive of the window sums.
 
+    ``highest``: the page's largest window sum, if other lines have it.
+
     Regions are one where few lines part them, or where they have lines in
     the same of the ``parts`` or one within the other's.
     """
     n = len(lengths)
     sums = _sums(lengths)
-    bar = surge * max(_sums([min(x, LINE) for x in lengths]), default=0)
+    bar = surge * (_highest(lengths) if highest is None else highest)
     high = [i for i in range(n) if lengths[i] and sums[i] >= bar]
     top = _outermost({parts[i] for i in high}, around)
     last = {top[parts[i]]: i for i in high}
@@ -362,17 +397,25 @@ def main_text(html: str | None) -> str:
         if article:
             marked[article] = marked.get(article, 0) + own
     if marked:
-        least = SIBLING * max(marked.values())
-        inside = [x for x in found if x[2] and marked[x[2]] >= least]
-        # An article of links alone has no text outside them to go by.
-        lengths = [own for _, own, _, _ in inside] if least else [len(x[0]) for x in inside]
-        first, end = region(lengths, [0] * len(inside), [0], MARKED_SURGE)
-        low, high = max(0, first - GAP), min(len(inside), end + GAP)
-        while first > low and lengths[first - 1]:
-            first -= 1
-        while end < high and lengths[end]:
-            end += 1
-        return " ".join(x[0] for x in inside[first:end])
+        largest = max(marked, key=lambda k: (marked[k], -k))
+        # Articles of links alone have no text outside them to go by.
+        weigh = (lambda x: x[1]) if marked[largest] else (lambda x: len(x[0]))
+        inside = {k: [x for x in found if x[2] == k] for k in marked}
+        highest = max(_highest([weigh(x) for x in own]) for own in inside.values())
+        kept: list[str] = []
+        for k, own in inside.items():
+            lengths = [weigh(x) for x in own]
+            linked = any(x[3] and 2 * x[1] < len(x[0]) for x in own)
+            surge = MARKED_SURGE if k == largest else SURGE if linked else FURTHER_SURGE
+            first, end = region(lengths, [0] * len(own), [0], surge, highest)
+            texts = [2 * n >= len(x[0]) for n, x in zip(lengths, own)]
+            if first < end or k == largest:
+                while first > 0 and texts[first - 1]:
+                    first -= 1
+                while end < len(own) and texts[end]:
+                    end += 1
+            kept.extend(x[0] for x in own[first:end])
+        return " ".join(kept)
     first, end = region([own for _, own, _, _ in found], parts, around)
     while first > 0 and found[first - 1][3]:
         first -= 1

@@ -579,6 +579,27 @@ def test_html_surge_and_dive_inside_a_marked_article():
     assert html_extract.main_text(f"<article>{links}</article>").startswith("Another story 0")
 
 
+def test_html_drops_nothing_of_the_article():
+    """Lists at an article's end, further articles and names that only hold a listed word keep their text."""
+    long = "".join(f"<p>Paragraph {i}, {'which has a lot of text to be read ' * 6}and ends.</p>" for i in range(3))
+    plain = " ".join(f"Paragraph {i}, {'which has a lot of text to be read ' * 6}and ends." for i in range(3))
+    items = "".join(f"<li>item {i}</li>" for i in range(14))
+    listed = " ".join(f"item {i}" for i in range(14))
+    assert html_extract.main_text(f"<article>{long}<ul>{items}</ul></article>") == f"{plain} {listed}"
+    assert html_extract.main_text(f"<article><ul>{items}</ul>{long}</article>") == f"{listed} {plain}"
+    second = "<h2>Short news</h2><p>The second article of this page has less text than the first, but is one of its own, with two sentences.</p>"
+    got = html_extract.main_text(
+        f"<article>{long}{long}</article><article>{second}</article><article><h3>Teaser</h3><p>Read it.</p></article>"
+        "<article><h3><a href='/x'>Another story</a></h3><p>Of which the first words are given here, so that you want to read on, and not more than that.</p></article>"
+    )
+    assert got == f"{plain} {plain} Short news The second article of this page has less text than the first, but is one of its own, with two sentences."
+    for name in ("search-results-article", "notice-of-claims", "legal-analysis", "movie-reviews", "header_story", "promotional", "form-and-function"):
+        assert html_extract.main_text(f"<body><div class='{name}'>{long}</div></body>") == plain, name
+        assert html_extract.main_text(f"<main><p>First.</p><section class='{name}'>{long}</section></main>") == f"First. {plain}", name
+    for name in ("sidebar", "ad-300x250", "promo-box", "user-reviews", "reader-responses", "comments", "site-footer", "related-posts", "nav-primary", "post-comments-list", "share_buttons", "reviews", "search-results"):
+        assert html_extract.main_text(f"<main>{long}<section class='{name}'>{long}</section></main>") == plain, name
+
+
 def test_html_region_decides(monkeypatch):
     """Without surge and dive other text comes out, of marked and of unmarked pages."""
     text = "".join(f"<p>Paragraph {i} has text of its own, enough of it to be one.</p>" for i in range(8))
