@@ -26,21 +26,23 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
 from lemniscate.operators import search
-from lemniscate.operators.ranking import numbered
 from lemniscate.session import discard, stored
 
 #: Documents in a block.
 BLOCK = 128
 DOCS = "doc_id long, dl int, hash long, block long, segment int"
-POSTINGS = "term string, doc_id long, tf long, positions array<int>, dl int, block long, segment int"
-BLOCKS = "term string, segment int, block long, n long, frontier array<struct<tf:long,dl:int>>"
+POSTINGS = "term string, doc_id long, tf int, positions array<int>, dl int, block long, segment int"
+BLOCKS = "term string, segment int, block long, n long, frontier array<struct<tf:int,dl:int>>"
 GRAVES = "doc_id long, before int"
 TAKEN = "term string, n long"
 
@@ -56,6 +58,35 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return ";".join(sorted(found))
 
 
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` sorted by their words' smallest hashes (_k0, _k1), with ``block``: equal numbers of neighbours."""
+    dealt = docs.repartitionByRange("_k0", "_k1", "doc_id").sortWithinPartitions("_k0", "_k1", "doc_id")
+    return dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
+
+
+def _terms(batches: Iterator[Any]) -> Iterator[Any]:
+    """doc_id, dl, block and words to postings: words of a document are sorted in place, so nothing is shuffled."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            b = batch.slice(k, 512)
+            words = b.column(3).flatten().dictionary_encode()
+            sizes = b.column(1).to_numpy().astype(np.int64)
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = words.indices.to_numpy().astype(np.int64)
+            order = np.argsort(doc * len(words.dictionary) + code, kind="stable")
+            doc, code, place = doc[order], code[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]))
+            bounds_ = np.concatenate([first, [len(doc)]]).astype(np.int32)
+            owner = pa.array(doc[first])
+            columns = [words.dictionary.take(pa.array(code[first])), b.column(0).take(owner), pa.array(np.diff(bounds_)), pa.ListArray.from_arrays(pa.array(bounds_), pa.array(place.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([*columns, b.column(1).take(owner), b.column(2).take(owner)], names=["term", "doc_id", "tf", "positions", "dl", "block"])
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
@@ -142,18 +173,15 @@ class SegmentedIndex:
         line.coalesce(1).write.mode("errorifexists").text(f"{self.path}/versions/{new.version:010d}")
         self.manifest = new
 
-    def _segment(self, number: int, rows: DataFrame, docs: DataFrame) -> None:
-        """Write a segment of ``rows`` (term, doc_id, tf, positions, dl) and ``docs`` (doc_id, dl, hash, alike)."""
-        dealt = numbered(docs, ["alike", "doc_id"]).withColumns({"block": F.floor(F.col("n") / BLOCK), "segment": F.lit(number)})
-        self._write(dealt.select("doc_id", "dl", "hash", "block", "segment"), "docs", number)
-        placed = self._read("docs", [number], DOCS).select("doc_id", "block")
-        made = rows.join(placed, "doc_id").withColumn("segment", F.lit(number))
-        self._write(made.select("term", "doc_id", "tf", "positions", "dl", "block", "segment").repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings", number)
-        # Of equal frequencies the shortest document; then those that a more frequent and no longer one beats go.
-        least = self._read("postings", [number], POSTINGS).groupBy("term", "segment", "block", "tf").agg(F.min("dl").alias("dl"), F.count(F.lit(1)).alias("n"))
-        per_block = least.groupBy("term", "segment", "block").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tf", "dl")).alias("f"))
+    def _segment(self, number: int, docs: DataFrame, rows: DataFrame) -> None:
+        """Write a segment of ``docs`` (doc_id, dl, hash, block) and ``rows`` (term, doc_id, tf, positions, dl, block)."""
+        self._write(docs.select("doc_id", "dl", "hash", "block", F.lit(number).alias("segment")), "docs", number)
+        made = rows.select("term", "doc_id", F.col("tf").cast("int").alias("tf"), "positions", "dl", "block", F.lit(number).alias("segment"))
+        self._write(made.sortWithinPartitions("term", "block"), "postings", number)
+        # At most one pair for each document of a block; those that a more frequent and no longer one beats go.
+        pairs = self._read("postings", [number], POSTINGS).groupBy("term", "segment", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("tf", "dl")).alias("f"))
         best = F.filter("f", lambda x: ~F.exists("f", lambda y: (y["tf"] >= x["tf"]) & (y["dl"] <= x["dl"]) & ((y["tf"] > x["tf"]) | (y["dl"] < x["dl"]))))
-        self._write(per_block.select("term", "segment", "block", "n", best.alias("frontier")), "blocks", number)
+        self._write(pairs.select("term", "segment", "block", "n", best.alias("frontier")), "blocks", number)
 
     def _bury(self, number: int, ids: DataFrame) -> tuple[int, int]:
         """Bury the living rows of ``ids`` (doc_id, distinct) in the segments below ``number``: how many documents and words that were."""
@@ -166,6 +194,15 @@ class SegmentedIndex:
         discard(dead)
         return n, words
 
+    def _analysed(self, docs: DataFrame) -> DataFrame:
+        """doc_id, words, dl, hash and block of one row for each id, documents of similar words side by side."""
+        given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        if not given.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            given = given.groupBy("doc_id").agg(F.max("text").alias("text"))
+        made = given.select("doc_id", self.analyser(F.col("text")).alias("words"), F.xxhash64("text").alias("hash")).withColumn("dl", F.size("words"))
+        alike = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"_k{k}") for k in range(2)]
+        return _in_blocks(made.select("*", *alike)).drop("_k0", "_k1")
+
     def _changed(self, docs: DataFrame | None, gone: DataFrame | None, source: str | None) -> SegmentedIndex:
         m = self.manifest
         number = m.version + 1
@@ -173,15 +210,13 @@ class SegmentedIndex:
         ids = gone
         analysed = None
         if docs is not None:
-            one = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-            words = self.analyser(F.col("text"))
-            analysed = stored(one.select("doc_id", words.alias("words"), F.size(words).alias("dl"), F.xxhash64("text").alias("hash")), "analysed")
+            analysed = stored(self._analysed(docs), "analysed")
             n_new, words_new = analysed.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             ids = analysed.select("doc_id") if gone is None else gone.select("doc_id").unionByName(analysed.select("doc_id")).distinct()
         n_dead, words_dead = self._bury(number, ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()) if m.n and ids is not None else (0, 0)
         if n_new:
-            alike = F.struct(*[F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"k{k}") for k in range(3)])
-            self._segment(number, search.postings(analysed.select("doc_id", "words")), analysed.select("doc_id", "dl", "hash", alike.alias("alike")))
+            rows = analysed.select("doc_id", "dl", "block", "words").mapInArrow(_terms, "term string, doc_id long, tf int, positions array<int>, dl int, block long")
+            self._segment(number, analysed, rows)
         if analysed is not None:
             discard(analysed)
         self._commit(
@@ -217,8 +252,10 @@ class SegmentedIndex:
         number = m.version + 1
         if m.n:
             rows = self.postings().select("term", "doc_id", "tf", "positions", "dl")
-            least = rows.groupBy("doc_id").agg(F.struct(*[F.min(F.xxhash64("term", F.lit(k))).alias(f"k{k}") for k in range(3)]).alias("alike"))
-            self._segment(number, rows, self.docs().select("doc_id", "dl", "hash").join(least, "doc_id", "left"))
+            least = rows.groupBy("doc_id").agg(*[F.min(F.xxhash64("term", F.lit(k))).alias(f"_k{k}") for k in range(2)])
+            docs = stored(_in_blocks(self.docs().select("doc_id", "dl", "hash").join(least, "doc_id", "left")), "docs")
+            self._segment(number, docs, rows.join(docs.select("doc_id", "block"), "doc_id"))
+            discard(docs)
         self._commit(replace(m, version=number, segments=[number] if m.n else [], graves=[]))
         return self
 
@@ -239,13 +276,7 @@ class SegmentedIndex:
 FIRST = 12
 #: Scores that lie closer than this are told apart later, so both are scored.
 SLACK = 1e-6
-
-
-def bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
-    """query_id, segment, block, bound: what a document of the block can score at most for (query_id, term, weight)."""
-    most = F.array_max(F.transform("frontier", lambda x: search.saturated(x["tf"], x["dl"], F.lit(index.avgdl))))
-    met = index.blocks().join(asked, "term")
-    return met.groupBy("query_id", "segment", "block").agg(F.sum(F.col("weight") * most).alias("bound"))
+PLACE = ["query_id", "segment", "block"]
 
 
 def weights(index: SegmentedIndex, queries: DataFrame) -> DataFrame:
@@ -255,40 +286,75 @@ def weights(index: SegmentedIndex, queries: DataFrame) -> DataFrame:
     return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * search.idf(F.lit(index.manifest.n), F.col("df"))).alias("weight"))
 
 
+def term_bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
+    """query_id, term, weight, segment, block, bound: what the term can add in the block to a score at most, for ``asked`` (query_id, term, weight)."""
+    most = F.array_max(F.transform("frontier", lambda x: search.saturated(x["tf"], x["dl"], F.lit(index.avgdl))))
+    return index.blocks().join(asked, "term").select("query_id", "term", "weight", "segment", "block", (F.col("weight") * most).alias("bound"))
+
+
+def bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
+    """query_id, segment, block, bound: what a document of the block can score at most."""
+    return term_bounds(index, asked).groupBy(*PLACE).agg(F.sum("bound").alias("bound"))
+
+
+def _parts(index: SegmentedIndex, read: DataFrame) -> DataFrame:
+    """query_id, segment, block, doc_id, part of the living postings that ``read`` (query_id, term, weight, segment, block) asks for."""
+    found = index.postings().drop("positions").join(read, ["term", "segment", "block"])
+    return found.select(*PLACE, "doc_id", (F.col("weight") * search.saturated(F.col("tf"), F.col("dl"), F.lit(index.avgdl))).alias("part"))
+
+
 def scored(index: SegmentedIndex, asked: DataFrame, where: DataFrame) -> DataFrame:
     """query_id, doc_id, score of the living documents in the blocks ``where`` (query_id, segment, block)."""
-    read = index.blocks().select("term", "segment", "block").join(asked, "term").join(where.select("query_id", "segment", "block"), ["query_id", "segment", "block"])
-    found = index.postings().drop("positions").join(read, ["term", "segment", "block"])
-    part: Column = F.col("weight") * search.saturated(F.col("tf"), F.col("dl"), F.lit(index.avgdl))
-    return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    read = term_bounds(index, asked).drop("bound").join(where.select(*PLACE), PLACE, "left_semi")
+    return _parts(index, read).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 @dataclass(frozen=True)
 class Best:
     #: query_id, doc_id, score of all documents that can be among the k best, and of some others.
     scored: DataFrame
-    #: query_id, blocks (that hold a term of the query), read (that were scored).
+    #: query_id, blocks (that hold a term of the query), read (of which postings were read), documents (that were scored).
     work: DataFrame
 
 
 def best(index: SegmentedIndex, queries: DataFrame, k: int) -> Best:
     """The k best documents of every query are among ``scored``, with their exact scores; ties at the end are all there.
 
-    The blocks with the highest bounds are scored first.  The k-th score found
-    there is the bar; of the other blocks only those are read whose bound
-    reaches it, since no document of the rest can.
+    The blocks with the highest bounds are scored first; the k-th score found
+    there is the bar.  Blocks whose bound stays below it are not read.  Of the
+    others, the query's weakest terms, which together stay below the bar, are
+    left until last: a document without one of the stronger terms can't reach
+    it, and of the others only those are scored in full whose stronger terms
+    and the block's bound for the weak ones do.
     """
     if not index.manifest.n:
         none = queries.select("query_id").limit(0)
-        return Best(none.selectExpr("query_id", "0L doc_id", "0D score"), none.selectExpr("query_id", "0L blocks", "0L read"))
+        return Best(none.selectExpr("query_id", "0L doc_id", "0D score"), none.selectExpr("query_id", "0L blocks", "0L read", "0L documents"))
     asked = stored(weights(index, queries), "asked")
-    all_bounds = stored(bounds(index, asked), "bounds")
-    order = search.top_k(all_bounds.withColumn("place", F.struct("segment", "block")), FIRST, by="bound", tie="place", per="query_id")
-    first = stored(order.select("query_id", "segment", "block"), "first")
-    seen = stored(scored(index, asked, first), "seen")
-    kth = search.top_k(seen, k, per="query_id").filter(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
-    others = all_bounds.join(first, ["query_id", "segment", "block"], "left_anti").join(kth, "query_id", "left")
-    rest = stored(others.filter(F.col("bound") >= F.coalesce(F.col("bar") - SLACK, F.lit(0.0))).select("query_id", "segment", "block"), "rest")
-    read = first.unionByName(rest).groupBy("query_id").agg(F.count(F.lit(1)).alias("read"))
-    work = all_bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks")).join(read, "query_id")
-    return Best(seen.unionByName(scored(index, asked, rest)), work)
+    each = stored(term_bounds(index, asked), "bounds")
+    whole = each.groupBy(*PLACE).agg(F.sum("bound").alias("bound"))
+    order = search.top_k(whole.withColumn("place", F.struct("segment", "block")), FIRST, by="bound", tie="place", per="query_id")
+    first = stored(order.select(*PLACE), "first")
+    seen = stored(_parts(index, each.drop("bound").join(first, PLACE, "left_semi")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), "seen")
+    kth = search.top_k(seen, k, per="query_id").filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bar"))
+    bars = asked.select("query_id").distinct().join(kth, "query_id", "left").na.fill(0.0, ["bar"])
+    rest = stored(whole.join(first, PLACE, "left_anti").join(bars, "query_id").filter("bound >= bar").drop("bound"), "rest")
+    # Terms from the weakest; a query has as many rows as terms.
+    upwards = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    strength = each.groupBy("query_id", "term").agg(F.max("bound").alias("most")).withColumn("sum", F.sum("most").over(upwards))
+    strong = strength.join(bars, "query_id").select("query_id", "term", (F.col("sum") >= F.col("bar")).alias("strong"))
+    there = stored(each.join(rest, PLACE).join(strong, ["query_id", "term"]), "there")
+    weak = there.filter("NOT strong").groupBy(*PLACE).agg(F.sum("bound").alias("weak"))
+    partial = _parts(index, there.filter("strong").drop("bound", "bar", "strong")).groupBy(*PLACE, "doc_id").agg(F.sum("part").alias("score"))
+    able = partial.join(rest, PLACE).join(weak, PLACE, "left").filter(F.col("score") + F.coalesce("weak", F.lit(0.0)) >= F.col("bar"))
+    able = stored(able.select(*PLACE, "doc_id", "score"), "able")
+    others = _parts(index, there.filter("NOT strong").drop("bound", "bar", "strong").join(able.select(*PLACE).distinct(), PLACE, "left_semi"))
+    added = others.join(able.select(*PLACE, "doc_id"), [*PLACE, "doc_id"], "left_semi").select("query_id", "doc_id", F.col("part").alias("score"))
+    late = able.select("query_id", "doc_id", "score").unionByName(added).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    out = stored(seen.unionByName(late), "best")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    work = count(whole, "blocks").join(count(first.unionByName(rest.select(*PLACE)), "read"), "query_id").join(count(out, "documents"), "query_id", "left")
+    work = stored(work.na.fill(0, ["documents"]), "work")
+    for df in (asked, each, first, seen, rest, there, able):
+        discard(df)
+    return Best(out, work)

@@ -129,6 +129,14 @@ def test_frontier_is_an_upper_bound_and_blocks_are_skipped(spark, tmp_path, monk
     blocks, read = found.work.agg(F.sum("blocks"), F.sum("read")).first()
     assert read < 0.8 * blocks
     assert found.work.filter("read > blocks").count() == 0
+    # Long queries of common and rare words: few of the documents that hold one of their words are scored.
+    common = {i: t + " " + " ".join(f"c{(i * 7 + k) % 40}" for k in range(15)) for i, t in themes.items()}
+    index.put(frame(spark, common))
+    asked = spark.createDataFrame([(q, " ".join(f"c{k}" for k in range(25)) + f" t{q}x1 t{q}x2 t{q}x3 t{q}x4 t{q}x5") for q in range(20)], "query_id int, query string")
+    found = best(index, asked, 5)
+    every = search.bm25(frame(spark, common), asked)
+    assert ranked(found.scored, 5) == ranked(every, 5)
+    assert found.scored.count() == found.work.agg(F.sum("documents")).first()[0] < 0.5 * every.count()
 
 
 def test_queries_follow_the_table(spark, tmp_path):
