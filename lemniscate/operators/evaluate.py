@@ -22,15 +22,16 @@ def holding(docs: DataFrame, index: search.Index, parts: DataFrame) -> DataFrame
 
     Words inside a part, cut off at neither end, stand in a row in every such
     document: the index finds those documents, and they alone are compared.
-    Parts without such a word are compared with all documents.
+    Parts without such a word, where there are any, are compared with all documents.
     """
     words = index.analyser(F.col("part"))
     inner = F.when(F.size(words) > 2, F.slice(words, 2, F.least(F.size(words) - 2, F.lit(LOOKED_UP))))
     asked = parts.select("query_id", "part", F.array_join(inner, " ").alias("query"))
     met = search.phrases(index, asked.filter("query IS NOT NULL").select("query_id", "query")).select("query_id", "doc_id")
     looked_up = met.join(asked.select("query_id", "part"), "query_id").join(docs, "doc_id").filter(F.contains("text", "part"))
-    others = docs.join(asked.filter("query IS NULL").select("query_id", "part"), F.contains("text", "part"))
-    return looked_up.select("query_id", "doc_id").unionByName(others.select("query_id", "doc_id"))
+    short = asked.filter("query IS NULL").select("query_id", "part")
+    out = looked_up.select("query_id", "doc_id")
+    return out if short.isEmpty() else out.unionByName(docs.join(short, F.contains("text", "part")).select("query_id", "doc_id"))
 
 
 def hits_at(cases: DataFrame, ks: tuple[int, ...]) -> DataFrame:

@@ -375,8 +375,9 @@ CASES_SQL = (
 )
 
 
-def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    items = _asked(spark, sf).select("query_id", F.substring("query", 1, 60).alias("part"))
+def _cases(spark: SparkSession, sf: str, most: int | None = 60) -> DataFrame:
+    part = F.col("query") if most is None else F.substring("query", 1, most)
+    items = _asked(spark, sf).select("query_id", part.alias("part"))
     expected = evaluate.holding(_docs(spark, sf), _index(spark, sf), items)
     return evaluate.found_at(expected, bm25_multi_query(spark, sf))
 
@@ -415,3 +416,42 @@ def eval_full_vs_trunc(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", "query_type", F.coalesce("n", F.lit(0)).alias("position")
     )
     return evaluate.full_against_truncated(counts, "query_id").drop("base")
+
+
+# The same over whole passages.
+WHOLE_PHRASE_SQL = rf"""
+pw AS (SELECT item_id AS query_id, {TOKENS} AS words FROM benchmark),
+whits AS (SELECT query_id, doc_id, len(d.words) AS dl, len(list_filter(range(1, len(d.words) - len(pw.words) + 2), lambda i: d.words[i] = pw.words[1] AND d.words[i : i + len(pw.words) - 1] = pw.words)) AS tf
+  FROM pw JOIN d ON contains(' ' || array_to_string(d.words, ' ') || ' ', ' ' || array_to_string(pw.words, ' ') || ' ')),
+wt AS (SELECT query_id, unnest(words) AS term FROM pw), wdf AS (SELECT term, count(DISTINCT doc_id) AS df FROM t WHERE term IN (SELECT term FROM wt) GROUP BY term),
+widf AS (SELECT query_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM wt JOIN wdf USING (term) CROSS JOIN c GROUP BY query_id),
+phrase AS (SELECT query_id, doc_id, idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM whits JOIN widf USING (query_id) CROSS JOIN c)"""
+
+
+@C.add(
+    f"WITH {BM25_SQL}, {WHOLE_PHRASE_SQL}, u AS (SELECT * FROM bm25 UNION ALL SELECT query_id, doc_id, 2 * score FROM phrase), "
+    f"s AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM u GROUP BY query_id, doc_id) {RANKED_SQL}"
+)
+def formula_aware_bool_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Words may match, the whole passage in a row counts double."""
+    asked = _asked(spark, sf)
+    return search.top_k(_rounded(search.formula_aware(_index(spark, sf), asked, asked)), K, per="query_id")
+
+
+WHOLE_CASES_SQL = CASES_SQL.replace("left(b.text, 60)", "b.text")
+
+
+@C.add(
+    f"{WHOLE_CASES_SQL} SELECT query_id % 2 AS kind, count(*) AS total, count(position) AS hits, round(100.0 * count(position) / count(*), 2) AS hit_rate, "
+    "round(avg(position), 2) AS mean_position, median(position) AS median_position FROM cases GROUP BY query_id % 2"
+)
+def eval_rank_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits, hit rate, mean and median rank by group of queries; documents that hold the whole passage are expected."""
+    return evaluate.metrics(_cases(spark, sf, None).withColumn("kind", F.col("query_id") % 2), "kind").drop("positions")
+
+
+@C.add(
+    f"{WHOLE_CASES_SQL}, k AS (SELECT unnest([1, 3, 5, 10]) AS k) SELECT k, count_if(position <= k) AS hits, count(*) AS total FROM cases CROSS JOIN k GROUP BY k"
+)
+def eval_hit_at_k_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.hits_at(_cases(spark, sf, None), (1, 3, 5, 10))

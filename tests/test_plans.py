@@ -61,3 +61,9 @@ def test_unique_and_error_trees(spark):
     assert {(r["tree"], r["n"], r["first"]) for r in formulas.unique_trees(parsed, "k").collect()} == {("[V!x]", 2, 1), ("[E!m]", 1, 3)}
     assert tuple(formulas.error_trees(parsed).first()) == (1, 1)
     assert parsed.filter(F.col("error").isNotNull()).count() == 1
+
+
+@pytest.mark.parametrize("name", ["eval_rank_stats", "eval_hit_at_k_whole", "expected_whole", "bm25_pruned"])
+def test_no_nested_loops_in_searches(name, spark):
+    text = plan(registry.QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
