@@ -19,7 +19,8 @@ moves, which changes no result.
 
 Cases: vectors that are null, have another number of components, or hold a null
 or non-finite component take no part, nor do those with a component of 2**27 or
-more after scaling, whose distances a long cannot hold; a null vec_id takes
+more after scaling, whose distances a long cannot hold (a sum of distances that
+a long cannot hold is given as the largest long); a null vec_id takes
 part but starts no centroid before all others did; repeated rows count as often
 as they are given, equal ones may start two centroids, of which the smaller
 number gets the vectors; fewer vectors than clusters make fewer clusters; an
@@ -207,8 +208,9 @@ def cluster(vectors: DataFrame, rules: ClusterRules = ClusterRules()) -> Cluster
 def cluster_report(embeddings: DataFrame, rules: ClusterRules = ClusterRules()) -> DataFrame:
     """Per vector: vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
     found = cluster(whole_numbers(embeddings, rules), rules)
-    sums = {r[0]: r[1] for r in found.assigned.groupBy("cluster").agg(F.sum("distance")).collect()}
-    rows = [(c, sums.get(c, 0), sum(sums.values()), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(found.centroids)]
+    sums = {r[0]: int(r[1]) for r in found.assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(20,0)"))).collect()}
+    fits = lambda x: min(x, (1 << 63) - 1)
+    rows = [(c, fits(sums.get(c, 0)), fits(sum(sums.values())), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(found.centroids)]
     per_cluster = embeddings.sparkSession.createDataFrame(rows, "_c int, cluster_inertia long, inertia long, centroid_sha256 string")
     joined = found.assigned.join(F.broadcast(per_cluster), F.col("cluster") == F.col("_c"))
     return joined.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import xxhash
 
@@ -203,11 +204,11 @@ def alignments(texts: list[str | None]) -> list[tuple]:
         if not t or b"".join(x) != (" " + t).encode() or b"".join(y) != (" " + t).encode():
             docs.append([])
             continue
-        groups, ends = [], ([sum(map(len, z[: k + 1])) for k in range(len(z))] for z in (x, y))
-        ends_a, ends_b = map(list, ends)
+        groups = []
+        ends_a, ends_b = ({end: k + 1 for k, end in enumerate(accumulate(map(len, z)))} for z in (x, y))
         at_a = at_b = 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            stop_a, stop_b = ends_a.index(end) + 1, ends_b.index(end) + 1
+        for end in sorted(ends_a.keys() & ends_b.keys()):
+            stop_a, stop_b = ends_a[end], ends_b[end]
             groups.append((a[at_a:stop_a], b[at_b:stop_b]))
             at_a, at_b = stop_a, stop_b
         docs.append(groups)
