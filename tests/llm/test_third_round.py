@@ -93,7 +93,7 @@ def _cluster_texts(rnd, n, size, most):
         yield " ".join(words)
 
 
-@pytest.mark.parametrize("rules", [minhash.MinHashRules(), minhash.MinHashRules(stars=1, small=4, block=2000), minhash.MinHashRules(stars=2, small=4)])
+@pytest.mark.parametrize("rules", [minhash.MinHashRules(), minhash.MinHashRules(stars=2, small=4, block=2000)])
 def test_minhash_large_groups(spark, rules):
     """Variants around the limit: buckets that many sets share, joined, in star rounds and in blocks."""
     rnd = random.Random(9)
