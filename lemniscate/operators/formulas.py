@@ -32,16 +32,30 @@ _NODES = T.ArrayType(
 _PARSED = T.StructType().add("tree", T.StringType()).add("nodes", _NODES).add("error", T.StringType())
 
 
+#: Parsed formulas that a task remembers before it forgets all, and their length; a matter of memory only.
+REMEMBERED, SHORT = 20_000, 2_000
+
+
 def _parser(kind: str):
+    known: dict[str, tuple] = {}
+
+    def parse(s: str | None) -> tuple:
+        try:
+            node = mathml.tree(kind, s) if s else None
+            return (mathml.written(node, kind), list(mathml.flat(node, kind)), None) if node else (None, None, None)
+        except (mathml.UnknownTag, mathml.ET.ParseError, RecursionError) as e:
+            return None, None, f"{type(e).__name__}: {e}"
+
     def run(markup: pd.Series) -> pd.DataFrame:
         sys.setrecursionlimit(20_000)
         rows = []
         for s in markup:
-            try:
-                node = mathml.tree(kind, s) if s else None
-                rows.append((mathml.written(node, kind), list(mathml.flat(node, kind)), None) if node else (None, None, None))
-            except (mathml.UnknownTag, mathml.ET.ParseError, RecursionError) as e:
-                rows.append((None, None, f"{type(e).__name__}: {e}"))
+            row = known.get(s) or parse(s)
+            if s and len(s) <= SHORT:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[s] = row
+            rows.append(row)
         return pd.DataFrame(rows, columns=["tree", "nodes", "error"])
 
     return F.pandas_udf(run, _PARSED)
