@@ -50,24 +50,34 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _STOP = re.compile(r">|=[ \t\n\f\r]*+[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Their content is text up to their own end tag.
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
-    " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td"
-    " tfoot th thead tr ul".split()
+    (
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
+    "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+)
 )
 _OUT = frozenset(
-    "head script style noscript template nav header footer aside form fieldset button select option input textarea label iframe svg"
-    " canvas object embed audio video map dialog menu title xmp noembed noframes".split()
+    (
+    "head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "fieldset", "button", "select", "option", "input",
+    "textarea", "label", "iframe", "svg", "canvas", "object", "embed", "audio", "video", "map", "dialog", "menu", "title", "xmp", "noembed", "noframes",
 )
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note status".split())
+)
+_OUT_ROLES = frozenset((
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "tablist",
+    "note", "status",
+))
 _OUT_NAMES = frozenset(
-    "ad ads adslot adunit adbanner adsense adbox banner sponsor sponsors sponsored promo promotion promotions sidebar"
-    " sidebars menu menus nav navs navbar navigation breadcrumb breadcrumbs footer footers header headers masthead topbar cookie cookies"
-    " consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment"
-    " comments commentlist discussion disqus respond replies related recommended recommendations widget widgets toolbar pagination pager"
-    " copyright legal disclaimer search form skip hidden announcement reviews responses".split()
+    (
+    "ad", "ads", "adslot", "adunit", "adbanner", "adsense", "adbox", "banner", "sponsor", "sponsors", "sponsored", "promo", "promotion", "promotions",
+    "sidebar", "sidebars", "menu", "menus", "nav", "navs", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "footers", "header", "headers",
+    "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
+    "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "commentlist", "discussion", "disqus", "respond", "replies",
+    "related", "recommended", "recommendations", "widget", "widgets", "toolbar", "pagination", "pager", "copyright", "legal", "disclaimer", "search", "form",
+    "skip", "hidden", "announcement", "reviews", "responses",
+)
 )
 #: Words at a name's end that only say how or where its head word is shown.
 _HOLDERS = frozenset(
@@ -84,10 +94,10 @@ _WHOSE = frozenset(("all", "community", "customer", "customers", "guest", "lates
 #: The same wherever they stand in a name.
 _OUT_STEMS = ("advert", "banner", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor", "topnav", "subnav", "sidenav")
 #: Never left out by name: they hold the page or the article.
-_KEPT = frozenset("html body main article".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_KEPT = frozenset(("html", "body", "main", "article"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Blocks that hold other blocks as a page's parts; what stands in any other block lies in the part around it.
-_PARTS = frozenset("address article center div main section".split())
+_PARTS = frozenset(("address", "article", "center", "div", "main", "section"))
 #: An open p ends where one of these begins.
 _ENDS_P = _BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "body", "html", "head", "caption"}
 
