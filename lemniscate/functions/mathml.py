@@ -209,49 +209,49 @@ class Op:
 
 
 # Content elements by what they become.
-FUNCTIONS = (
-    "sin cos tan cot sec csc sinh cosh tanh coth sech csch arccos arccot arccsc arcsec arcsin arctan arccosh arccoth arccsch arcsech"
-    " arcsinh arctanh abs exp log ln min max ceiling floor arg gcd real imaginary"
-).split()
-UNORDERED = "approx eq neq equivalent union intersect plus times and or".split()
-ORDERED = (
-    "lt gt leq geq minus divide subset prsubset notsubset notprsubset in notin forall exists setdiff not implies int sum partialdiff"
-    " limit factorial compose root"
-).split()
-CONSTANTS = "infinity emptyset imaginaryi".split()
-MODIFIERS = "degree bvar lowlimit uplimit".split()
+FUNCTIONS = [
+    "sin", "cos", "tan", "cot", "sec", "csc", "sinh", "cosh", "tanh", "coth", "sech", "csch", "arccos", "arccot", "arccsc", "arcsec", "arcsin", "arctan",
+    "arccosh", "arccoth", "arccsch", "arcsech", "arcsinh", "arctanh", "abs", "exp", "log", "ln", "min", "max", "ceiling", "floor", "arg", "gcd", "real",
+    "imaginary",
+]
+UNORDERED = ["approx", "eq", "neq", "equivalent", "union", "intersect", "plus", "times", "and", "or"]
+ORDERED = [
+    "lt", "gt", "leq", "geq", "minus", "divide", "subset", "prsubset", "notsubset", "notprsubset", "in", "notin", "forall", "exists", "setdiff", "not",
+    "implies", "int", "sum", "partialdiff", "limit", "factorial", "compose", "root",
+]
+CONSTANTS = ["infinity", "emptyset", "imaginaryi"]
+MODIFIERS = ["degree", "bvar", "lowlimit", "uplimit"]
 GROUPS = {"vector": "V-", "list": "L-", "set": "S-"}
 CLOSURES = {"open": "O-O", "closed": "C-C", "open-closed": "O-C", "closed-open": "C-O"}
 # Named symbols that are ordered operators.
 NAMED_OPERATORS = frozenset(
-    """
-    annotated approaches-limit approximately-equals-or-equals approximately-equals-or-image-of assign asymptotically-equals because
-    between binomial bottom bra cases complement conditional-set contains continued-fraction contour-integral coproduct
-    currency-dollar degree difference-between dimension direct-product direct-sum divides does-not-prove double-integral
-    double-intersection double-subset-of double-superset-of double-union equals-or-preceeds equals-or-succeeds evaluated-at
-    exclusive-or expectation forces geometrically-equals greater-than-and-not-approximately-equals greater-than-and-not-equals
-    greater-than-and-not-equivalent-to greater-than-or-approximately-equals greater-than-or-equals-or-less-than
-    greater-than-or-equivalent-to greater-than-or-less-than iff image-of-or-approximately-equals infimum infinity injective-limit
-    inner-product kernel ket left-normal-factor-semidirect-product left-semidirect-product less-than-or-approximately-equals
-    less-than-or-similar-to limit-from limit-infimum limit-supremum maps-to minus-or-plus models much-greater-than much-less-than
-    norm not-and not-approximately-equals not-contains not-contains-nor-equals not-divides not-equivalent-to not-exists not-forces
-    not-greater-than not-greater-than-nor-equals not-greater-than-or-equals not-less-than less-than-and-not-approximately-equals
-    less-than-and-not-equals less-than-and-not-equivalent-to not-less-than-nor-greater-than not-less-than-nor-equals
-    not-less-than-or-equals less-than-or-equals-or-greater-than less-than-or-greater-than not-models not-much-greater-than
-    not-much-less-than not-similar-to-or-equals not-parallel-to not-partial-differential not-perpendicular-to not-precedes
-    not-precedes-nor-equals not-proves not-proportional-to not-similar-to not-square-image-of-or-equals not-subgroup-of
-    not-subgroup-of-nor-equals not-subset-of not-subset-of-or-equals not-subset-of-nor-equals not-succeeds not-succeeds-nor-equals
-    not-superset-of not-superset-of-nor-equals not-superset-of-or-equals not-very-much-less-than not-very-much-greater-than
-    parallel-to percent perpendicular-to plus-or-minus precedes precedes-and-not-approximately-equals precedes-and-not-equals
-    precedes-and-not-equivalent-to precedes-or-approximately-equals precedes-or-equals precedes-or-equivalent-to product
-    projective-limit proper-intersection proportional-to proves quadruple-integral quantum-operator-product
-    right-normal-factor-semidirect-product right-semidirect-product similar-to similar-to-or-equals square-image-of
-    square-image-of-or-equals square-intersection square-original-of square-original-of-or-equals square-union succeeds
-    succeeds-and-not-approximately-equals succeeds-and-not-equals succeeds-and-not-equivalent-to succeeds-or-approximately-equals
-    succeeds-or-equals succeeds-or-equivalent-to superset-of superset-of-or-equals superset-of-and-not-equals supremum
-    symmetric-difference tensor-product therefore top triple-integral very-much-greater-than very-much-less-than weierstrass-p
-    subgroup-of-or-equals implied-by double-factorial multiple-integral
-    """.split()
+    (
+    "annotated", "approaches-limit", "approximately-equals-or-equals", "approximately-equals-or-image-of", "assign", "asymptotically-equals", "because",
+    "between", "binomial", "bottom", "bra", "cases", "complement", "conditional-set", "contains", "continued-fraction", "contour-integral", "coproduct",
+    "currency-dollar", "degree", "difference-between", "dimension", "direct-product", "direct-sum", "divides", "does-not-prove", "double-integral",
+    "double-intersection", "double-subset-of", "double-superset-of", "double-union", "equals-or-preceeds", "equals-or-succeeds", "evaluated-at",
+    "exclusive-or", "expectation", "forces", "geometrically-equals", "greater-than-and-not-approximately-equals", "greater-than-and-not-equals",
+    "greater-than-and-not-equivalent-to", "greater-than-or-approximately-equals", "greater-than-or-equals-or-less-than", "greater-than-or-equivalent-to",
+    "greater-than-or-less-than", "iff", "image-of-or-approximately-equals", "infimum", "infinity", "injective-limit", "inner-product", "kernel", "ket",
+    "left-normal-factor-semidirect-product", "left-semidirect-product", "less-than-or-approximately-equals", "less-than-or-similar-to", "limit-from",
+    "limit-infimum", "limit-supremum", "maps-to", "minus-or-plus", "models", "much-greater-than", "much-less-than", "norm", "not-and",
+    "not-approximately-equals", "not-contains", "not-contains-nor-equals", "not-divides", "not-equivalent-to", "not-exists", "not-forces",
+    "not-greater-than", "not-greater-than-nor-equals", "not-greater-than-or-equals", "not-less-than", "less-than-and-not-approximately-equals",
+    "less-than-and-not-equals", "less-than-and-not-equivalent-to", "not-less-than-nor-greater-than", "not-less-than-nor-equals", "not-less-than-or-equals",
+    "less-than-or-equals-or-greater-than", "less-than-or-greater-than", "not-models", "not-much-greater-than", "not-much-less-than",
+    "not-similar-to-or-equals", "not-parallel-to", "not-partial-differential", "not-perpendicular-to", "not-precedes", "not-precedes-nor-equals",
+    "not-proves", "not-proportional-to", "not-similar-to", "not-square-image-of-or-equals", "not-subgroup-of", "not-subgroup-of-nor-equals", "not-subset-of",
+    "not-subset-of-or-equals", "not-subset-of-nor-equals", "not-succeeds", "not-succeeds-nor-equals", "not-superset-of", "not-superset-of-nor-equals",
+    "not-superset-of-or-equals", "not-very-much-less-than", "not-very-much-greater-than", "parallel-to", "percent", "perpendicular-to", "plus-or-minus",
+    "precedes", "precedes-and-not-approximately-equals", "precedes-and-not-equals", "precedes-and-not-equivalent-to", "precedes-or-approximately-equals",
+    "precedes-or-equals", "precedes-or-equivalent-to", "product", "projective-limit", "proper-intersection", "proportional-to", "proves",
+    "quadruple-integral", "quantum-operator-product", "right-normal-factor-semidirect-product", "right-semidirect-product", "similar-to",
+    "similar-to-or-equals", "square-image-of", "square-image-of-or-equals", "square-intersection", "square-original-of", "square-original-of-or-equals",
+    "square-union", "succeeds", "succeeds-and-not-approximately-equals", "succeeds-and-not-equals", "succeeds-and-not-equivalent-to",
+    "succeeds-or-approximately-equals", "succeeds-or-equals", "succeeds-or-equivalent-to", "superset-of", "superset-of-or-equals",
+    "superset-of-and-not-equals", "supremum", "symmetric-difference", "tensor-product", "therefore", "top", "triple-integral", "very-much-greater-than",
+    "very-much-less-than", "weierstrass-p", "subgroup-of-or-equals", "implied-by", "double-factorial", "multiple-integral",
+)
 )
 # Named symbols that become something else.
 NAMED_OTHERS = {
@@ -496,21 +496,24 @@ SIGNS = {
     "lVert": "∥", "rVert": "∥", "Vert": "∥", "|": "∥", "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "colon": ":",
     "subsetneq": "⊊", "supsetneq": "⊋", "ngeq": "≱", "nleq": "≰", "bigotimes": "⨂", "bigoplus": "⨁", "bigwedge": "⋀", "bigvee": "⋁",
 }
-NAMES = (
-    "sin cos tan cot sec csc sinh cosh tanh coth arcsin arccos arctan log ln lg exp lim limsup liminf max min sup inf arg det dim deg gcd"
-    " hom ker mod bmod Pr"
-).split()
+NAMES = [
+    "sin", "cos", "tan", "cot", "sec", "csc", "sinh", "cosh", "tanh", "coth", "arcsin", "arccos", "arctan", "log", "ln", "lg", "exp", "lim", "limsup",
+    "liminf", "max", "min", "sup", "inf", "arg", "det", "dim", "deg", "gcd", "hom", "ker", "mod", "bmod", "Pr",
+]
 ACCENTS = {
     "hat": "^", "widehat": "^", "bar": "¯", "overline": "¯", "vec": "→", "overrightarrow": "→", "overleftarrow": "←", "tilde": "~",
     "widetilde": "~", "dot": "˙", "ddot": "¨", "check": "ˇ", "breve": "˘", "acute": "´", "grave": "`", "overbrace": "⏞",
 }
 UNDER = {"underline": "_", "underbrace": "⏟"}
-STYLES = "mathbf mathbb mathcal mathfrak mathscr mathsf mathit mathtt boldsymbol bm pmb ensuremath mathop mathrel mathbin mathord".split()
+STYLES = [
+    "mathbf", "mathbb", "mathcal", "mathfrak", "mathscr", "mathsf", "mathit", "mathtt", "boldsymbol", "bm", "pmb", "ensuremath", "mathop", "mathrel",
+    "mathbin", "mathord",
+]
 WORDS = {"text": "mtext", "textrm": "mtext", "textbf": "mtext", "textit": "mtext", "mbox": "mtext", "hbox": "mtext", "mathrm": "mi", "operatorname": "mi"}
-SILENT = (
-    ", ; : ! > quad qquad displaystyle textstyle scriptstyle limits nolimits rm bf it left right middle big Big bigg Bigg bigl bigr Bigl"
-    " Bigr biggl biggr Biggl Biggr nonumber notag hline"
-).split()
+SILENT = [
+    ",", ";", ":", "!", ">", "quad", "qquad", "displaystyle", "textstyle", "scriptstyle", "limits", "nolimits", "rm", "bf", "it", "left", "right", "middle",
+    "big", "Big", "bigg", "Bigg", "bigl", "bigr", "Bigl", "Bigr", "biggl", "biggr", "Biggl", "Biggr", "nonumber", "notag", "hline",
+]
 FENCES = {"pmatrix": "()", "bmatrix": "[]", "Bmatrix": "{}", "vmatrix": "||", "Vmatrix": "∥∥", "cases": "{"}
 
 

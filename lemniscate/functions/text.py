@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 TOKEN = r"[\p{L}\p{N}]+"
 
 # The English stop words of the standard analyser.
-STOP_WORDS = (
-    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the",
+    "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
 # Letters and what they are folded to.
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinoooooouuuuyy"
@@ -48,9 +49,17 @@ def analysed(text: Column) -> Column:
 
 _VOWEL = re.compile(r"[aeiou]|(?<![aeiou])y")
 # Suffix steps of the Porter stemmer with what they become.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e",
+    "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous",
+    "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+_STEP3 = {
+    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+}
+_STEP4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+]
 
 
 def _shape(stem: str) -> str:
@@ -90,8 +99,7 @@ def stem(word: str) -> str:
                 break
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        pairs = dict(x.split(":") for x in table.split())
+    for pairs in (_STEP2, _STEP3):
         for end in sorted(pairs, key=len, reverse=True):
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
