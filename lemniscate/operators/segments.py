@@ -128,7 +128,9 @@ class SegmentedIndex:
 
     def _read(self, kind: str, numbers: list[int], schema: str) -> DataFrame:
         paths = [f"{self.path}/{kind}/{n:010d}" for n in numbers]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("x")).select("x.*")
 
     def _living(self, rows: DataFrame) -> DataFrame:
         """Rows (doc_id, segment, …) that no grave buries."""
