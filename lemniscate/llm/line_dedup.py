@@ -45,13 +45,14 @@ def boilerplate(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         F.xxhash64("text").alias("page"),
         F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), _trimmed), lambda x: x != "")).alias("lines"),
     )
-    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_rows"))
+    totals = stored(pages.groupBy("host").agg(F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_rows")), "host_totals", lasting=True)
+    n_rows = totals.agg(F.sum("n_rows")).first()[0] or 0
     keyed = pages.select("host", "page", F.explode("lines").alias("line")).select(
         "host", "page", F.unhex(F.md5("line")).alias("key")
     )
     seen = keyed.distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= rules.min_pages)
     common = (
-        seen.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
+        join_counted(seen, totals.withColumnRenamed("host", "h"), "host", "h", "n_rows", n_rows)
         .filter(F.col("n") > rules.max_ratio * F.col("n_pages"))
         .select("host", "key", "n_pages", "n_rows")
     )
