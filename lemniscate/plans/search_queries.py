@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
 from lemniscate.functions.vectors import added, added_leniently, concatenated, mean_vectors, norm, weight
-from lemniscate.operators import evaluate, fusion, search
+from lemniscate.operators import cells, evaluate, fusion, search
 from lemniscate.operators.segments import SegmentedIndex, best, fingerprint
 from lemniscate.plans.catalog import Catalog
 from lemniscate.session import shared_folder, table
@@ -173,6 +173,33 @@ def cosine_retrieval_raw(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, False)
 
 
+def _cell_search(spark: SparkSession, sf: str) -> tuple[cells.CellIndex, DataFrame]:
+    """An index of all embeddings, and every fiftieth as a query."""
+    vectors = _vectors(spark, sf).drop("label")
+    index = cells.build(vectors, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}", 64)
+    return index, vectors.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+@C.add(
+    f"WITH {MEANS_SQL}, "
+    + KNN_SQL.format(score="(1 + list_cosine_similarity(e.v, q.v)) / 2").replace("q.label AS", "q.vec_id AS").replace("CROSS JOIN means q", "JOIN e q ON q.vec_id % 50 = 0")
+)
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest vectors of every fiftieth vector, by cells that are read only if they can hold one."""
+    found = cells.nearest(*_cell_search(spark, sf), 3 * K).hits
+    return search.top_k(_rounded(found.drop("rank")), K, tie="id", per="query_id")
+
+
+@C.add()
+def knn_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every fiftieth vector's ten nearest, the share found among a fifth of all rows as candidates, and the rows
+    read for it and for the exact answer."""
+    index, asked = _cell_search(spark, sf)
+    rows = index.rings.agg(F.sum("n")).first()[0] or 0
+    exact, some = cells.nearest(index, asked, K), cells.nearest(index, asked, K, num_candidates=rows // 5 + K)
+    return cells.recall(exact.hits, some.hits).join(exact.work, "query_id").join(some.work.select("query_id", F.col("rows_read").alias("candidates_read")), "query_id")
+
+
 @C.add(
     f"WITH {MEANS_SQL}, " + KNN_SQL.format(score="list_cosine_similarity(e.v, q.v)").split("SELECT query_id, id, score, CAST")[0]
     + "SELECT concat_ws(' ', query_id, 'xxx', id, rank, CAST(score AS DECIMAL(9, 6)), 'Run_slt') AS line FROM k WHERE rank <= 10"
