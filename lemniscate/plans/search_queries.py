@@ -192,11 +192,11 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @C.add()
 def knn_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every fiftieth vector's ten nearest, the share found among a fifth of all rows as candidates, and the rows
-    read for it and for the exact answer."""
+    """Of every fiftieth vector's ten nearest, the share found among three fifths of all rows as candidates, and the
+    rows read for it and for the exact answer."""
     index, asked = _cell_search(spark, sf)
     rows = index.rings.agg(F.sum("n")).first()[0] or 0
-    exact, some = cells.nearest(index, asked, K), cells.nearest(index, asked, K, num_candidates=rows // 5 + K)
+    exact, some = cells.nearest(index, asked, K), cells.nearest(index, asked, K, num_candidates=rows * 3 // 5 + K)
     return cells.recall(exact.hits, some.hits).join(exact.work, "query_id").join(some.work.select("query_id", F.col("rows_read").alias("candidates_read")), "query_id")
 
 
