@@ -181,7 +181,8 @@ def _scored(index: CellIndex, asked: DataFrame, wanted: DataFrame, k: int, block
     cell = wanted.groupBy("n_query", "cell", "parts").agg(F.collect_list("ring").alias("rings"), bar.alias("bar"))
     ask = cell.join(asked.select("n_query", "q"), "n_query").withColumn("block", F.pmod("n_query", F.lit(blocks)).cast("int"))
     ask = ask.select("n_query", "q", "rings", "bar", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block")
-    rows = index.rows.join(wanted.select("cell").distinct(), "cell", "left_semi")
+    # At most one row per cell.
+    rows = index.rows.join(F.broadcast(wanted.select("cell").distinct()), "cell", "left_semi")
     rows = rows.select("cell", "part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "ring", "id", "v")
     kind = rows.schema["id"].dataType.simpleString()
 

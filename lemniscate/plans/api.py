@@ -16,7 +16,8 @@ from lemniscate.functions import latex
 from lemniscate.functions.html import html_text, html_text_with_latex, separated
 from lemniscate.functions.text import analysed
 from lemniscate.functions.vectors import weight
-from lemniscate.operators import formulas, fusion, search
+from lemniscate.operators import cells, formulas, fusion, search
+from lemniscate.operators.cells import CellIndex, Layout
 
 VECTOR_FIELDS = ("slt_vector", "slt_type_vector", "opt_vector", "formula_vector")
 K = 10
@@ -64,14 +65,27 @@ def search_text_vector(posts: DataFrame, queries: DataFrame, embed: Embedder, k:
     return search.knn(posts.select(F.col("post_id").alias("id"), F.col(field).alias("vector")), asked, k).withColumnRenamed("id", "doc_id")
 
 
-def search_formula_vector(index: DataFrame, asked: DataFrame, field: str = "formula_vector", k: int = K) -> DataFrame:
-    """Nearest formulas (formula_id, post_id, vectors) to (query_id, vector); a post can appear several times."""
+def search_formula_vector(
+    index: DataFrame, asked: DataFrame, field: str = "formula_vector", k: int = K, near: CellIndex | None = None, num_candidates: int | None = None
+) -> DataFrame:
+    """Nearest formulas (formula_id, post_id, vectors) to (query_id, vector); a post can appear several times.
+
+    ``near``: :func:`formula_cells` of the index, read instead of all vectors; with ``num_candidates`` hits may be missed.
+    """
     if field not in VECTOR_FIELDS:
         raise ValueError(f"unknown vector field {field!r}; there are {', '.join(VECTOR_FIELDS)}")
-    found = search.knn(index.select(F.col("formula_id").alias("id"), F.col(field).alias("vector")), asked, k)
+    if near is None and num_candidates is not None:
+        raise ValueError("num_candidates needs an index of cells")
+    rows = index.select(F.col("formula_id").alias("id"), F.col(field).alias("vector"))
+    found = search.knn(rows, asked, k) if near is None else cells.nearest(near, asked, k, num_candidates=num_candidates).hits
     return found.join(index.select(F.col("formula_id").alias("id"), "post_id"), "id").withColumnRenamed("id", "formula_id")
 
 
+def formula_cells(index: DataFrame, path: str, dims: int, field: str = "formula_vector", layout: Layout = Layout()) -> CellIndex:
+    """An index of one vector field in cells, under the new folder ``path``; ``cells.load`` opens it again."""
+    return cells.build(index.select(F.col("formula_id").alias("id"), F.col(field).alias("vector")), path, dims, layout)
+
+
 def query_formulas(queries: DataFrame, known: DataFrame | None = None, dims: int = 300) -> DataFrame:
     """query_id, part, vector: layout vectors of the math elements of every query."""
     parts = queries.select("query_id", F.posexplode(separated("query")["formulas"]).alias("part", "formula"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lemniscate.operators import cells, search
 from lemniscate.operators.cells import Layout
+from lemniscate.plans import api
 
 DIMS = 16
 
@@ -118,3 +119,14 @@ def test_blocks_of_queries(spark, monkeypatch):
     asked = spark.createDataFrame(named, "query_id string, vector array<double>").select(F.struct("query_id").alias("query_id"), "vector")
     hits = cells.nearest(built(spark, rows), asked, 4, rescale=False).hits.select("query_id.query_id", "id", "score", "rank")
     assert by_query(hits) == nearest_brute(rows, named, 4)
+
+
+def test_formula_search_reads_cells(spark):
+    rows = clustered(200)
+    table = vectors(spark, rows, "formula_id").select("formula_id", (F.col("formula_id") % 9).alias("post_id"), F.col("vector").alias("slt_vector"))
+    asked = vectors(spark, rows[::40], "query_id")
+    near = api.formula_cells(table, tempfile.mkdtemp(prefix="cells-") + "/index", DIMS, "slt_vector", Layout(cells=6))
+    key = lambda df: sorted(map(tuple, df.select("query_id", "rank", "formula_id", "post_id", F.round("score", 9)).collect()))
+    assert key(api.search_formula_vector(table, asked, "slt_vector", 5, near)) == key(api.search_formula_vector(table, asked, "slt_vector", 5))
+    with pytest.raises(ValueError):
+        api.search_formula_vector(table, asked, "slt_vector", 5, num_candidates=10)
