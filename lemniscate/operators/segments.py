@@ -36,10 +36,13 @@ from pyspark.sql import functions as F
 
 from lemniscate.functions.text import tokens
 from lemniscate.operators import search
+from lemniscate.operators.ranking import numbered
 from lemniscate.session import discard, stored
 
 #: Documents in a block.
 BLOCK = 128
+#: Postings whose frontiers are worked out at a time, at least.
+GATHERED = 200_000
 DOCS = "doc_id long, dl int, hash long, block long, segment int"
 POSTINGS = "term string, doc_id long, tf int, positions array<int>, dl int, block long, segment int"
 BLOCKS = "term string, segment int, block long, n long, frontier array<struct<tf:int,dl:int>>"
@@ -87,6 +90,47 @@ def _terms(batches: Iterator[Any]) -> Iterator[Any]:
             yield pa.RecordBatch.from_arrays([*columns, b.column(1).take(owner), b.column(2).take(owner)], names=["term", "doc_id", "tf", "positions", "dl", "block"])
 
 
+def _frontiers(batches: Iterator[Any]) -> Iterator[Any]:
+    """term, block, tf and dl of postings to term, block, n and frontier.
+
+    A block's postings lie side by side, so that it has one row for a term; one
+    that two tasks read has a row from each, which only loosens its bound.
+    """
+    import pyarrow as pa
+
+    def made(rows: Any) -> Any:
+        words = rows.column("term").combine_chunks().dictionary_encode()
+        places, at = np.unique(rows.column("block").to_numpy(), return_inverse=True)
+        key = at * len(words.dictionary) + words.indices.to_numpy()
+        tf, dl = (rows.column(c).to_numpy().astype(np.int64) for c in ("tf", "dl"))
+        order = np.lexsort((dl, -tf, key))
+        key, tf, dl = key[order], tf[order], dl[order]
+        opens = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(opens)
+        # From the most frequent: a pair stays if it is shorter than all before it; each group starts below the last.
+        low = dl - (np.cumsum(opens) - 1) * (dl.max() + 1)
+        kept = np.concatenate([[True], low[1:] < np.minimum.accumulate(low)[:-1]])
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(kept.astype(np.int32), first))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(x[kept].astype(np.int32)) for x in (tf, dl)], names=["tf", "dl"])
+        columns = [words.dictionary.take(pa.array(key[first] % len(words.dictionary))), pa.array(places[key[first] // len(words.dictionary)])]
+        n = np.diff(np.concatenate([first, [len(key)]]))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["term", "block", "n", "frontier"])
+
+    held: list[Any] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            rows = pa.Table.from_batches(held)
+            block = rows.column("block").to_numpy()
+            other = np.flatnonzero(block != block[-1])
+            if len(other):
+                yield made(rows.slice(0, other[-1] + 1))
+                held = rows.slice(other[-1] + 1).to_batches()
+    if held:
+        yield made(pa.Table.from_batches(held))
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
@@ -168,7 +212,7 @@ class SegmentedIndex:
     # Writing
 
     def _write(self, df: DataFrame, kind: str, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/{number:010d}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{kind}/{number:010d}")
 
     def _commit(self, new: Manifest) -> None:
         line = self.spark.createDataFrame([(json.dumps(asdict(new)),)], "value string")
@@ -176,14 +220,12 @@ class SegmentedIndex:
         self.manifest = new
 
     def _segment(self, number: int, docs: DataFrame, rows: DataFrame) -> None:
-        """Write a segment of ``docs`` (doc_id, dl, hash, block) and ``rows`` (term, doc_id, tf, positions, dl, block)."""
+        """Write a segment of ``docs`` (doc_id, dl, hash, block) and ``rows`` (term, doc_id, tf, positions, dl, block), blocks side by side."""
         self._write(docs.select("doc_id", "dl", "hash", "block", F.lit(number).alias("segment")), "docs", number)
-        made = rows.select("term", "doc_id", F.col("tf").cast("int").alias("tf"), "positions", "dl", "block", F.lit(number).alias("segment"))
-        self._write(made.sortWithinPartitions("term", "block"), "postings", number)
-        # At most one pair for each document of a block; those that a more frequent and no longer one beats go.
-        pairs = self._read("postings", [number], POSTINGS).groupBy("term", "segment", "block").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("tf", "dl")).alias("f"))
-        best = F.filter("f", lambda x: ~F.exists("f", lambda y: (y["tf"] >= x["tf"]) & (y["dl"] <= x["dl"]) & ((y["tf"] > x["tf"]) | (y["dl"] < x["dl"]))))
-        self._write(pairs.select("term", "segment", "block", "n", best.alias("frontier")), "blocks", number)
+        self._write(rows.select("term", "doc_id", F.col("tf").cast("int").alias("tf"), "positions", "dl", "block", F.lit(number).alias("segment")), "postings", number)
+        written = self._read("postings", [number], POSTINGS).select("term", "block", "tf", "dl")
+        made = written.mapInArrow(_frontiers, "term string, block long, n long, frontier array<struct<tf:int,dl:int>>")
+        self._write(made.select("term", F.lit(number).alias("segment"), "block", "n", "frontier"), "blocks", number)
 
     def _bury(self, number: int, ids: DataFrame) -> tuple[int, int]:
         """Bury the living rows of ``ids`` (doc_id, distinct) in the segments below ``number``: how many documents and words that were."""
@@ -256,7 +298,8 @@ class SegmentedIndex:
             rows = self.postings().select("term", "doc_id", "tf", "positions", "dl")
             least = rows.groupBy("doc_id").agg(*[F.min(F.xxhash64("term", F.lit(k))).alias(f"_k{k}") for k in range(2)])
             docs = stored(_in_blocks(self.docs().select("doc_id", "dl", "hash").join(least, "doc_id", "left")), "docs")
-            self._segment(number, docs, rows.join(docs.select("doc_id", "block"), "doc_id"))
+            placed = rows.join(docs.select("doc_id", "block"), "doc_id").repartition("block").sortWithinPartitions("block", "doc_id", "term")
+            self._segment(number, docs, placed)
             discard(docs)
         self._commit(replace(m, version=number, segments=[number] if m.n else [], graves=[]))
         return self
@@ -281,17 +324,37 @@ SLACK = 1e-6
 PLACE = ["query_id", "segment", "block"]
 
 
+#: Rows of asked terms, bytes of their words, and longs that say for which queries a block is read, up to which they are broadcast.
+ASKED, WORDS, MARKS = 100_000, 8_000_000, 2_000_000
+WIDTH = 64
+
+
+def _hinted(asked: DataFrame) -> tuple[DataFrame, bool]:
+    """``asked``, a stored table with a term, to be broadcast if it is proven small; and whether it is."""
+    rows, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    small = rows <= ASKED and size <= WORDS
+    return (F.broadcast(asked) if small else asked), small
+
+
 def weights(index: SegmentedIndex, queries: DataFrame) -> DataFrame:
-    """query_id, term, weight: number in the query times inverse document frequency."""
-    asked = search.query_terms(queries, index.analyser)
-    df = index.frequencies(asked.select("term").distinct())
-    return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * search.idf(F.lit(index.manifest.n), F.col("df"))).alias("weight"))
+    """query_id, q, term, weight: number in the query times inverse document frequency; ``q`` numbers the queries from 0."""
+    terms = stored(search.query_terms(queries, index.analyser), "terms")
+    hinted, _ = _hinted(terms)
+    asked = stored(hinted.join(index.frequencies(hinted), "term"), "frequencies")
+    q = numbered(asked.select("query_id").distinct(), ["query_id"], name="q")
+    weight = F.col("qtf") * search.idf(F.lit(index.manifest.n), F.col("df"))
+    out = stored(asked.join(q, "query_id").select("query_id", F.col("q").cast("int").alias("q"), "term", weight.alias("weight")), "asked")
+    discard(terms)
+    discard(asked)
+    return out
 
 
 def term_bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
-    """query_id, term, weight, segment, block, bound: what the term can add in the block to a score at most, for ``asked`` (query_id, term, weight)."""
+    """query_id, term, segment, block, bound: what the term can add in the block to a score at most, for ``asked``, a stored table."""
     most = F.array_max(F.transform("frontier", lambda x: search.saturated(x["tf"], x["dl"], F.lit(index.avgdl))))
-    return index.blocks().join(asked, "term").select("query_id", "term", "weight", "segment", "block", (F.col("weight") * most).alias("bound"))
+    hinted, _ = _hinted(asked)
+    met = index.blocks().join(hinted.select("query_id", "term", "weight"), "term")
+    return met.select("query_id", "term", "segment", "block", (F.col("weight") * most).alias("bound"))
 
 
 def bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
@@ -299,16 +362,35 @@ def bounds(index: SegmentedIndex, asked: DataFrame) -> DataFrame:
     return term_bounds(index, asked).groupBy(*PLACE).agg(F.sum("bound").alias("bound"))
 
 
-def _parts(index: SegmentedIndex, read: DataFrame) -> DataFrame:
-    """query_id, segment, block, doc_id, part of the living postings that ``read`` (query_id, term, weight, segment, block) asks for."""
-    found = index.postings().drop("positions").join(read, ["term", "segment", "block"])
-    return found.select(*PLACE, "doc_id", (F.col("weight") * search.saturated(F.col("tf"), F.col("dl"), F.lit(index.avgdl))).alias("part"))
+def _parts(index: SegmentedIndex, asked: DataFrame, where: DataFrame) -> DataFrame:
+    """query_id, segment, block, doc_id, score: what the terms ``asked`` (query_id, q, term, weight) add in the blocks
+    ``where`` (query_id, q, segment, block); both are stored tables.
+
+    Where both are small, postings stay where they are: blocks come with a bit
+    for each query that reads them, and what a document's terms add is summed
+    up before it is shuffled, for its postings lie together.  Otherwise
+    postings meet the terms that are read of their block.
+    """
+    rows = index.postings().select("term", "segment", "block", "doc_id", search.saturated(F.col("tf"), F.col("dl"), F.lit(index.avgdl)).alias("part"))
+    hinted, small = _hinted(asked)
+    blocks, last = where.agg(F.count_distinct("segment", "block"), F.coalesce(F.max("q"), F.lit(0))).first()
+    longs = last // WIDTH + 1
+    if small and blocks * longs <= MARKS:
+        bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("q") / WIDTH) == n, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("q") % WIDTH))), F.lit(0).cast("long")) for n in range(longs)]
+        marks = where.groupBy("segment", "block").agg(F.array(*bits).alias("bits"))
+        met = rows.join(F.broadcast(marks), ["segment", "block"]).join(hinted, "term")
+        bit = F.call_function("shiftright", F.get("bits", F.floor(F.col("q") / WIDTH).cast("int")), F.col("q") % WIDTH).bitwiseAND(F.lit(1).cast("long"))
+        met = met.filter(bit == 1)
+    else:
+        read = index.blocks().select("term", "segment", "block").join(asked, "term").join(where.select(*PLACE), PLACE, "left_semi")
+        met = rows.join(read, ["term", "segment", "block"])
+    return met.groupBy(*PLACE, "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 
 def scored(index: SegmentedIndex, asked: DataFrame, where: DataFrame) -> DataFrame:
     """query_id, doc_id, score of the living documents in the blocks ``where`` (query_id, segment, block)."""
-    read = term_bounds(index, asked).drop("bound").join(where.select(*PLACE), PLACE, "left_semi")
-    return _parts(index, read).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    numbers = asked.select("query_id", "q").distinct()
+    return _parts(index, asked, where.select(*PLACE).join(numbers, "query_id")).select("query_id", "doc_id", "score")
 
 
 @dataclass(frozen=True)
@@ -332,31 +414,32 @@ def best(index: SegmentedIndex, queries: DataFrame, k: int) -> Best:
     if not index.manifest.n:
         none = queries.select("query_id").limit(0)
         return Best(none.selectExpr("query_id", "0L doc_id", "0D score"), none.selectExpr("query_id", "0L blocks", "0L read", "0L documents"))
-    asked = stored(weights(index, queries), "asked")
-    each = stored(term_bounds(index, asked), "bounds")
-    whole = each.groupBy(*PLACE).agg(F.sum("bound").alias("bound"))
+    asked = weights(index, queries)
+    q = asked.select("query_id", "q").distinct()
+    whole = stored(bounds(index, asked).join(q, "query_id"), "bounds")
     order = search.top_k(whole.withColumn("place", F.struct("segment", "block")), FIRST, by="bound", tie="place", per="query_id")
-    first = stored(order.select(*PLACE), "first")
-    seen = stored(_parts(index, each.drop("bound").join(first, PLACE, "left_semi")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), "seen")
+    first = stored(order.select(*PLACE, "q"), "first")
+    seen = stored(_parts(index, asked, first).select("query_id", "doc_id", "score"), "seen")
     kth = search.top_k(seen, k, per="query_id").filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bar"))
-    bars = asked.select("query_id").distinct().join(kth, "query_id", "left").na.fill(0.0, ["bar"])
-    rest = stored(whole.join(first, PLACE, "left_anti").join(bars, "query_id").filter("bound >= bar").drop("bound"), "rest")
+    bars = stored(q.join(kth, "query_id", "left").na.fill(0.0, ["bar"]).select("query_id", "bar"), "bars")
+    rest = stored(whole.join(first, PLACE, "left_anti").join(bars, "query_id").filter("bound >= bar").select(*PLACE, "q", "bar"), "rest")
     # Terms from the weakest; a query has as many rows as terms.
     upwards = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    strength = each.groupBy("query_id", "term").agg(F.max("bound").alias("most")).withColumn("sum", F.sum("most").over(upwards))
-    strong = strength.join(bars, "query_id").select("query_id", "term", (F.col("sum") >= F.col("bar")).alias("strong"))
-    there = stored(each.join(rest, PLACE).join(strong, ["query_id", "term"]), "there")
-    weak = there.filter("NOT strong").groupBy(*PLACE).agg(F.sum("bound").alias("weak"))
-    partial = _parts(index, there.filter("strong").drop("bound", "bar", "strong")).groupBy(*PLACE, "doc_id").agg(F.sum("part").alias("score"))
-    able = partial.join(rest, PLACE).join(weak, PLACE, "left").filter(F.col("score") + F.coalesce("weak", F.lit(0.0)) >= F.col("bar"))
-    able = stored(able.select(*PLACE, "doc_id", "score"), "able")
-    others = _parts(index, there.filter("NOT strong").drop("bound", "bar", "strong").join(able.select(*PLACE).distinct(), PLACE, "left_semi"))
-    added = others.join(able.select(*PLACE, "doc_id"), [*PLACE, "doc_id"], "left_semi").select("query_id", "doc_id", F.col("part").alias("score"))
-    late = able.select("query_id", "doc_id", "score").unionByName(added).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    strength = term_bounds(index, asked).groupBy("query_id", "term").agg(F.max("bound").alias("most")).withColumn("sum", F.sum("most").over(upwards))
+    judged = asked.join(strength.join(bars, "query_id").select("query_id", "term", (F.col("sum") >= F.col("bar")).alias("strong")), ["query_id", "term"])
+    judged = stored(judged, "judged")
+    strong, weak = (stored(judged.filter(F.col("strong") == x).drop("strong"), "terms") for x in (True, False))
+    partial = _parts(index, strong, rest)
+    able = partial.join(rest, PLACE).join(bounds(index, weak).withColumnRenamed("bound", "weak"), PLACE, "left")
+    able = able.filter(F.col("score") + F.coalesce("weak", F.lit(0.0)) >= F.col("bar"))
+    able = stored(able.select(*PLACE, "q", "doc_id", "score"), "able")
+    at = stored(able.select(*PLACE, "q").distinct(), "at")
+    added = _parts(index, weak, at).withColumnRenamed("score", "more")
+    late = able.join(added, [*PLACE, "doc_id"], "left").select("query_id", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
     out = stored(seen.unionByName(late), "best")
     count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
-    work = count(whole, "blocks").join(count(first.unionByName(rest.select(*PLACE)), "read"), "query_id").join(count(out, "documents"), "query_id", "left")
+    work = count(whole, "blocks").join(count(first.select("query_id").unionByName(rest.select("query_id")), "read"), "query_id").join(count(out, "documents"), "query_id", "left")
     work = stored(work.na.fill(0, ["documents"]), "work")
-    for df in (asked, each, first, seen, rest, there, able):
+    for df in (asked, whole, first, seen, bars, rest, judged, strong, weak, able, at):
         discard(df)
     return Best(out, work)
