@@ -15,7 +15,7 @@ from lemniscate.plans.catalog import Catalog
 from lemniscate.plans.formula_queries import FORMULAS_SQL, IDS_SQL, NS, _opt_tokens, _parsed
 from lemniscate.plans.search_queries import MEANS_SQL, _asked, _means, _rounded
 from lemniscate.session import shared_folder, table
-from lemniscate.sources import readers, records, writers
+from lemniscate.sources import datasource, readers, records, writers
 from lemniscate.streaming import ingest
 
 C = Catalog()
@@ -84,6 +84,32 @@ def dictionary_grows(spark: SparkSession, sf: str) -> DataFrame:
     return formulas.dictionary(tokens, "k", known)
 
 
+@C.add(
+    "SELECT 'p' || page_id || ':0' AS formula_id, '<math><mi>x</mi></math>' AS formula, 0 AS ord FROM pages WHERE page_id IS NOT NULL UNION ALL "
+    "SELECT 'p' || page_id || ':1', '<math id=\"f' || page_id || '\"><mn>' || length(html) || '</mn></math>', 1 FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL"
+)
+def page_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection of pages, one file each, written and read as a data source: all its formulas."""
+    datasource.register(spark)
+    second = F.concat(F.lit('<math id="f'), _s("page_id"), F.lit('"><mn>'), F.length("html").cast("string"), F.lit("</mn></math>"))
+    content = F.concat(F.lit("<p>"), F.coalesce("url", F.lit("")), F.lit("</p><m:math><m:mi>x</m:mi></m:math>\n"), F.coalesce(second, F.lit("")))
+    rows = table(spark, sf, "pages").select(F.pmod(F.hash("url"), F.lit(20)).cast("string").alias("folder"), F.concat(F.lit("p"), _s("page_id"), F.lit(".html")).alias("file"), content.alias("content"))
+    path = _folder(spark, "pages")
+    rows.write.format("formula_pages").mode("append").save(path)
+    return spark.read.format("formula_pages").load(path)
+
+
+@C.add("SELECT 'd' || doc_id AS formula_id, 'V!x' || chr(9) || lang || '|' || 'N!' || n_chars || chr(9) || 'n' AS tuples FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL")
+def tuple_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection of formulas cut into tuples, one file each, written and read as a data source."""
+    datasource.register(spark)
+    lines = F.concat(F.lit("V!x\t"), "lang", F.lit("\n\r\n"), F.lit("N!"), _s("n_chars"), F.lit("\tn\n"))
+    rows = table(spark, sf, "documents").select(F.pmod(F.hash("doc_id"), F.lit(20)).cast("string").alias("folder"), F.concat(F.lit("d"), _s("doc_id"), F.lit(".tsv")).alias("file"), lines.alias("content"))
+    path = _folder(spark, "tuples")
+    rows.write.format("formula_tuples").mode("append").save(path)
+    return spark.read.format("formula_tuples").load(path).select("formula_id", F.array_join("tuples", "|").alias("tuples"))
+
+
 @C.add("SELECT p_partkey::VARCHAR AS formula_id, 'x_' || p_size || ' + y' AS formula FROM part")
 def latex_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a LaTeX collection that run over two lines, one file's worth a row."""
