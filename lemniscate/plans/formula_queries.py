@@ -36,13 +36,16 @@ def _distinct(spark: SparkSession, sf: str) -> DataFrame:
     return keys.withColumn("formula_id", F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 8, "0") for c in ("l_partkey", "l_suppkey", "l_linenumber")]))
 
 
+def _made(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    return _distinct(spark, sf).select("formula_id", _markup(SLT_FORMULA if kind == "slt" else OPT_FORMULA).alias("formula"))
+
+
 def _parsed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    made = _distinct(spark, sf).select("formula_id", _markup(SLT_FORMULA if kind == "slt" else OPT_FORMULA).alias("formula"))
-    return formulas.parsed(made, kind).select("formula_id", "tree", "nodes")
+    return formulas.parsed(_made(spark, sf, kind), kind).select("formula_id", "tree", "nodes")
 
 
 def _tuples(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    return formulas.short_enough(formulas.tuples(_parsed(spark, sf, kind), "formula_id", kind))
+    return formulas.short_enough(formulas.shaped_tuples(_made(spark, sf, kind), "formula_id", kind))
 
 
 FORMULAS_SQL = """f AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
@@ -75,13 +78,13 @@ def opt_tuples(spark: SparkSession, sf: str) -> DataFrame:
 @C.add(f"WITH {FORMULAS_SQL} SELECT formula_id, '[V!x[+[N!' || p || ']],b[N!' || n || ']]' AS slt, '[O!minus,0[U!plus,0[V!y' || n || '],1[N!' || p || ']],1[N!' || s || ']]' AS opt FROM g")
 def formula_trees(spark: SparkSession, sf: str) -> DataFrame:
     """Both trees of a formula as text."""
-    made = _distinct(spark, sf).select("formula_id", _markup(SLT_FORMULA).alias("a"), _markup(OPT_FORMULA).alias("b"))
-    return made.select("formula_id", formulas.slt("a")["tree"].alias("slt"), formulas.opt("b")["tree"].alias("opt"))
+    made = _distinct(spark, sf).select("formula_id", _markup(SLT_FORMULA).alias("slt"), _markup(OPT_FORMULA).alias("opt"))
+    return formulas.trees(made, {"slt": "slt", "opt": "opt"}, ["formula_id"])
 
 
 @C.add(f"WITH {FORMULAS_SQL} SELECT formula_id, 5 AS size, 3 AS depth, 6 AS n_pairs FROM g")
 def tree_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return formulas.tree_stats(_parsed(spark, sf, "opt"), "formula_id")
+    return formulas.shaped_stats(_made(spark, sf, "opt"), "formula_id", "opt")
 
 
 def _token_sql(mode: str) -> str:

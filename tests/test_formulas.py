@@ -210,3 +210,32 @@ def test_small_text_functions():
     assert cut_text("words before " + "$" + "x" * 45 + "$ after") == "words before $" + "x" * 45 + "$"
     assert cut_text("words here before " + "$" + "x" * 100 + "$") == "words here before"
     assert [stem(w) for w in ("running", "ponies", "relational", "hopping", "agreed", "sky", "happy", "adjustable")] == ["run", "poni", "relat", "hop", "agre", "sky", "happi", "adjust"]
+
+
+def test_numbers_share_a_shape(spark):
+    given = [
+        "<math><mrow><msub><mi>x</mi><mn>1</mn></msub><mo>+</mo><mn>23</mn></mrow></math>",
+        "<math><mrow><msub><mi>x</mi><mn>7</mn></msub><mo>+</mo><mn>8</mn></mrow></math>",
+        '<math><mrow><mn id="a">4</mn><mo>+</mo><mn>5.5</mn></mrow></math>',
+        "<math><!-- <mn>9</mn> --><mi><![CDATA[<mn>3</mn>]]></mi></math>",
+        "<math><mrow><mi>0</mi><mn>2</mn></mrow></math>",
+        "<math><mrow><mi>a</mi><mn></mn><mn>6</mn></mrow></math>",
+        "<math><zz/><mn>1</mn></math>", "<math><mn>1</mn>", "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(given)), "k int, formula string")
+    assert formulas.shapes(formulas._kept(rows.filter("k < 2"), "formula", ["k"]), "_f").count() == 1
+    one = {r["k"]: r for r in formulas.parsed(rows).collect()}
+    for k, markup in enumerate(given):
+        tree = None
+        if markup:
+            try:
+                tree = mathml.tree("slt", markup)
+            except (mathml.UnknownTag, mathml.ET.ParseError) as e:
+                assert one[k]["error"] == f"{type(e).__name__}: {e}"
+        assert one[k]["tree"] == (tree and mathml.written(tree, "slt"))
+        assert (one[k]["nodes"] and [tuple(n) for n in one[k]["nodes"]]) == (tree and list(mathml.flat(tree, "slt")))
+    parsed = formulas.parsed(rows).filter("nodes IS NOT NULL")
+    assert sorted(map(tuple, formulas.shaped_tuples(rows, "k").collect())) == sorted(map(tuple, formulas.tuples(parsed, "k").collect()))
+    assert sorted(map(tuple, formulas.shaped_stats(rows, "k").collect())) == sorted(map(tuple, formulas.tree_stats(parsed, "k").collect()))
+    assert sorted(formulas.shaped_nodes(rows, "k").collect()) == sorted(parsed.select("k", "nodes").collect())
+    assert {r["k"]: r["formula"] for r in formulas.trees(rows, {"formula": "slt"}, ["k"]).collect()} == {k: r["tree"] for k, r in one.items()}
