@@ -67,3 +67,11 @@ def test_unique_and_error_trees(spark):
 def test_no_nested_loops_in_searches(name, spark):
     text = plan(registry.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_equal_formulas_are_searched_once(spark, monkeypatch):
+    seen = []
+    knn = search.knn
+    monkeypatch.setattr(search, "knn", lambda rows, asked, *how: seen.append(asked.count()) or knn(rows, asked, *how))
+    registry.QUERIES["matched_positions"](spark, SF)
+    assert seen == [10]
