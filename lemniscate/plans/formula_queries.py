@@ -122,21 +122,20 @@ firsts AS (SELECT kind, symbol, min({{'f': formula_id, 'p': pos, 's': slot}}) AS
 ids AS (SELECT kind, symbol, (CASE kind WHEN 'N' THEN 59999 ELSE 499 END + row_number() OVER (PARTITION BY kind ORDER BY first))::INTEGER AS id FROM firsts)"""
 
 
-def _opt_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return formulas.tokenised(opt_tuples(spark, sf), *formulas.MODES["opt"])
+def _opt_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return formulas.dictionary_of(_made(spark, sf, "opt"), "opt")
 
 
 @C.add(f"{IDS_SQL} SELECT kind, symbol, id FROM ids")
 def encoder_map(spark: SparkSession, sf: str) -> DataFrame:
     """Dictionary ids by first occurrence."""
-    return formulas.dictionary(_opt_tokens(spark, sf), "formula_id")
+    return _opt_ids(spark, sf)
 
 
 @C.add(f"{IDS_SQL} SELECT formula_id, pos, string_agg(id::VARCHAR, ' ' ORDER BY slot) AS word FROM parts JOIN ids USING (kind, symbol) GROUP BY formula_id, pos")
 def encoded_tuples(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs as words of ids."""
-    tokens = _opt_tokens(spark, sf)
-    words = formulas.encoded(tokens, "formula_id", formulas.dictionary(tokens, "formula_id"))
+    words, _ = formulas.words_of(_made(spark, sf, "opt"), "opt")
     return words.select("formula_id", "pos", F.array_join(F.col("word").cast("array<string>"), " ").alias("word"))
 
 

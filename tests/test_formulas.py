@@ -239,3 +239,32 @@ def test_numbers_share_a_shape(spark):
     assert sorted(map(tuple, formulas.shaped_stats(rows, "k").collect())) == sorted(map(tuple, formulas.tree_stats(parsed, "k").collect()))
     assert sorted(formulas.shaped_nodes(rows, "k").collect()) == sorted(parsed.select("k", "nodes").collect())
     assert {r["k"]: r["formula"] for r in formulas.trees(rows, {"formula": "slt"}, ["k"]).collect()} == {k: r["tree"] for k, r in one.items()}
+
+
+def test_words_by_shape(spark, monkeypatch):
+    """Dictionary and words by way of shapes are those of the tokens of all pairs, over-long pairs left out."""
+    row = lambda *x: M % f"<mrow>{''.join(x)}</mrow>"
+    given = [
+        row("<msub><mi>x</mi><mn>1</mn></msub>", "<mo>+</mo>", "<mn>23</mn>"), row("<msub><mi>x</mi><mn>701</mn></msub>", "<mo>+</mo>", "<mn>1</mn>"),
+        row("<mn>5</mn>", "<mo>+</mo>", f"<mn>{'9876' * 49}</mn>"), row("<mn>5</mn>", "<mo>+</mo>", "<mn>6</mn>"), row(f"<mn>{'12' * 60}</mn>", "<mo>+</mo>", f"<mn>{'3' * 100}</mn>"),
+        M % "<!-- <mn>9</mn> --><mi>y</mi>", M % "<mn>4.5</mn>", row("<mi>\ue000</mi>", "<mn>77</mn>"), M % "<mi>z</mi>", "<bad", None,
+        M % "<apply><plus/><ci>x</ci><cn>2</cn></apply>", M % "<apply><plus/><ci>x</ci><cn>2</cn><cn>40</cn></apply>",
+    ]
+    rows = spark.createDataFrame([(f"k{90 - i}", x) for i, x in enumerate(given)], "formula_id string, formula string")
+    start = spark.createDataFrame([("N", "V!", 70000), ("N", "7", 70001), ("N", "2", 70002)], "kind string, symbol string, id int")
+    both = {"slt": rows, "slt_type": rows, "opt": rows}
+    want = {}
+    for kind, df in both.items():
+        for known in (None, start):
+            tokens = formulas.tokenised(formulas.short_enough(formulas.shaped_tuples(df, "formula_id", kind[:3])), *formulas.MODES[kind])
+            ids = formulas.dictionary(tokens, "formula_id", known)
+            want[kind, known is None] = sorted(map(tuple, ids.collect())), sorted(map(tuple, formulas.encoded(tokens, "formula_id", ids).collect()))
+    assert all(len(w) > 4 for _, w in want.values())
+    # Nothing goes through the tokens of all pairs.
+    for name in ("tokenised", "encoded", "shaped_tuples"):
+        monkeypatch.setattr(formulas, name, None)
+    for kind, df in both.items():
+        for known in (None, start):
+            words, ids = formulas.words_of(df, kind, known=known)
+            assert (sorted(map(tuple, ids.collect())), sorted(map(tuple, words.collect()))) == want[kind, known is None], kind
+            assert sorted(map(tuple, formulas.dictionary_of(df, kind, known=known).collect())) == want[kind, known is None][0]
