@@ -43,7 +43,7 @@ def composite_lines(places: DataFrame) -> DataFrame:
 
 def write_map(pairs: DataFrame, path: str) -> None:
     """An encoder map (kind, symbol, id) as tab-separated text."""
-    pairs.select("kind", "symbol", "id").coalesce(1).write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
+    pairs.select("kind", "symbol", "id").write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
 
 
 def create_table(df: DataFrame, name: str, replace: bool = False) -> None:

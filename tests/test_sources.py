@@ -190,3 +190,10 @@ def test_fusion_properties(spark):
     assert [(r["id"], r["score"]) for r in k.collect()] == [(1, 1.0)]
     found = evaluate.found_at(spark.createDataFrame([("c", "q", 2), ("d", "q", 9)], "case_id string, query_id string, doc_id int"), text.withColumn("rank", F.col("doc_id")))
     assert {r["case_id"]: r["position"] for r in found.collect()} == {"c": 2, "d": None}
+
+
+def test_a_dictionary_is_written_by_many_tasks(spark, tmp_path):
+    pairs = spark.range(100).repartition(4).selectExpr("'N' AS kind", "concat('s', id) AS symbol", "int(id) AS id")
+    writers.write_map(pairs, f"{tmp_path}/map")
+    assert len(list(tmp_path.glob("map/*.csv"))) == 4
+    assert sorted(map(tuple, readers.encoder_map(spark, f"{tmp_path}/map").collect())) == sorted(map(tuple, pairs.collect()))
