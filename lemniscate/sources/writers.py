@@ -25,9 +25,14 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def write_tuples(tuples: DataFrame, path: str) -> None:
-    """Tuples (dir, formula_id, s1, s2, rel_path, loc) as tab-separated lines, one folder per ``dir``."""
-    line = F.concat_ws("\t", "s1", "s2", "rel_path", "loc").alias("value")
+def write_tuples(tuples: DataFrame, path: str, named: bool = False) -> None:
+    """Tuples (dir, formula_id, s1, s2, rel_path, loc) as tab-separated lines, one folder per ``dir``.
+
+    ``named`` puts the formula's id before each line, so that a folder can hold
+    any number of formulas and need not be made for each.
+    """
+    ids = [F.coalesce(F.col("formula_id").cast("string"), F.lit(""))] if named else []
+    line = F.concat_ws("\t", *ids, "s1", "s2", "rel_path", "loc").alias("value")
     tuples.select("dir", line).write.mode("overwrite").partitionBy("dir").text(path)
 
 

@@ -197,3 +197,17 @@ def test_a_dictionary_is_written_by_many_tasks(spark, tmp_path):
     writers.write_map(pairs, f"{tmp_path}/map")
     assert len(list(tmp_path.glob("map/*.csv"))) == 4
     assert sorted(map(tuple, readers.encoder_map(spark, f"{tmp_path}/map").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_folders_of_tuples_do_not_grow_with_the_rows(spark, monkeypatch):
+    """A folder holds many formulas, each line with its formula's id."""
+    from lemniscate.plans import source_queries
+
+    written = []
+    plain = writers.write_tuples
+    monkeypatch.setattr(writers, "write_tuples", lambda df, path, **how: (plain(df, path, **how), written.append(path)))
+    made = spark.range(500).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name")
+    monkeypatch.setattr(source_queries, "table", lambda *_: made)
+    got = sorted(map(tuple, source_queries.sinks(spark, "").collect()))
+    assert got == sorted((i, f"S{i}", "V!x\t+\tn\t-") for i in range(500))
+    assert spark.read.text(written).select("dir").distinct().count() == 20
