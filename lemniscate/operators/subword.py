@@ -29,8 +29,8 @@ from typing import Any
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lemniscate.functions.vectors import mean_vectors
 from lemniscate.operators.formulas import grams, words_of
 from lemniscate.session import discard, stored
 
@@ -83,29 +83,37 @@ def pairs_of(n: int, window: int, rng: np.random.Generator) -> list[tuple[int, i
     return [(i, j) for i in range(n) for j in range(max(0, i - int(reach[i])), min(n, i + int(reach[i]) + 1)) if i != j]
 
 
-def step(w: np.ndarray, c: np.ndarray, centres: list[list[int]], targets: np.ndarray, rate: float) -> float:
-    """One step on pairs at once: ``centres`` are words' buckets, ``targets`` a context and its negatives.  Returns the loss.
+def _summed(rows: np.ndarray, change: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``rows`` and the sums of ``change[at]`` by row."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begin], np.add.reduceat(change[at[order]], begin, axis=0)
+
+
+def step(w: np.ndarray, c: np.ndarray, centres: list[list[int]], owners: np.ndarray, targets: np.ndarray, rate: float) -> float:
+    """One step on pairs at once: ``owners`` are the pairs' centres, in order, ``centres`` their words' buckets, ``targets`` a context and its negatives.  Returns the loss.
 
     A bucket that several pairs change moves by the mean of their changes.
+    What a centre's pairs change is added up before it is dealt to its buckets.
     """
     sizes = np.array([len(x) for x in centres])
     flat = np.concatenate([np.asarray(x) for x in centres])
-    owner = np.repeat(np.arange(len(centres)), sizes)
-    h = np.zeros((len(centres), w.shape[1]))
-    np.add.at(h, owner, w[flat])
-    h /= sizes[:, None]
+    h = (np.add.reduceat(w[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None])[owners]
     out = c[targets]
     score = 1 / (1 + np.exp(-np.clip(np.einsum("pd,pkd->pk", h, out), -30, 30)))
     label = np.zeros(targets.shape)
     label[:, 0] = 1
     g = label - score
-    to_w = np.einsum("pk,pkd->pd", g, out)[owner]
+    n = np.bincount(owners, minlength=len(centres))
+    to_w = np.add.reduceat(np.einsum("pk,pkd->pd", g, out), np.cumsum(n) - n, axis=0)
     to_c = (g[:, :, None] * h[:, None, :]).reshape(-1, w.shape[1])
-    for table, rows, change in ((w, flat, to_w), (c, targets.ravel(), to_c)):
-        met, at, n = np.unique(rows, return_inverse=True, return_counts=True)
-        total = np.zeros((len(met), table.shape[1]))
-        np.add.at(total, at.ravel(), change)
-        table[met] += rate * total / n[:, None]
+    for table, rows, change, at, times in (
+        (w, flat, to_w, np.repeat(np.arange(len(centres)), sizes), np.repeat(n, sizes)),
+        (c, targets.ravel(), to_c, np.arange(targets.size), np.ones(targets.size, int)),
+    ):
+        met, total = _summed(rows, change, at)
+        table[met] += rate * total / np.bincount(rows, times)[met][:, None]
     return float(-np.log(np.where(label == 1, score, 1 - score) + 1e-12).sum())
 
 
@@ -114,16 +122,20 @@ def train_part(part: int, number: int, w: np.ndarray, c: np.ndarray, share: np.n
     rng = np.random.default_rng([rules.seed, number, part])
     loss, n = 0.0, 0
     for some in batched(listed, rules.batch):
-        centres, found = [], []
+        centres, owners, found = [], [], []
         for b, ctx in some:
+            last = None
             for i, j in pairs_of(len(b), rules.window, rng):
-                centres.append(b[i])
+                if i != last:
+                    centres.append(b[i])
+                    last = i
+                owners.append(len(centres) - 1)
                 found.append(ctx[j])
         if not found:
             continue
         negatives = np.searchsorted(share, rng.random((len(found), rules.negatives)), side="right")
         targets = np.hstack([np.array(found)[:, None], np.minimum(negatives, len(share) - 1)])
-        loss += step(w, c, centres, targets, rules.rate)
+        loss += step(w, c, centres, np.array(owners), targets, rules.rate)
         n += len(found)
     return loss, n
 
@@ -173,6 +185,33 @@ def _added(batches: Iterator[Any]) -> Iterator[Any]:
     yield pa.RecordBatch.from_arrays(columns, names=["side", "bucket", "change", "n"])
 
 
+def _means(given: Any):
+    """Keys with the buckets of their words to the means of the words' means."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        table = given.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(1)
+            n, in_word = np.diff(words.offsets.to_numpy()), np.diff(words.flatten().offsets.to_numpy())
+            flat = words.flatten().flatten().to_numpy()
+            vectors, at = [], np.concatenate([[0], np.cumsum(in_word)])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for k in range(0, len(n), 1000):
+                mine = in_word[ends[k] : ends[min(k + 1000, len(n))]]
+                of = n[k : k + 1000]
+                word = np.add.reduceat(table[flat[at[ends[k]] : at[ends[k] + len(mine)]]], np.cumsum(mine) - mine, axis=0) / mine[:, None]
+                vectors.append(np.add.reduceat(word, np.cumsum(of) - of, axis=0) / of[:, None])
+            made = np.concatenate(vectors)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[batch.schema.names[0], "vector"])
+
+    return run
+
+
 @dataclass
 class SubwordModel:
     rules: SubwordRules
@@ -196,10 +235,19 @@ class SubwordModel:
 
     def vectors(self, words: DataFrame, key: str) -> DataFrame:
         """key, vector: the mean over a key's words of the means of their buckets, whether training met the words or not."""
-        b = words.filter(F.size("word") > 0).select(key, buckets(F.col("word"), self.rules).alias("b"))
-        share = b.select(key, (1.0 / F.size("b")).alias("w"), F.explode("b").alias("bucket")).groupBy(key, "bucket").agg(F.sum("w").alias("w"))
-        return mean_vectors(share.join(self.table, "bucket"), key, "vector", "w")
-
+        spark = words.sparkSession
+        given = spark.sparkContext.broadcast(self._dense())
+        # Sorted, so that sums come out the same every time.
+        listed = words.filter(F.size("word") > 0).select(key, buckets(F.col("word"), self.rules).alias("b")).groupBy(key).agg(F.sort_array(F.collect_list("b")).alias("b"))
+        schema = T.StructType([listed.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+        return listed.mapInArrow(_means(given), schema)
+
+    def _dense(self) -> np.ndarray:
+        """The table as one array; a model has a fixed size."""
+        rows = self.table.toArrow()
+        out = np.zeros((self.rules.buckets, self.rules.dims))
+        out[rows.column("bucket").to_numpy()] = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, self.rules.dims)
+        return out
 
     def formula_vectors(self, given: DataFrame, key: str = "formula_id") -> DataFrame:
         """key, vector of formulas (key, formula), seen in training or not; symbols without an id get the next ones."""

@@ -150,3 +150,18 @@ def test_registered_query_by_plain_loops(spark, monkeypatch):
     for _, at, b, _ in given:
         want = np.mean([w[x].mean(axis=0) for x in b], axis=0)
         assert np.allclose([float(x) for x in got[json.loads(at)["p_partkey"]].split(",")], want, atol=1.1e-6)
+
+
+def test_vectors_give_no_row_for_each_bucket(spark):
+    """Means of means over many batches of keys, in one grouping by key."""
+    w = subword.start(RULES)[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "bucket int, vector array<double>")
+    model = subword.SubwordModel(RULES, table, [])
+    words = spark.range(2500).selectExpr("id AS k", "explode(sequence(0, int(id % 3))) AS pos").selectExpr("k", "pos", "array(int(k), pos, 7) AS word")
+    found = model.vectors(words, "k")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate") == 1  # that of the words above
+    b = {}
+    for r in words.select("k", subword.buckets(F.col("word"), RULES).alias("b")).collect():
+        b.setdefault(r["k"], []).append(w[r["b"]].mean(axis=0))
+    got = {r["k"]: r["vector"] for r in found.collect()}
+    assert got.keys() == b.keys() and all(np.allclose(got[k], np.mean(x, axis=0)) for k, x in b.items())
