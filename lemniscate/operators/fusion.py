@@ -67,9 +67,19 @@ def math_share(n_formulas: Column, n_keywords: Column, fixed: float | None = Non
     return F.lit(fixed) if fixed is not None else F.coalesce(F.try_divide(n_formulas, n_formulas + n_keywords), F.lit(0.0))
 
 
-def math_and_text(math: DataFrame, text: DataFrame, share: DataFrame) -> DataFrame:
-    """m * math + (1 - m) * text with each query's m in ``share`` (query_id, m)."""
-    both = fused(text, math, 1.0, 1.0).join(share, "query_id")
+def math_and_text(math: DataFrame, text: DataFrame, share: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """m * math + (1 - m) * text with each query's m in ``share`` (query_id, m).
+
+    ``met``: the rows of ``text`` that ``math`` can meet.  With it ``math`` and
+    ``share``, which have to be small, go to where ``text`` lies.
+    """
+    if met is None:
+        both = fused(text, math, 1.0, 1.0).join(share, "query_id")
+    else:
+        f = math.select("query_id", "doc_id", F.col("score").alias("formula_score"))
+        t = text.select("query_id", "doc_id", F.col("score").alias("text_score")).join(F.broadcast(f), ["query_id", "doc_id"], "left")
+        alone = f.join(met, ["query_id", "doc_id"], "left_anti").withColumn("text_score", F.lit(0.0))
+        both = t.na.fill(0.0, ["formula_score"]).unionByName(alone).join(F.broadcast(share), "query_id")
     return both.select(
         "query_id", "doc_id", (F.col("m") * F.col("formula_score") + (1 - F.col("m")) * F.col("text_score")).alias("score")
     )
